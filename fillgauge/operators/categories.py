@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fillgauge.operators.joins import attach
+from fillgauge.session import settle
 
 # The marks put in place of replaced categories.
 RARE = "__RARE__"
@@ -47,33 +48,38 @@ def fit_rare_map(train: DataFrame, columns: Sequence[str], threshold: int) -> Da
             .withColumn("is_rare", F.col("n") < threshold))
 
 
-def _marks(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _marks(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], settled: bool) -> DataFrame:
     """Add ``__mark_<column>``: true rare, false kept, NULL never seen."""
+    rare_map = rare_map if settled else settle(rare_map)
+    sizes = {r["column"]: r["count"] for r in rare_map.groupBy("column").count().collect()}
     for c in columns:
         table = rare_map.filter(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("is_rare").alias(f"__mark_{c}"))
         df = df.withColumn("__value", F.col(c).cast("string"))
-        df = attach(df, table, ["__value"], null_safe=True).drop("__value")
+        df = attach(df, table, ["__value"], null_safe=True, settled=True,
+                    table_rows=sizes.get(c, 0)).drop("__value")
     return df
 
 
-def apply_rare_map_train(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> DataFrame:
+def apply_rare_map_train(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], *,
+                         settled: bool = False) -> DataFrame:
     """Rare categories become ``__RARE__``."""
-    out = _marks(df, rare_map, columns)
+    out = _marks(df, rare_map, columns, settled)
     new = {c: F.when(F.col(f"__mark_{c}"), F.lit(RARE)).otherwise(F.col(c).cast("string"))
            for c in columns}
     return out.withColumns(new).select(*df.columns)
 
 
 def apply_rare_map_valid(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], *,
-                         use_unseen: bool = True, strict_reference: bool = False) -> DataFrame:
+                         use_unseen: bool = True, strict_reference: bool = False,
+                         settled: bool = False) -> DataFrame:
     """Categories that training did not keep are replaced.
 
     Known rare ones become ``__RARE__`` as in training, never seen ones
     ``__UNSEEN__``.  ``strict_reference`` calls both ``__UNSEEN__``; without
     ``use_unseen`` both are called ``__RARE__``.
     """
-    out = _marks(df, rare_map, columns)
+    out = _marks(df, rare_map, columns, settled)
     unseen = UNSEEN if use_unseen else RARE
     rare = unseen if strict_reference else RARE
 
@@ -89,7 +95,7 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: int) -> Data
     """Categories with fewer than ``threshold`` rows become ``Other``; missing stays missing."""
     if threshold <= 0:
         return df
-    out = _marks(df, fit_rare_map(df, columns, threshold), columns)
+    out = _marks(df, fit_rare_map(df, columns, threshold), columns, False)
     new = {c: F.when(F.col(f"__mark_{c}") & F.col(c).isNotNull(), F.lit(OTHER))
            .otherwise(F.col(c).cast("string")) for c in columns}
     return out.withColumns(new).select(*df.columns)

@@ -12,7 +12,7 @@ from fillgauge.session import settle
 #: A table is broadcast only when it was counted and has at most this many rows.
 MAX_BROADCAST_ROWS = 200_000
 #: A key is hot from this share of the rows on, so at most 1/share keys are hot.
-HOT_SHARE = 0.001
+HOT_SHARE = 0.005
 #: Number of slices a hot key is cut into.
 HOT_SLICES = 256
 
@@ -26,10 +26,11 @@ def _same(left: Sequence[Column], right: Sequence[Column], null_safe: bool) -> C
 
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "left",
            null_safe: bool = False, settled: bool = False,
-           max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           table_rows: int | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
     """Join ``table`` (one row per key) to ``rows``; ``how`` is ``left`` or ``inner``.
 
-    The table is written out and counted.  A small one is broadcast, so the rows
+    The table is written out and counted, unless it is ``settled`` already and its
+    ``table_rows`` are known.  A small one is broadcast, so the rows
     do not move.  Otherwise the rows are shuffled, and rows of hot or NULL keys
     are spread over slices, with the few matching table rows repeated per slice.
     """
@@ -40,31 +41,44 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "
     names = {c: f"__key_{i}" for i, c in enumerate(on)}
     table = table.withColumnsRenamed(names)
     keys = list(names.values())
-    if table.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    if table_rows is None:
+        table_rows = table.limit(limit + 1).count()
+    if table_rows <= limit:
         cond = _same([F.col(c) for c in on], [F.col(k) for k in keys], null_safe)
         return rows.join(F.broadcast(table), cond, how).drop(*keys)
 
-    counts = settle(rows.groupBy(*on).count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    # at most 1 / HOT_SHARE rows can pass this filter, whatever the data
-    hot_names = {c: f"__hot_{i}" for i, c in enumerate(on)}
-    hot = (counts.filter(F.col("count") >= F.lit(HOT_SHARE * total)).select(*on)
-           .withColumnsRenamed(hot_names).withColumn("__is_hot", F.lit(True)))
-    hot_cols = [F.col(h) for h in hot_names.values()]
-    slice_of = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(HOT_SLICES)).cast("int")
-    left = rows.withColumn("__row_slice", slice_of)
-    left = left.join(F.broadcast(hot), _same([F.col(c) for c in on], hot_cols, True), "left")
+    # equal keys hash alike only if their types agree
+    types = dict(rows.dtypes)
+    hot = hot_key_hashes(rows, on)
     has_null = F.lit(False)
     for c in on:
         has_null = has_null | F.col(c).isNull()
-    spread = F.col("__is_hot") if null_safe else F.col("__is_hot") | has_null
-    left = left.withColumn("__slice", F.when(spread, F.col("__row_slice")).otherwise(F.lit(0)))
-    left = left.drop("__row_slice", "__is_hot", *hot_names.values())
-    right = table.join(F.broadcast(hot), _same([F.col(k) for k in keys], hot_cols, True), "left")
-    slices = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(HOT_SLICES - 1))).otherwise(
-        F.array(F.lit(0)))
-    right = right.withColumn("__table_slice", F.explode(slices))
-    right = right.drop("__is_hot", *hot_names.values())
+    spread = F.xxhash64(*[F.col(c) for c in on]).isin(hot)
+    repeat = F.xxhash64(*[F.col(k).cast(types[c]) for c, k in names.items()]).isin(hot)
+    if not null_safe:
+        spread = spread | has_null
+    row_slice = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(HOT_SLICES)).cast("int")
+    left = rows.withColumn("__slice", F.when(spread, row_slice).otherwise(F.lit(0)))
+    slices = F.when(repeat, F.sequence(F.lit(0), F.lit(HOT_SLICES - 1))).otherwise(F.array(F.lit(0)))
+    right = table.withColumn("__table_slice", F.explode(slices))
     cond = _same([F.col(c) for c in on], [F.col(k) for k in keys], null_safe)
     cond = cond & (F.col("__slice") == F.col("__table_slice"))
     return left.join(right, cond, how).drop("__slice", "__table_slice", *keys)
+
+
+def hot_key_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
+    """Hashes of the keys that hold at least ``HOT_SHARE`` of the rows.
+
+    Found by mergeable frequent-item sketches, first per slice of the tasks and
+    then over all.  The answer only steers how rows are spread, never the result.
+    """
+    items = int(1 / HOT_SHARE)
+    h = F.xxhash64(*[F.col(c) for c in on]).alias("h")
+    parts = (rows.select(h, F.pmod(F.spark_partition_id(), F.lit(256)).alias("p")).groupBy("p")
+             .agg(F.expr(f"approx_top_k_accumulate(h, {10 * items})").alias("sketch"),
+                  F.count(F.lit(1)).alias("n")))
+    top, total = parts.agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {10 * items}), {items})"),
+        F.sum("n")).first()
+    return [t["item"] for t in top or [] if t["count"] >= HOT_SHARE * total]
