@@ -57,11 +57,11 @@ def mcar_missing(df: DataFrame, columns: str | Sequence[str], target_missing_fra
     """Completely at random: each column on its own loses an exact share of all rows."""
     columns = [columns] if isinstance(columns, str) else list(columns)
     require_columns(df, [*columns, status_col, *id_cols])
-    k = rows_to_hit(df.count(), target_missing_fraction, None)
+    share = F.lit(min(1.0, max(0.0, float(target_missing_fraction))))
     hits = {}
     for c in columns:
         key = md5_key(id_cols, c, random_state)
-        hits[c] = smallest(df, key, md5_levels(key), k)
+        hits[c] = smallest(df, key, md5_levels(key), lambda n: F.floor(share * n))
     return _mask(df, hits, new_status, status_col)
 
 

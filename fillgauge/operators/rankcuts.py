@@ -70,10 +70,12 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
         F.col("__l0").alias("__b"), "m"))
     rows = rows.withColumn("__b", F.col("__l0"))
     level = 0
-    while level + 1 < depth and (wanted.agg(F.max("m")).first()[0] or 0) > limit:
+    crowd, places = wanted.agg(F.max("m"), F.count(F.lit(1))).first()
+    while level + 1 < depth and (crowd or 0) > limit:
         level += 1
         fine = f"__l{level}"
-        near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True)
+        near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
+                      settled=True, table_rows=places)
         hist = near.groupBy(*group, fine).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("m2"))
         hist = hist.withColumn("cum", F.sum("w").over(running(group, fine)))
         wanted = _reached(hist, wanted, group)
@@ -81,8 +83,10 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
             *strata, "n", "rank", (F.col("before") + F.col("cum") - F.col("w")).alias("before"),
             F.col(fine).alias("__b"), F.col("m2").alias("m")))
         rows = rows.withColumn("__b", F.col(fine))
+        crowd, places = wanted.agg(F.max("m"), F.count(F.lit(1))).first()
 
-    near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True)
+    near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
+                  settled=True, table_rows=places)
     # copies of one key are folded before the last, bounded ordering
     keys = near.groupBy(*group, "__key").agg(F.sum("__w").alias("w"))
     keys = keys.withColumn("cum", F.sum("w").over(running(group, "__key")))
@@ -110,11 +114,18 @@ def as_literal(value: object) -> Column:
     return F.lit(value)
 
 
-def smallest(df: DataFrame, key: Column, levels: list[Column], k: int) -> Column:
-    """Predicate that is true for exactly the ``k`` rows with the smallest keys."""
-    if k <= 0:
+def smallest(df: DataFrame, key: Column, levels: list[Column],
+             k: int | Callable[[Column], Column]) -> Column:
+    """Predicate that is true for exactly the ``k`` rows with the smallest keys.
+
+    ``k`` may be computed from the number of rows.
+    """
+    if isinstance(k, int) and k <= 0:
         return F.lit(False)
-    cut = rank_cuts(df, [], key, levels, lambda n: F.array(F.lit(int(k)))).first()
+    wanted = k if callable(k) else lambda n: F.lit(k)
+    cut = rank_cuts(df, [], key, levels, lambda n: F.array(wanted(n))).first()
     if cut is None:
+        if callable(k):
+            return F.lit(False)
         raise ValueError(f"fewer than {k} rows to draw from")
     return F.coalesce(key <= as_literal(cut["cut"]), F.lit(False))
