@@ -102,9 +102,6 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: int) -> Data
 
 
 def category_order(df: DataFrame, column: str) -> DataFrame:
-    """(value, position): categories in order, ``Other`` last."""
+    """The categories in order, ``Other`` last."""
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    last = F.struct(F.col("value") == OTHER, F.col("value"))
-    entries = values.agg(F.sort_array(F.collect_list(last)).alias("v"))
-    return entries.select(F.posexplode("v").alias("position", "e")).select(
-        F.col("e.value").alias("value"), "position")
+    return values.orderBy(F.col("value") == OTHER, "value")

@@ -43,7 +43,7 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "
     keys = list(names.values())
     limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     if table_rows is None:
-        table_rows = table.limit(limit + 1).count()
+        table_rows = table.count()
     if table_rows <= limit:
         cond = _same([F.col(c) for c in on], [F.col(k) for k in keys], null_safe)
         return rows.join(F.broadcast(table), cond, how).drop(*keys)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from fillgauge.operators.cumulative import percentiles
 from fillgauge.operators.joins import attach
 from fillgauge.operators.rankcuts import as_literal, md5_levels, rank_cuts, smallest, weighted_levels
 from fillgauge.operators.sampling import weighted_pick
-from fillgauge.session import settle
+from fillgauge.session import settle, together
 
 STATUS = "STATUS_ZAPISA"
 
@@ -58,11 +59,13 @@ def mcar_missing(df: DataFrame, columns: str | Sequence[str], target_missing_fra
     columns = [columns] if isinstance(columns, str) else list(columns)
     require_columns(df, [*columns, status_col, *id_cols])
     share = F.lit(min(1.0, max(0.0, float(target_missing_fraction))))
-    hits = {}
-    for c in columns:
+
+    def hit(c: str) -> Column:
         key = md5_key(id_cols, c, random_state)
-        hits[c] = smallest(df, key, md5_levels(key), lambda n: F.floor(share * n))
-    return _mask(df, hits, new_status, status_col)
+        return smallest(df, key, md5_levels(key), lambda n: F.floor(share * n))
+
+    hits = together(df.sparkSession, [partial(hit, c) for c in columns])
+    return _mask(df, dict(zip(columns, hits)), new_status, status_col)
 
 
 def mar_missing(df: DataFrame, target_column: str, related_column: str, new_status: int,
@@ -164,10 +167,10 @@ def mar_company_missing(df: DataFrame, company_col: str, target_column: str, new
         out = attach(df, drawn.select(company_col, F.lit(True).alias("__drawn")), [company_col])
         hit = F.coalesce(F.col("__drawn"), F.lit(False)) & eligible
         if need < last["size"]:
-            partial = companies.filter(key == cut).first()[company_col]
-            of_last = eligible & F.col(company_col).eqNullSafe(F.lit(partial))
+            split = companies.filter(key == cut).first()[company_col]
+            of_last = eligible & F.col(company_col).eqNullSafe(F.lit(split))
             row_key = md5_key(id_cols, target_column, random_state)
-            of_last = of_last & smallest(pool.filter(F.col(company_col) == F.lit(partial)),
+            of_last = of_last & smallest(pool.filter(F.col(company_col) == F.lit(split)),
                                          row_key, md5_levels(row_key), need)
             hit = hit | of_last
     masked = _mask(out, {target_column: hit}, new_status, status_col).drop("__drawn")

@@ -23,8 +23,8 @@ MAX_BUCKET_ROWS = 1_000_000
 
 
 def md5_levels(key: Column) -> list[Column]:
-    """Ever finer buckets of an md5 text: 4, 8 and 12 hexadecimal digits."""
-    return [F.substring(key, 1, n) for n in (4, 8, 12)]
+    """Ever finer buckets of an md5 text: 3, 7 and 11 hexadecimal digits."""
+    return [F.substring(key, 1, n) for n in (3, 7, 11)]
 
 
 def weighted_levels(key: Column) -> list[Column]:

@@ -28,7 +28,7 @@ def transform_target(df: DataFrame, target: str, spec: Mapping[str, Any] | None,
         message = "log1p needs every y at or above 0"
     else:
         raise ValueError("method must be 'log' or 'log1p'")
-    if df.filter(outside).limit(1).count():
+    if not df.filter(outside).isEmpty():
         raise ValueError(message)
     info = {"enabled": True, "method": method, "eps": eps,
             "smearing": bool(spec.get("smearing", True))}

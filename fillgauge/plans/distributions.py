@@ -142,26 +142,37 @@ def ecdf_table(rows: DataFrame, **selection) -> DataFrame:
 def qq_table(rows: DataFrame, q_points: int = 101, **selection) -> DataFrame:
     """(keys, p, q_true, q_imp) at ``q_points`` evenly spaced shares from 0.01 to 0.99.
 
-    Each distinct value names the shares whose rank falls on it, so only those few
-    rows are grouped.
+    Each distinct value names the few shares whose rank may fall on it, so only
+    those rows are grouped.
     """
     rows = selected_rows(rows, **selection)
     keys = figure_keys(rows)
     tall = _per_series(_running(rows, keys), keys)
-    step = (0.99 - 0.01) / (q_points - 1) if q_points > 1 else 0.0
-    shares = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(0.01 + step * i).alias("p"))
-                       for i in range(q_points)])
+    step = (0.99 - 0.01) / (q_points - 1) if q_points > 1 else 0.98
     last = F.col("tot") - 1
     before = F.col("cum") - F.col("cnt")
 
+    def point_near(rank: Column) -> Column:
+        """Number of the share closest to a rank."""
+        at = (F.try_divide(rank, F.nullif(last, F.lit(0))) - F.lit(0.01)) / F.lit(step)
+        return F.least(F.greatest(F.floor(at), F.lit(-1)), F.lit(q_points))
+
+    # a group of one value holds every share; otherwise look one point further on each side
+    first = F.when(last == 0, F.lit(0)).otherwise(F.greatest(point_near(before - 1), F.lit(0)))
+    final = F.when(last == 0, F.lit(q_points - 1)).otherwise(
+        F.least(point_near(F.col("cum")) + 1, F.lit(q_points - 1)))
+    near = tall.withColumns({"first": first.cast("int"), "final": final.cast("int")})
+    near = near.withColumn("i", F.explode(F.when(
+        F.col("first") <= F.col("final"), F.sequence("first", "final"))))
+    shares = F.array(*[F.lit(0.01 + step * i) for i in range(q_points)])
+    near = near.withColumn("p", F.get(shares, F.col("i")))
+    h = last * F.col("p")
+
     def falls_here(rank: Column) -> Column:
         return (rank >= before) & (rank < F.col("cum"))
 
-    hits = F.filter(shares, lambda s: falls_here(F.floor(last * s["p"])) | falls_here(
-        F.ceil(last * s["p"])))
-    near = tall.withColumn("s", F.explode(hits))
-    h = last * F.col("s.p")
-    near = near.select(*keys, "series", F.col("s.i").alias("i"), F.col("s.p").alias("p"),
+    near = near.filter(falls_here(F.floor(h)) | falls_here(F.ceil(h)))
+    near = near.select(*keys, "series", "i", "p",
                        F.when(falls_here(F.floor(h)), F.col("value")).alias("a"),
                        F.when(falls_here(F.ceil(h)), F.col("value")).alias("b"),
                        (h - F.floor(h)).alias("w"))

@@ -55,7 +55,7 @@ def long_rows(methods: DataFrame, frames: Mapping[int, DataFrame], original: Dat
         picked = [reduce(DataFrame.unionByName, picked)]
     else:
         # an outer join keeps the unmatched originals once per version that has rows
-        picked = [f for f in picked if f.limit(1).count()]
+        picked = [f for f in picked if not f.isEmpty()]
     joined = [join_truth(join_methods(f, methods), original, id_col, truths, how_join_original)
               for f in picked]
     wide = reduce(DataFrame.unionByName, joined)
@@ -126,7 +126,7 @@ def smd_by_group(rows: DataFrame, group_col: str, *, ref_rule: str = "population
     whole = groups.groupBy(*keys).agg(
         whole_mean("true").alias("__mt"), whole_mean("imp").alias("__mi"),
         F.avg("var_true").alias("__vt"), F.avg("var_imp").alias("__vi"), *picked)
-    if ref_rule == "value" and whole.filter("__ref is null").limit(1).count():
+    if ref_rule == "value" and not whole.filter("__ref is null").isEmpty():
         raise ValueError(f"reference '{ref_value}' is not a group")
     out = attach(groups, whole, keys, null_safe=True)
 

@@ -7,11 +7,10 @@ import statistics
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from functools import partial
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -29,7 +28,7 @@ from fillgauge.operators.sampling import (kfold, sample_exact, stratified_folds,
                                           subsample_stratified)
 from fillgauge.operators.target import (bin_target, inverse_target, rmse_original_scale,
                                         smearing_factor, transform_target)
-from fillgauge.session import settle
+from fillgauge.session import settle, together
 from fillgauge.sources.documents import meta_path, params_path, read_json, write_json
 
 #: The driver keeps one label per category; beyond this, rare ones must be collapsed.
@@ -233,14 +232,14 @@ def _cross_validate(folds: Sequence[tuple[DataFrame, int]], task: str, classes:
                     params: Mapping[str, Any], info: Mapping[str, Any], seed: int
                     ) -> tuple[list[float], list[int]]:
     """Validation error and number of kept trees per fold; boosting stops early."""
-    scores, trees = [], []
-    for ready, bins in folds:
+    def run(ready: DataFrame, bins: int) -> tuple[float, int]:
         model = _estimator(task, classes, params, bins, seed, validate=True).fit(
             ready if classes <= 2 else ready.filter("not __valid"))
-        scores.append(_score(model.transform(ready.filter("__valid")), task, classes, info))
-        trees.append(int(model.getNumTrees) if classes <= 2 else
-                     int(params.get("maxIter", DEFAULTS["maxIter"])))
-    return scores, trees
+        kept = model.getNumTrees if classes <= 2 else params.get("maxIter", DEFAULTS["maxIter"])
+        return _score(model.transform(ready.filter("__valid")), task, classes, info), int(kept)
+
+    done = together(folds[0][0].sparkSession, [partial(run, *fold) for fold in folds])
+    return [score for score, _ in done], [kept for _, kept in done]
 
 
 # ---------------------------------------------------------------- training
@@ -474,11 +473,7 @@ def tune(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequen
         return {"trial": number, "score": statistics.fmean(scores),
                 "best_iter": int(statistics.median(trees)), "params": p}
 
-    if parallelism > 1:
-        with ThreadPool(parallelism) as pool:
-            done = pool.map(inheritable_thread_target(df.sparkSession)(run), list(enumerate(settings)))
-    else:
-        done = [run(job) for job in enumerate(settings)]
+    done = together(df.sparkSession, [partial(run, job) for job in enumerate(settings)], parallelism)
     trials = [t for t in done if t is not None]
     best = min(trials, key=lambda t: t["score"])
     params = {**best["params"], "best_iter": best["best_iter"]}

@@ -1,5 +1,7 @@
 """Queries on imputed versions against the truth, and the tables behind the figures."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from fillgauge.operators.aggregate import aggregate_variable
@@ -9,7 +11,7 @@ from fillgauge.plans.metrics import group_metrics, moment_metrics, spread_metric
 from fillgauge.queries.aggregates import ks_p_sql, ks_sql
 from fillgauge.queries.base import PAIRS, RECORDS, pairs, query, records
 from fillgauge.queries.masking import mcar_sql
-from fillgauge.session import settle
+from fillgauge.session import settle, together
 
 #: Digits after the decimal point at which metrics are compared.
 DIGITS = {
@@ -114,13 +116,15 @@ REGISTRY = [v[:4] for v in VERSIONS]
 def imputed_versions(spark, d):
     """Frames of masked and refilled records by version, and the original table."""
     rec = records(spark, d)
-    frames = {}
-    for version, _m, _k, _r, share, seed, op in VERSIONS:
+
+    def frame(version, _method, _mech, _rate, share, seed, op):
         masked = mcar_missing(rec, "o_totalprice", share, version, id_cols=["o_orderkey"],
                               random_state=seed)
         filled = aggregate_variable(masked, "pay_filled", "o_orderpriority", "o_totalprice", op)
-        frames[version] = filled.filter(F.col("STATUS_ZAPISA") == version)
-    return frames, rec
+        return filled.filter(F.col("STATUS_ZAPISA") == version)
+
+    made = together(spark, [partial(frame, *v) for v in VERSIONS])
+    return dict(zip((v[0] for v in VERSIONS), made)), rec
 
 
 def evaluated(spark, d):

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "fillgauge", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -33,7 +39,7 @@ def work_folder(spark: SparkSession) -> str:
     without that setting gets a temporary folder of its own.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder
     if not sc.master.startswith("local"):
@@ -56,3 +62,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, jobs: Sequence[Callable[[], T]], threads: int = 8) -> list[T]:
+    """Run independent driver steps side by side, so their small jobs share the cluster."""
+    if len(jobs) < 2 or threads < 2:
+        return [job() for job in jobs]
+    wrap = inheritable_thread_target(spark)
+    with ThreadPool(min(threads, len(jobs))) as pool:
+        return pool.map(lambda job: wrap(job)(), list(jobs), chunksize=1)

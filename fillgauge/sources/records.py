@@ -136,7 +136,7 @@ def save_output_data(df: DataFrame, path: str, *, target: DataFrame | None = Non
     if status is None:
         raise ValueError(f"version column {status_col} not found among {out.columns}")
     if delete_before_insert:
-        if out.filter(F.col(status).isNull()).limit(1).count():
+        if not out.filter(F.col(status).isNull()).isEmpty():
             raise ValueError("rows without a version cannot replace a version")
         # the source may read the very table that is being replaced: stage it first
         staged = fresh_path(spark, "staged")
