@@ -134,7 +134,7 @@ def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0,
     winsor = F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"),
                           F.nullif(F.col("n") - 1, F.lit(0)))
     spread = spread.select(*by, final["mad"].alias("mad"),
-                           F.greatest(winsor, F.lit(0.0)).alias("vw"))
+                           F.when(winsor < 0, F.lit(0.0)).otherwise(winsor).alias("vw"))
     spread = spread.groupBy(*keys).agg(*[
         F.max(F.when(F.col("series") == s, F.col(m))).alias(f"{name}_{s}")
         for s in ("true", "imp") for m, name in (("mad", "mad"), ("vw", "var_winsor"))])
