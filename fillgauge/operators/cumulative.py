@@ -1,9 +1,13 @@
-"""Exact grouped distributions: running counts, percentiles, modes.
+"""Exact grouped distributions: percentiles, running counts, modes.
 
-A group is first folded to one row per distinct value, so copies of a value never
-travel.  Running counts need the values of a group in order.  Groups of a checked,
-bounded size are ordered inside one task; if any group is larger, the whole table
-is range-partitioned by (group, value) so that a group spans many tasks, and each
+Percentiles of groups of a checked, bounded size come from ordering each group
+inside one task.  Larger groups are never gathered: a histogram finds the buckets
+the wanted ranks fall into, and only the values in those buckets are looked at
+again (see :mod:`fillgauge.operators.rankcuts`).
+
+Running counts, needed where every value is part of the result, fold a group to
+one row per distinct value.  If any group has too many, the table is
+range-partitioned by (group, value), so that a group spans many tasks, and each
 task starts from the totals of the tasks before it.
 """
 
@@ -16,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge.operators.joins import attach
+from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.session import settle
 
-#: Largest number of distinct values of one group that a single task may order.
+#: Largest number of values of one group that a single task may order.
 MAX_GROUP_ROWS = 1_000_000
+#: Beyond this many groups, small and large groups are handled apart.
+MANY_GROUPS = 100_000
 
 
 def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -83,38 +90,75 @@ def rank_of(p: float, total: Column, interpolation: str = "linear") -> tuple[Col
     raise ValueError(f"unknown interpolation '{interpolation}'")
 
 
-def percentile_columns(wanted: Mapping[str, tuple[str, float]],
-                       interpolation: str = "linear") -> tuple[list[Column], dict[str, Column]]:
-    """Aggregates and final expressions for percentiles over running counts.
-
-    ``wanted`` maps an output name to (count column, p).  The value at rank r is
-    the smallest value whose running count exceeds r: a plain ``min``.
-    """
-    aggs: list[Column] = []
-    final: dict[str, Column] = {}
-    for name, (c, p) in wanted.items():
-        low, high, share = rank_of(p, F.col(f"tot_{c}"), interpolation)
-        cum = F.col(f"cum_{c}")
-        aggs += [F.min(F.when(cum > low, F.col("value"))).alias(f"__lo_{name}"),
-                 F.min(F.when(cum > high, F.col("value"))).alias(f"__hi_{name}"),
-                 F.max(share).alias(f"__sh_{name}")]
-        lo, hi = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
-        final[name] = lo + (hi - lo) * F.col(f"__sh_{name}")
-    return aggs, final
+def group_sizes(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, n), written out."""
+    return settle(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")))
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: Mapping[str, float], *,
-                interpolation: str = "linear", max_group_rows: int | None = None) -> DataFrame:
-    """Exact percentiles: one row per group, one column per entry of ``wanted``."""
-    groups = list(groups)
-    dist = distribution(df, groups, value)
-    if not groups:
-        dist = dist.withColumn("__all", F.lit(0))
-    keys = groups or ["__all"]
-    run = running_counts(dist, keys, max_group_rows=max_group_rows)
-    aggs, final = percentile_columns({n: ("cnt", p) for n, p in wanted.items()}, interpolation)
-    out = run.groupBy(*keys).agg(*aggs)
-    return out.select(*groups, *[e.alias(n) for n, e in final.items()])
+                interpolation: str = "linear", sizes: DataFrame | None = None,
+                max_group_rows: int | None = None) -> DataFrame:
+    """Exact percentiles: one row per group, one column per entry of ``wanted``.
+
+    ``sizes`` may give the number of non-missing values per group if it is known.
+    """
+    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    keys = list(groups) or ["__all"]
+    rows = df if groups else df.withColumn("__all", F.lit(0))
+    rows = rows.select(*keys, F.col(value).cast("double").alias("value")).filter("value is not null")
+    sizes = group_sizes(rows, keys) if sizes is None else sizes
+    biggest, number = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    if (biggest or 0) <= limit:
+        out = _small_groups(rows, keys, wanted, interpolation)
+    elif number <= MANY_GROUPS:
+        out = _large_groups(rows, keys, wanted, interpolation)
+    else:
+        # at most (all rows / limit) groups are large
+        large = sizes.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("__large"))
+        rows = attach(rows, large, keys, null_safe=True)
+        out = _small_groups(rows.filter("__large is null"), keys, wanted, interpolation).unionByName(
+            _large_groups(rows.filter("__large"), keys, wanted, interpolation))
+    return out.select(*groups, *wanted)
+
+
+def _between(name: str, share: Column) -> Column:
+    lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+    return (lo + (hi - lo) * share).alias(name)
+
+
+def _small_groups(rows: DataFrame, keys: list[str], wanted: Mapping[str, float],
+                  interpolation: str) -> DataFrame:
+    """The value at rank r is the smallest value whose running count exceeds r: a plain min."""
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = distribution(rows, keys, "value").withColumns(
+        {"cum": F.sum("cnt").over(upto), "n": F.sum("cnt").over(whole)})
+    aggs = []
+    for name, p in wanted.items():
+        low, high, _share = rank_of(p, F.col("n"), interpolation)
+        aggs += [F.min(F.when(F.col("cum") > low, F.col("value"))).alias(f"__lo_{name}"),
+                 F.min(F.when(F.col("cum") > high, F.col("value"))).alias(f"__hi_{name}")]
+    out = run.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    return out.select(*keys, *[_between(name, rank_of(p, F.col("n"), interpolation)[2])
+                               for name, p in wanted.items()])
+
+
+def _large_groups(rows: DataFrame, keys: list[str], wanted: Mapping[str, float],
+                  interpolation: str) -> DataFrame:
+    """The wanted ranks looked up by ever finer histograms."""
+    def ranks(n: Column) -> Column:
+        return F.array(*[r + 1 for p in wanted.values() for r in rank_of(p, n, interpolation)[:2]])
+
+    x = F.col("value")
+    cuts = rank_cuts(rows, keys, x, value_levels(x), ranks)
+    aggs = []
+    for name, p in wanted.items():
+        low, high, _share = rank_of(p, F.col("n"), interpolation)
+        aggs += [F.max(F.when(F.col("rank") == low + 1, F.col("cut"))).alias(f"__lo_{name}"),
+                 F.max(F.when(F.col("rank") == high + 1, F.col("cut"))).alias(f"__hi_{name}")]
+    out = cuts.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    return out.select(*keys, *[_between(name, rank_of(p, F.col("n"), interpolation)[2])
+                               for name, p in wanted.items()])
 
 
 def modes(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:

@@ -33,6 +33,16 @@ def weighted_levels(key: Column) -> list[Column]:
     return [F.floor(log * F.lit(float(2**n))) for n in (9, 24, 38)]
 
 
+def value_levels(x: Column) -> list[Column]:
+    """Ever finer buckets of a number, of equal relative width.
+
+    ln|x| lies between -745 and 710, so the shift keeps the sign of every nonzero
+    number and the order of all numbers.
+    """
+    scale = F.signum(x) * F.when(x == 0, F.lit(0.0)).otherwise(F.ln(F.abs(x)) + F.lit(800.0))
+    return [F.floor(scale * F.lit(float(2**n))) for n in (9, 24, 38)]
+
+
 def weighted_key(id_cols: Sequence[str], weight: Column, *salt: object) -> Column:
     """Key whose k smallest values are k successive weighted draws (Efraimidis, Spirakis 2006)."""
     text = md5_key(id_cols, *salt)

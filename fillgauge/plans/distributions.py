@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgauge.operators.cumulative import percentile_columns, running_counts
+from fillgauge.operators.cumulative import percentiles, running_counts
 from fillgauge.operators.joins import attach
+from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.operators.robust import paired_distribution
 from fillgauge.operators.sampling import sample_per_group
 from fillgauge.plans.reports import filter_selection
@@ -41,23 +42,41 @@ def fd_bin_count(n: Column, iqr: Column, low: Column, high: Column) -> Column:
             .otherwise(F.greatest(bins, F.lit(BINS_MIN))).cast("int"))
 
 
-def _combined(dist: DataFrame, keys: Sequence[str], marks: dict[str, float]) -> DataFrame:
-    """Size, ends and percentiles of both series put together."""
-    both = dist.select(*keys, "value", (F.col("n_true") + F.col("n_imp")).alias("cnt"))
-    aggs, final = percentile_columns({m: ("cnt", p) for m, p in marks.items()})
-    out = running_counts(both, keys).groupBy(*keys).agg(
-        F.max("tot_cnt").alias("n_both"), F.min("value").alias("low"), F.max("value").alias("high"),
-        *aggs)
-    return out.select(*keys, "n_both", "low", "high", *[final[m].alias(m) for m in marks])
+def _series(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, series, value): true and imputed values below each other."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("series"), F.col(c).cast("double").alias("value"))
+        for name, c in (("true", "y_true"), ("imp", "y_pred"))]))
+    out = rows.select(*keys, cells.alias("s")).select(*keys, "s.*")
+    return out.filter("value is not null")
 
 
-def fd_bins(rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def _stored(rows: DataFrame, selection: dict) -> tuple[DataFrame, list[str]]:
+    """The chosen rows, written out because every table reads them more than once."""
+    keys = figure_keys(rows)
+    return settle(selected_rows(rows, **selection).select(*keys, "y_true", "y_pred")), keys
+
+
+def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, bins) of both series together, given their sizes and ends."""
+    both = frame.groupBy(*keys).agg(F.sum("total").alias("n"), F.min("lo").alias("low"),
+                                    F.max("hi").alias("high"))
+    q = percentiles(tall, keys, "value", {"q25": 0.25, "q75": 0.75})
+    both = attach(both, q, keys, null_safe=True)
+    bins = fd_bin_count(F.col("n"), F.col("q75") - F.col("q25"), F.col("low"), F.col("high"))
+    return both.select(*keys, "n", bins.alias("bins"))
+
+
+def _frame(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return settle(tall.groupBy(*keys, "series").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))
+
+
+def fd_bins(rows: DataFrame, **selection) -> DataFrame:
     """(keys, n, bins) for both series of every figure together."""
-    keys = list(keys or figure_keys(rows))
-    dist = settle(paired_distribution(rows, keys, "y_true", "y_pred"))
-    s = _combined(dist, keys, {"q25": 0.25, "q75": 0.75})
-    bins = fd_bin_count(F.col("n_both"), F.col("q75") - F.col("q25"), F.col("low"), F.col("high"))
-    return s.select(*keys, F.col("n_both").alias("n"), bins.alias("bins"))
+    rows, keys = _stored(rows, selection)
+    tall = _series(rows, keys)
+    return _bin_counts(tall, _frame(tall, keys), keys)
 
 
 def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
@@ -68,44 +87,30 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
     Both series are clipped at percentiles of the combined data and share the bin
     count; each has its own equal-width edges.  Empty bins are listed with 0.
     """
-    rows = selected_rows(rows, **selection)
-    keys = figure_keys(rows)
-    dist = paired_distribution(rows, keys, "y_true", "y_pred")
-    if x_transform == "log1p":
-        dist = dist.filter("value > -1").groupBy(*keys, F.log1p("value").alias("value")).agg(
-            F.sum("n_true").alias("n_true"), F.sum("n_imp").alias("n_imp"))
-    elif x_transform is not None:
+    if x_transform not in (None, "log1p"):
         raise ValueError("x_transform must be None or 'log1p'")
-    dist = settle(dist)
+    rows, keys = _stored(rows, selection)
+    tall = _series(rows, keys)
+    if x_transform:
+        tall = tall.filter("value > -1").withColumn("value", F.log1p("value"))
     if x_clip is not None:
-        ends = _combined(dist, keys, {"c_lo": x_clip[0], "c_hi": x_clip[1]})
-        dist = attach(dist, ends.select(*keys, "c_lo", "c_hi"), keys, null_safe=True)
-        dist = settle(dist.filter((F.col("value") >= F.col("c_lo")) & (F.col("value") <= F.col("c_hi")))
-                      .drop("c_lo", "c_hi"))
+        ends = percentiles(tall, keys, "value", {"c_lo": x_clip[0], "c_hi": x_clip[1]})
+        tall = attach(tall, ends, keys, null_safe=True).filter(
+            (F.col("value") >= F.col("c_lo")) & (F.col("value") <= F.col("c_hi"))).drop("c_lo", "c_hi")
+    by = [*keys, "series"]
+    frame = _frame(tall, keys)
     if bins == "fd":
-        s = _combined(dist, keys, {"q25": 0.25, "q75": 0.75})
-        count = fd_bin_count(F.col("n_both"), F.col("q75") - F.col("q25"), F.col("low"), F.col("high"))
+        frame = attach(frame, _bin_counts(tall, frame, keys).drop("n"), keys, null_safe=True)
     else:
-        s = dist.select(*keys).distinct()
-        count = F.lit(int(bins))
-    s = s.select(*keys, count.alias("bins"))
-
-    parts = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("series"), F.col(c).alias("n")) for name, c in
-        (("true", "n_true"), ("imp", "n_imp"))]))
-    tall = dist.select(*keys, "value", parts.alias("p")).select(*keys, "p.series", "value", "p.n")
-    tall = tall.filter("n > 0")
-    by = [*keys, "series"]
-    frame = tall.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                  F.sum("n").alias("total"))
+        frame = frame.withColumn("bins", F.lit(int(bins)))
     flat = F.col("lo") == F.col("hi")
-    frame = attach(frame, s, keys, null_safe=True).withColumns({
+    frame = frame.withColumns({
         "lo": F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")),
         "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))})
     frame = settle(frame.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins")))
-    tall = attach(tall, frame, by, null_safe=True, settled=True)
+    placed = attach(tall, frame.select(*by, "lo", "width", "bins"), by, null_safe=True, settled=True)
     bin_no = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("bins") - 1)
-    filled = tall.groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    filled = placed.groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # at most 200 bins (or the asked number) per figure and series
     slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     out = attach(slots, filled, [*by, "bin"], null_safe=True)
@@ -140,73 +145,45 @@ def ecdf_table(rows: DataFrame, **selection) -> DataFrame:
 
 
 def qq_table(rows: DataFrame, q_points: int = 101, **selection) -> DataFrame:
-    """(keys, p, q_true, q_imp) at ``q_points`` evenly spaced shares from 0.01 to 0.99.
+    """(keys, point, p, q_true, q_imp) at ``q_points`` evenly spaced shares from 0.01 to 0.99."""
+    rows, keys = _stored(rows, selection)
+    step = (0.99 - 0.01) / (q_points - 1) if q_points > 1 else 0.0
+    shares = [0.01 + step * i for i in range(q_points)]
+    table = F.array(*[F.lit(p) for p in shares])
+    by = [*keys, "series"]
+    x = F.col("value")
 
-    Each distinct value names the few shares whose rank may fall on it, so only
-    those rows are grouped.
-    """
-    rows = selected_rows(rows, **selection)
-    keys = figure_keys(rows)
-    tall = _per_series(_running(rows, keys), keys)
-    step = (0.99 - 0.01) / (q_points - 1) if q_points > 1 else 0.98
-    last = F.col("tot") - 1
-    before = F.col("cum") - F.col("cnt")
-
-    def point_near(rank: Column) -> Column:
-        """Number of the share closest to a rank."""
-        at = (F.try_divide(rank, F.nullif(last, F.lit(0))) - F.lit(0.01)) / F.lit(step)
-        return F.least(F.greatest(F.floor(at), F.lit(-1)), F.lit(q_points))
-
-    # a group of one value holds every share; otherwise look one point further on each side
-    first = F.when(last == 0, F.lit(0)).otherwise(F.greatest(point_near(before - 1), F.lit(0)))
-    final = F.when(last == 0, F.lit(q_points - 1)).otherwise(
-        F.least(point_near(F.col("cum")) + 1, F.lit(q_points - 1)))
-    near = tall.withColumns({"first": first.cast("int"), "final": final.cast("int")})
-    near = near.withColumn("i", F.explode(F.when(
-        F.col("first") <= F.col("final"), F.sequence("first", "final"))))
-    shares = F.array(*[F.lit(0.01 + step * i) for i in range(q_points)])
-    near = near.withColumn("p", F.get(shares, F.col("i")))
-    h = last * F.col("p")
-
-    def falls_here(rank: Column) -> Column:
-        return (rank >= before) & (rank < F.col("cum"))
-
-    near = near.filter(falls_here(F.floor(h)) | falls_here(F.ceil(h)))
-    near = near.select(*keys, "series", "i", "p",
-                       F.when(falls_here(F.floor(h)), F.col("value")).alias("a"),
-                       F.when(falls_here(F.ceil(h)), F.col("value")).alias("b"),
-                       (h - F.floor(h)).alias("w"))
-    a, b, w = F.max("a"), F.max("b"), F.max("w")
-    points = near.groupBy(*keys, "series", "i", "p").agg((a + (b - a) * w).alias("q"))
-    out = points.groupBy(*keys, "i", "p").agg(
-        F.max(F.when(F.col("series") == "true", F.col("q"))).alias("q_true"),
-        F.max(F.when(F.col("series") == "imp", F.col("q"))).alias("q_imp"))
-    return out.select(*keys, F.col("i").alias("point"), "p", "q_true", "q_imp")
+    def ranks(n: Column) -> Column:
+        low = F.transform(table, lambda p: F.floor((n - 1) * p) + 1)
+        return F.concat(low, F.transform(table, lambda p: F.ceil((n - 1) * p) + 1))
+
+    cuts = rank_cuts(_series(rows, keys), by, x, value_levels(x), ranks)
+    # at most two cuts per share
+    found = cuts.groupBy(*by).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "cut"))).alias("at"))
+    points = found.select(*by, "n", "at", F.posexplode(table).alias("point", "p"))
+    h = (F.col("n") - 1) * F.col("p")
+    low, high = F.col("at")[F.floor(h) + 1], F.col("at")[F.ceil(h) + 1]
+    points = points.withColumn("q", low + (high - low) * (h - F.floor(h)))
+    return points.groupBy(*keys, "point", "p").agg(*[
+        F.max(F.when(F.col("series") == s, F.col("q"))).alias(f"q_{s}") for s in ("true", "imp")])
 
 
 def box_table(rows: DataFrame, **selection) -> DataFrame:
     """(keys, series, n, q1, median, q3, whisker_low, whisker_high, outliers).
 
-    Whiskers end at the outermost values within 1.5 box lengths of the box.
+    Whiskers end at the outermost values within 1.5 box lengths of the box, and
+    never start inside it.
     """
-    rows = selected_rows(rows, **selection)
-    keys = figure_keys(rows)
-    tall = settle(_per_series(_running(rows, keys), keys).withColumnsRenamed(
-        {"cum": "cum_cnt", "tot": "tot_cnt"}))
-    by = [*keys, "series"]
-    aggs, final = percentile_columns({m: ("cnt", p) for m, p in
-                                      (("q1", 0.25), ("median", 0.5), ("q3", 0.75))})
-    box = tall.groupBy(*by).agg(F.max("tot_cnt").alias("n_all"), *aggs)
-    box = settle(box.select(*by, "n_all", *[e.alias(m) for m, e in final.items()]))
-    seen = attach(tall, box, by, null_safe=True, settled=True)
+    rows, keys = _stored(rows, selection)
+    tall, by = _series(rows, keys), [*keys, "series"]
+    box = settle(percentiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    seen = attach(tall, box.drop("median"), by, null_safe=True, settled=True)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     ends = seen.groupBy(*by).agg(
-        F.min(F.when(inside, F.col("value"))).alias("w_lo"),
-        F.max(F.when(inside, F.col("value"))).alias("w_hi"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).alias("outliers"))
+        F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("value"))).alias("w_lo"),
+        F.max(F.when(inside, F.col("value"))).alias("w_hi"), F.count_if(~inside).alias("outliers"))
     out = attach(box, ends, by, null_safe=True)
-    # a whisker never starts inside the box
-    return out.select(*by, F.col("n_all").alias("n"), "q1", "median", "q3",
-                      F.least("w_lo", "q1").alias("whisker_low"),
+    return out.select(*by, "n", "q1", "median", "q3", F.least("w_lo", "q1").alias("whisker_low"),
                       F.greatest("w_hi", "q3").alias("whisker_high"), "outliers")

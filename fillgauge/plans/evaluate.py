@@ -76,15 +76,18 @@ def evaluate_imputations_from_methods(
     """All pairs, written once, and the metrics per method, mechanism, rate, version, variable."""
     rows = settle(long_rows(methods, frames, original, id_col=id_col, target_cols=target_cols,
                             imputed_map=imputed_map, how_join_original=how_join_original))
-    return rows, group_metrics(rows, SUMMARY_KEYS)
+    return rows, group_metrics(rows, SUMMARY_KEYS, settled=True)
 
 
 def summarize_by_group(rows: DataFrame, group_col: str, *, by_keys: Sequence[str] | None = None,
-                       winsor_p: float = 5.0) -> DataFrame:
-    """The metrics per variable and value of ``group_col``, optionally per ``by_keys``."""
+                       winsor_p: float = 5.0, settled: bool = False) -> DataFrame:
+    """The metrics per variable and value of ``group_col``, optionally per ``by_keys``.
+
+    ``settled`` says that ``rows`` is a stored table, which need not be written again.
+    """
     by = list(by_keys or [])
     require_columns(rows, ["variable", "y_true", "y_pred", group_col, *by])
-    out = group_metrics(rows, [*by, "variable", group_col], winsor_p)
+    out = group_metrics(rows, [*by, "variable", group_col], winsor_p, settled=settled)
     metrics = out.columns[len(by) + 2:]
     return out.select(*by, "variable", F.lit(group_col).alias("group_col"),
                       F.col(group_col).alias("group"), *metrics)

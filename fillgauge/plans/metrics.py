@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import clip
-from fillgauge.operators.cumulative import percentile_columns, running_counts
+from fillgauge.operators.cumulative import group_sizes, percentiles
 from fillgauge.operators.joins import attach
-from fillgauge.operators.robust import ks_distance, ks_pvalue, paired_distribution
-from fillgauge.session import settle
+from fillgauge.operators.robust import ks_two_sample
+from fillgauge.session import settle, together
 
 EPS = 1e-12
 
@@ -95,66 +95,53 @@ def _ratio(imp: str, true: str) -> Column:
 
 
 def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0, *,
-                   max_group_rows: int | None = None) -> DataFrame:
+                   settled: bool = False, max_group_rows: int | None = None) -> DataFrame:
     """Percentile-based spread, winsorized variance and distribution distance per group.
 
-    Works on distinct values with their counts, so equal values cost nothing.
+    The complete pairs are read several times, so they are written out first
+    unless ``rows`` is a stored table already (``settled``).
     """
     keys = list(keys)
-    pairs = rows.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
-    dist = paired_distribution(pairs, keys, "y_true", "y_pred")
-    run = settle(running_counts(dist, keys, ("n_true", "n_imp"), max_group_rows=max_group_rows))
+    pairs = rows.select(*keys, "y_true", "y_pred").filter("y_true is not null and y_pred is not null")
+    pairs = pairs if settled else settle(pairs)
+    series = F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(c).cast("double").alias("value"))
+                                 for s, c in (("true", "y_true"), ("imp", "y_pred"))]))
+    tall = pairs.select(*keys, series.alias("s")).select(*keys, "s.*")
+    by = [*keys, "series"]
+    sizes = group_sizes(tall, by)
+    options = {"sizes": sizes, "max_group_rows": max_group_rows}
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "p5": 0.05, "p95": 0.95,
              "wlo": winsor_p / 100, "whi": 1 - winsor_p / 100}
-    aggs, final = percentile_columns(
-        {f"{m}_{s}": (f"n_{s}", p) for s in ("true", "imp") for m, p in marks.items()})
-    q = run.groupBy(*keys).agg(F.max("tot_n_true").alias("__n"), ks_distance().alias("ks_stat"), *aggs)
-    q = settle(q.select(*keys, "__n", "ks_stat", *[e.alias(n) for n, e in final.items()]))
-
-    seen = attach(run.select(*keys, "value", "n_true", "n_imp"), q, keys, null_safe=True, settled=True)
-    # both series on one scale: distance from the own median, and the clipped value
-    # measured from the median to keep the sums small
-    def series(s: str) -> Column:
-        v, mid = F.col("value"), F.col(f"q50_{s}")
-        clipped = clip(v, F.col(f"wlo_{s}"), F.col(f"whi_{s}")) - mid
-        return F.struct(F.lit(s).alias("series"), F.abs(v - mid).alias("value"),
-                        clipped.alias("w"), F.col(f"n_{s}").alias("cnt"))
-
-    away = seen.select(*keys, F.explode(F.array(series("true"), series("imp"))).alias("s"))
-    away = away.select(*keys, "s.*").filter("cnt > 0")
-    n, s1 = F.sum("cnt"), F.sum(F.col("w") * F.col("cnt"))
-    s2 = F.sum(F.col("w") * F.col("w") * F.col("cnt"))
-    folded = settle(away.groupBy(*keys, "series", "value").agg(
-        n.alias("cnt"), s1.alias("s1"), s2.alias("s2")))
-    by = [*keys, "series"]
-    dev = running_counts(folded, by, settled=True, max_group_rows=max_group_rows)
-    aggs, final = percentile_columns({"mad": ("cnt", 0.5)})
-    n = F.max("tot_cnt")
-    spread = dev.groupBy(*by).agg(*aggs, n.alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    winsor = F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"),
-                          F.nullif(F.col("n") - 1, F.lit(0)))
-    spread = spread.select(*by, final["mad"].alias("mad"),
-                           F.when(winsor < 0, F.lit(0.0)).otherwise(winsor).alias("vw"))
-    spread = spread.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("series") == s, F.col(m))).alias(f"{name}_{s}")
-        for s in ("true", "imp") for m, name in (("mad", "mad"), ("vw", "var_winsor"))])
-
-    out = attach(q, spread, keys, null_safe=True)
-    for s in ("true", "imp"):
-        out = out.withColumns({f"iqr_{s}": F.col(f"q75_{s}") - F.col(f"q25_{s}"),
-                               f"p95p5_{s}": F.col(f"p95_{s}") - F.col(f"p5_{s}")})
+    q = settle(percentiles(tall, by, "value", marks, **options))
+
+    def deviation_and_winsor() -> DataFrame:
+        seen = attach(tall, q.select(*by, "q50", "wlo", "whi"), by, null_safe=True, settled=True)
+        away = seen.select(*by, F.abs(F.col("value") - F.col("q50")).alias("value"))
+        mad = percentiles(away, by, "value", {"mad": 0.5}, **options)
+        clipped = clip(F.col("value"), F.col("wlo"), F.col("whi"))
+        winsor = seen.groupBy(*by).agg(F.var_samp(clipped).alias("var_winsor"))
+        return attach(attach(q, mad, by, null_safe=True), winsor, by, null_safe=True)
+
+    spread, ks = together(rows.sparkSession, [
+        deviation_and_winsor,
+        lambda: ks_two_sample(pairs, keys, "y_true", "y_pred", max_group_rows=max_group_rows)])
+    spread = spread.withColumns({"iqr": F.col("q75") - F.col("q25"), "p95p5": F.col("p95") - F.col("p5")})
     names = ("iqr", "mad", "p95p5", "var_winsor")
+    out = spread.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("series") == s, F.col(m))).alias(f"{m}_{s}")
+        for m in names for s in ("true", "imp")])
     out = out.withColumns({f"{m}_ratio": _ratio(f"{m}_imp", f"{m}_true") for m in names})
-    out = out.withColumn("ks_p", ks_pvalue(F.col("ks_stat"), F.col("__n"), F.col("__n")))
+    out = attach(out, ks.select(*keys, "ks_stat", "ks_p"), keys, null_safe=True)
     return out.select(*keys, *[f"{m}_{s}" for m in names for s in ("true", "imp", "ratio")],
                       "ks_stat", "ks_p")
 
 
 def group_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0, *,
-                  max_group_rows: int | None = None) -> DataFrame:
+                  settled: bool = False, max_group_rows: int | None = None) -> DataFrame:
     """One row per group with all metrics; undefined ones are NULL."""
     keys = list(keys)
     narrow = rows.select(*keys, "y_true", "y_pred")
-    spread = spread_metrics(narrow, keys, winsor_p, max_group_rows=max_group_rows)
+    narrow = narrow if settled else settle(narrow)
+    spread = spread_metrics(narrow, keys, winsor_p, settled=True, max_group_rows=max_group_rows)
     out = attach(moment_metrics(narrow, keys), spread, keys, null_safe=True)
     return out.select(*keys, *METRICS)

@@ -187,7 +187,7 @@ def _grouped_sql(keys, metrics):
 
 @query("eval_by_group", f"{ROWS} {_grouped_sql([KEYS_SQL[0], 'variable', 'sector'], ALL)}")
 def _(spark, d):
-    out = evaluate.summarize_by_group(_with_sector(spark, d), "sector", by_keys=["Method"])
+    out = evaluate.summarize_by_group(_with_sector(spark, d), "sector", by_keys=["Method"], settled=True)
     return _shown(out, ["Method", "variable", "group_col", "group"], ALL)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillgauge.operators import cumulative as C
+from fillgauge.operators import rankcuts as K
 from fillgauge.operators import robust
 
 
@@ -28,7 +29,8 @@ def split(data, g, i=1):
 
 @pytest.mark.parametrize("limit", [None, 40])
 @pytest.mark.parametrize("interpolation", ["linear", "lower", "higher", "midpoint"])
-def test_percentiles(df, data, limit, interpolation):
+def test_percentiles(df, data, monkeypatch, limit, interpolation):
+    monkeypatch.setattr(K, "MAX_BUCKET_ROWS", limit or K.MAX_BUCKET_ROWS)
     ps = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.77, "e": 1.0}
     got = C.percentiles(df, ["g"], "x", ps, max_group_rows=limit, interpolation=interpolation).collect()
     assert {r["g"] for r in got} == {"hot", "b", None, "c"}
@@ -86,8 +88,9 @@ def walk(x, y):
     return worst
 
 
-def test_ks_sequential_ties(df, data):
-    for r in robust.ks_two_sample(df, ["g"], "x", "y").collect():
+@pytest.mark.parametrize("limit", [None, 60, 3])
+def test_ks_sequential_ties(df, data, limit):
+    for r in robust.ks_two_sample(df, ["g"], "x", "y", max_group_rows=limit).collect():
         if r["g"] == "empty":
             continue
         x, y = split(data, r["g"], 1), split(data, r["g"], 2)
@@ -99,10 +102,29 @@ def test_ks_sequential_ties(df, data):
 
 @pytest.mark.parametrize("x,y,seq,std", [
     ([1, 1, 1], [1, 1, 1], 1.0, 0.0), ([1, 2], [3, 4], 1.0, 1.0), ([1, 2, 2, 3], [2, 2, 3, 3], 0.75, 0.25)])
-def test_ks_small(spark, x, y, seq, std):
+@pytest.mark.parametrize("limit", [None, 1])
+def test_ks_small(spark, x, y, seq, std, limit):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    assert np.isclose(robust.ks_two_sample(df, [], "x", "y").first()["ks_stat"], seq)
-    assert np.isclose(robust.ks_two_sample(df, [], "x", "y", ties="standard").first()["ks_stat"], std)
+    for ties, want in (("sequential", seq), ("standard", std)):
+        got = robust.ks_two_sample(df, [], "x", "y", ties=ties, max_group_rows=limit).first()
+        assert np.isclose(got["ks_stat"], want)
+
+
+def test_mixed_group_sizes(df, data, monkeypatch):
+    """Large groups by histogram, small ones in one task, in one result."""
+    monkeypatch.setattr(C, "MANY_GROUPS", 2)
+    for r in C.percentiles(df, ["g"], "x", {"m": 0.5, "h": 0.9}, max_group_rows=500).collect():
+        assert np.allclose([r["m"], r["h"]], np.percentile(split(data, r["g"]), [50, 90]))
+
+
+def test_value_buckets_keep_the_order(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(0, 1, 300), rng.normal(0, 1e-300, 50), 1e9 + rng.normal(0, 1, 300),
+                        [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324], -rng.lognormal(20, 9, 100)])
+    df = spark.createDataFrame([(float(x),) for x in v], "x double").orderBy("x")
+    for level in K.value_levels(F.col("x")):
+        b = [r[0] for r in df.select(level).collect()]
+        assert b == sorted(b)
 
 
 def test_ks_pvalue(spark):
