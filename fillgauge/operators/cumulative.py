@@ -90,13 +90,22 @@ def rank_of(p: float, total: Column, interpolation: str = "linear") -> tuple[Col
     raise ValueError(f"unknown interpolation '{interpolation}'")
 
 
-def group_sizes(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """(groups, n), written out."""
-    return settle(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")))
+class GroupSizes:
+    """Size of the largest group and number of groups, from one small job."""
+
+    def __init__(self, rows: DataFrame, groups: Sequence[str]):
+        self.groups = list(groups)
+        self.table = rows.groupBy(*self.groups).agg(F.count(F.lit(1)).alias("n"))
+        biggest, self.number = self.table.agg(F.max("n"), F.count(F.lit(1))).first()
+        self.biggest = biggest or 0
+
+    def larger_than(self, limit: int) -> DataFrame:
+        """The groups with more rows; at most (all rows / limit) of them."""
+        return self.table.filter(F.col("n") > limit).select(*self.groups)
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: Mapping[str, float], *,
-                interpolation: str = "linear", sizes: DataFrame | None = None,
+                interpolation: str = "linear", sizes: GroupSizes | None = None,
                 max_group_rows: int | None = None) -> DataFrame:
     """Exact percentiles: one row per group, one column per entry of ``wanted``.
 
@@ -106,15 +115,13 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: Mappin
     keys = list(groups) or ["__all"]
     rows = df if groups else df.withColumn("__all", F.lit(0))
     rows = rows.select(*keys, F.col(value).cast("double").alias("value")).filter("value is not null")
-    sizes = group_sizes(rows, keys) if sizes is None else sizes
-    biggest, number = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    if (biggest or 0) <= limit:
+    sizes = GroupSizes(rows, keys) if sizes is None else sizes
+    if sizes.biggest <= limit:
         out = _small_groups(rows, keys, wanted, interpolation)
-    elif number <= MANY_GROUPS:
+    elif sizes.number <= MANY_GROUPS:
         out = _large_groups(rows, keys, wanted, interpolation)
     else:
-        # at most (all rows / limit) groups are large
-        large = sizes.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("__large"))
+        large = sizes.larger_than(limit).withColumn("__large", F.lit(True))
         rows = attach(rows, large, keys, null_safe=True)
         out = _small_groups(rows.filter("__large is null"), keys, wanted, interpolation).unionByName(
             _large_groups(rows.filter("__large"), keys, wanted, interpolation))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import clip
-from fillgauge.operators.cumulative import MAX_GROUP_ROWS, group_sizes, percentiles
+from fillgauge.operators.cumulative import MAX_GROUP_ROWS, GroupSizes, percentiles
 from fillgauge.operators.joins import attach
 from fillgauge.operators.rankcuts import value_levels
 from fillgauge.session import settle
@@ -17,9 +17,11 @@ from fillgauge.session import settle
 def winsorize(df: DataFrame, groups: Sequence[str], value: str, p: float = 5.0,
               name: str = "winsorized") -> DataFrame:
     """Clip ``value`` at the p-th and (100-p)-th percentile of its group."""
-    bounds = percentiles(df, groups, value, {"__lo": p / 100, "__hi": 1 - p / 100})
-    if groups:
-        out = attach(df, bounds, groups, null_safe=True)
+    rows = df.filter(F.col(value).isNotNull())
+    sizes = GroupSizes(rows, groups) if groups else None
+    bounds = percentiles(df, groups, value, {"__lo": p / 100, "__hi": 1 - p / 100}, sizes=sizes)
+    if sizes:
+        out = attach(df, bounds, groups, null_safe=True, settled=True, table_rows=sizes.number)
     else:
         lo, hi = bounds.first() or (None, None)
         out = df.withColumns({"__lo": F.lit(lo).cast("double"), "__hi": F.lit(hi).cast("double")})
@@ -32,9 +34,9 @@ def mad(df: DataFrame, groups: Sequence[str], value: str, name: str = "mad") ->
     keys = list(groups) or ["__all"]
     rows = df.withColumn("__all", F.lit(0)).select(*keys, F.col(value).cast("double").alias("value"))
     rows = rows.filter("value is not null")
-    sizes = group_sizes(rows, keys)
+    sizes = GroupSizes(rows, keys)
     centre = percentiles(rows, keys, "value", {"__med": 0.5}, sizes=sizes)
-    away = attach(rows, centre, keys, null_safe=True)
+    away = attach(rows, centre, keys, null_safe=True, settled=True, table_rows=sizes.number)
     away = away.select(*keys, F.abs(F.col("value") - F.col("__med")).alias("value"))
     return percentiles(away, keys, "value", {name: 0.5}, sizes=sizes).select(*groups, name)
 
@@ -120,7 +122,8 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
     places = settle(sizes.filter("n1 > 0 and n2 > 0").select(
         *keys, F.lit(0).alias("__b"), "n1", "n2", F.lit(0).cast("long").alias("a0"),
         F.lit(0).cast("long").alias("b0")))
-    number, best = places.count(), None
+    groups = number = places.count()
+    best = None
 
     def running(df: DataFrame, order: str) -> DataFrame:
         upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +147,7 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
         down = _share(F.col("cb"), "n2") - _share(F.col("ca") - F.col("a"), "n1")
         hist = settle(hist.withColumns({"d": _gap("standard"), "most": F.greatest(up, down)}))
         best = settle(better(hist.groupBy(*keys).agg(F.max("d").alias("d"))))
-        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True)
+        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True, table_rows=groups)
         places = settle(still.filter("most > d").select(
             *keys, F.col(fine).alias("__b"), "n1", "n2", (F.col("ca") - F.col("a")).alias("a0"),
             (F.col("cb") - F.col("b")).alias("b0"), "m"))
@@ -167,10 +170,10 @@ def ks_two_sample(df: DataFrame, groups: Sequence[str], first: str, second: str,
     keys = list(groups) or ["__all"]
     rows = stack_pairs(df.withColumn("__all", F.lit(0)), keys, first, second)
     sizes = settle(rows.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")))
-    biggest = sizes.agg(F.max(F.col("n1") + F.col("n2"))).first()[0] or 0
-    found = (_ks_small(rows, keys, ties) if biggest <= limit else
+    biggest, number = sizes.agg(F.max(F.col("n1") + F.col("n2")), F.count(F.lit(1))).first()
+    found = (_ks_small(rows, keys, ties) if (biggest or 0) <= limit else
              _ks_large(rows, sizes, keys, ties, limit))
-    out = attach(sizes, found, keys, null_safe=True)
+    out = attach(sizes, found, keys, null_safe=True, settled=True, table_rows=number)
     d = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("d"))
     return out.select(*groups, F.col("n1").alias("n_true"), F.col("n2").alias("n_imp"),
                       d.alias("ks_stat"), ks_pvalue(d, F.col("n1"), F.col("n2")).alias("ks_p"))

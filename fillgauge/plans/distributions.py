@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgauge.operators.cumulative import percentiles, running_counts
+from fillgauge.operators.cumulative import GroupSizes, percentiles, running_counts
 from fillgauge.operators.joins import attach
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.operators.robust import paired_distribution
@@ -57,26 +57,29 @@ def _stored(rows: DataFrame, selection: dict) -> tuple[DataFrame, list[str]]:
     return settle(selected_rows(rows, **selection).select(*keys, "y_true", "y_pred")), keys
 
 
-def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str], known: dict) -> DataFrame:
     """(keys, n, bins) of both series together, given their sizes and ends."""
     both = frame.groupBy(*keys).agg(F.sum("total").alias("n"), F.min("lo").alias("low"),
                                     F.max("hi").alias("high"))
     q = percentiles(tall, keys, "value", {"q25": 0.25, "q75": 0.75})
-    both = attach(both, q, keys, null_safe=True)
+    both = attach(both, q, keys, **known)
     bins = fd_bin_count(F.col("n"), F.col("q75") - F.col("q25"), F.col("low"), F.col("high"))
     return both.select(*keys, "n", bins.alias("bins"))
 
 
-def _frame(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return settle(tall.groupBy(*keys, "series").agg(
+def _frame(tall: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Ends and size of every series, and the options for joins with such small tables."""
+    frame = settle(tall.groupBy(*keys, "series").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))
+    return frame, {"null_safe": True, "settled": True, "table_rows": frame.count()}
 
 
 def fd_bins(rows: DataFrame, **selection) -> DataFrame:
     """(keys, n, bins) for both series of every figure together."""
     rows, keys = _stored(rows, selection)
     tall = _series(rows, keys)
-    return _bin_counts(tall, _frame(tall, keys), keys)
+    frame, known = _frame(tall, keys)
+    return _bin_counts(tall, frame, keys, known)
 
 
 def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
@@ -98,9 +101,9 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
         tall = attach(tall, ends, keys, null_safe=True).filter(
             (F.col("value") >= F.col("c_lo")) & (F.col("value") <= F.col("c_hi"))).drop("c_lo", "c_hi")
     by = [*keys, "series"]
-    frame = _frame(tall, keys)
+    frame, known = _frame(tall, keys)
     if bins == "fd":
-        frame = attach(frame, _bin_counts(tall, frame, keys).drop("n"), keys, null_safe=True)
+        frame = attach(frame, _bin_counts(tall, frame, keys, known).drop("n"), keys, **known)
     else:
         frame = frame.withColumn("bins", F.lit(int(bins)))
     flat = F.col("lo") == F.col("hi")
@@ -108,12 +111,13 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
         "lo": F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")),
         "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))})
     frame = settle(frame.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins")))
-    placed = attach(tall, frame.select(*by, "lo", "width", "bins"), by, null_safe=True, settled=True)
+    placed = attach(tall, frame.select(*by, "lo", "width", "bins"), by, **known)
     bin_no = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("bins") - 1)
     filled = placed.groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # at most 200 bins (or the asked number) per figure and series
     slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    out = attach(slots, filled, [*by, "bin"], null_safe=True)
+    slot_rows = known["table_rows"] * (BINS_MAX if bins == "fd" else int(bins))
+    out = attach(slots, filled, [*by, "bin"], null_safe=True, settled=True, table_rows=slot_rows)
     n = F.coalesce(F.col("n"), F.lit(0))
     height = n / (F.col("total") * F.col("width")) if density else n.cast("double")
     left = F.col("lo") + F.col("bin") * F.col("width")
@@ -177,13 +181,15 @@ def box_table(rows: DataFrame, **selection) -> DataFrame:
     """
     rows, keys = _stored(rows, selection)
     tall, by = _series(rows, keys), [*keys, "series"]
-    box = settle(percentiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
-    seen = attach(tall, box.drop("median"), by, null_safe=True, settled=True)
+    sizes = GroupSizes(tall, by)
+    known = {"null_safe": True, "settled": True, "table_rows": sizes.number}
+    box = settle(percentiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, sizes=sizes))
+    seen = attach(tall, box.drop("median"), by, **known)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     ends = seen.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("value"))).alias("w_lo"),
         F.max(F.when(inside, F.col("value"))).alias("w_hi"), F.count_if(~inside).alias("outliers"))
-    out = attach(box, ends, by, null_safe=True)
+    out = attach(box, ends, by, **known)
     return out.select(*by, "n", "q1", "median", "q3", F.least("w_lo", "q1").alias("whisker_low"),
                       F.greatest("w_hi", "q3").alias("whisker_high"), "outliers")

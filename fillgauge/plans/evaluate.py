@@ -131,7 +131,8 @@ def smd_by_group(rows: DataFrame, group_col: str, *, ref_rule: str = "population
         F.avg("var_true").alias("__vt"), F.avg("var_imp").alias("__vi"), *picked)
     if ref_rule == "value" and not whole.filter("__ref is null").isEmpty():
         raise ValueError(f"reference '{ref_value}' is not a group")
-    out = attach(groups, whole, keys, null_safe=True)
+    known = {"null_safe": True, "settled": True, "table_rows": whole.count()}
+    out = attach(groups, whole, keys, **known)
 
     def total_variance(s: str, centre: str) -> Column:
         gap = F.col(f"mean_{s}") - F.col(centre)
@@ -143,7 +144,7 @@ def smd_by_group(rows: DataFrame, group_col: str, *, ref_rule: str = "population
 
     spread = out.groupBy(*keys).agg(total_variance("true", "__mt").alias("__at"),
                                     total_variance("imp", "__mi").alias("__ai"))
-    out = attach(out, spread, keys, null_safe=True)
+    out = attach(out, spread, keys, **known)
     if ref_rule == "population":
         ref, ref_true, ref_imp = F.lit("POPULATION"), F.col("__mt"), F.col("__mi")
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import clip
-from fillgauge.operators.cumulative import group_sizes, percentiles
+from fillgauge.operators.cumulative import GroupSizes, percentiles
 from fillgauge.operators.joins import attach
 from fillgauge.operators.robust import ks_two_sample
 from fillgauge.session import settle, together
@@ -108,19 +108,20 @@ def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0,
                                  for s, c in (("true", "y_true"), ("imp", "y_pred"))]))
     tall = pairs.select(*keys, series.alias("s")).select(*keys, "s.*")
     by = [*keys, "series"]
-    sizes = group_sizes(tall, by)
+    sizes = GroupSizes(tall, by)
+    known = {"null_safe": True, "settled": True, "table_rows": sizes.number}
     options = {"sizes": sizes, "max_group_rows": max_group_rows}
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "p5": 0.05, "p95": 0.95,
              "wlo": winsor_p / 100, "whi": 1 - winsor_p / 100}
     q = settle(percentiles(tall, by, "value", marks, **options))
 
     def deviation_and_winsor() -> DataFrame:
-        seen = attach(tall, q.select(*by, "q50", "wlo", "whi"), by, null_safe=True, settled=True)
+        seen = attach(tall, q.select(*by, "q50", "wlo", "whi"), by, **known)
         away = seen.select(*by, F.abs(F.col("value") - F.col("q50")).alias("value"))
         mad = percentiles(away, by, "value", {"mad": 0.5}, **options)
         clipped = clip(F.col("value"), F.col("wlo"), F.col("whi"))
         winsor = seen.groupBy(*by).agg(F.var_samp(clipped).alias("var_winsor"))
-        return attach(attach(q, mad, by, null_safe=True), winsor, by, null_safe=True)
+        return attach(attach(q, mad, by, **known), winsor, by, **known)
 
     spread, ks = together(rows.sparkSession, [
         deviation_and_winsor,
@@ -131,7 +132,7 @@ def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0,
         F.max(F.when(F.col("series") == s, F.col(m))).alias(f"{m}_{s}")
         for m in names for s in ("true", "imp")])
     out = out.withColumns({f"{m}_ratio": _ratio(f"{m}_imp", f"{m}_true") for m in names})
-    out = attach(out, ks.select(*keys, "ks_stat", "ks_p"), keys, null_safe=True)
+    out = attach(out, ks.select(*keys, "ks_stat", "ks_p"), keys, **known)
     return out.select(*keys, *[f"{m}_{s}" for m in names for s in ("true", "imp", "ratio")],
                       "ks_stat", "ks_p")
 

@@ -49,8 +49,23 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the work folder that nothing has written to yet."""
-    return f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path in this application's part of the work folder that nothing has written to yet."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark).rstrip('/')}/fillgauge-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.
+
+    For the end of a run, once all results have been written: DataFrames that the
+    operators returned may still read these tables.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
