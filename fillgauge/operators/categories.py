@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, is_small
 from fillgauge.session import settle
 
 # The marks put in place of replaced categories.
@@ -51,13 +51,13 @@ def fit_rare_map(train: DataFrame, columns: Sequence[str], threshold: int) -> Da
 def _marks(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], settled: bool) -> DataFrame:
     """Add ``__mark_<column>``: true rare, false kept, NULL never seen."""
     rare_map = rare_map if settled else settle(rare_map)
-    sizes = {r["column"]: r["count"] for r in rare_map.groupBy("column").count().collect()}
+    small = is_small(rare_map)
     for c in columns:
         table = rare_map.filter(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("is_rare").alias(f"__mark_{c}"))
         df = df.withColumn("__value", F.col(c).cast("string"))
         df = attach(df, table, ["__value"], null_safe=True, settled=True,
-                    table_rows=sizes.get(c, 0)).drop("__value")
+                    small=small).drop("__value")
     return df
 
 

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillgauge.session import settle
 
-#: A table is broadcast only when it was counted and has at most this many rows.
+#: A table is broadcast only when it was measured and stays within both bounds.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 #: A key is hot from this share of the rows on, so at most 1/share keys are hot.
 HOT_SHARE = 0.005
 #: Number of slices a hot key is cut into.
@@ -24,13 +26,31 @@ def _same(left: Sequence[Column], right: Sequence[Column], null_safe: bool) -> C
     return cond
 
 
+def few(rows: int) -> bool:
+    """Whether a table of so many narrow rows may be broadcast."""
+    return rows <= MAX_BROADCAST_ROWS
+
+
+def is_small(table: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``table`` may be broadcast, by its rows and the bytes in them."""
+    width = F.lit(8 * len(table.columns)).cast("long")
+    for f in table.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            width = width + F.coalesce(F.size(f.name), F.lit(0)) * 64
+    rows, size = table.agg(F.count(F.lit(1)), F.sum(width)).first()
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    return rows <= limit and (size or 0) <= MAX_BROADCAST_BYTES
+
+
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "left",
            null_safe: bool = False, settled: bool = False,
-           table_rows: int | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
+           small: bool | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
     """Join ``table`` (one row per key) to ``rows``; ``how`` is ``left`` or ``inner``.
 
-    The table is written out and counted, unless it is ``settled`` already and its
-    ``table_rows`` are known.  A small one is broadcast, so the rows
+    The table is written out and measured, unless it is ``settled`` already and known
+    to be ``small`` or not.  A small one is broadcast, so the rows
     do not move.  Otherwise the rows are shuffled, and rows of hot or NULL keys
     are spread over slices, with the few matching table rows repeated per slice.
     """
@@ -41,10 +61,9 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "
     names = {c: f"__key_{i}" for i, c in enumerate(on)}
     table = table.withColumnsRenamed(names)
     keys = list(names.values())
-    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    if table_rows is None:
-        table_rows = table.count()
-    if table_rows <= limit:
+    if small is None:
+        small = is_small(table, max_broadcast_rows)
+    if small:
         cond = _same([F.col(c) for c in on], [F.col(k) for k in keys], null_safe)
         return rows.join(F.broadcast(table), cond, how).drop(*keys)
 

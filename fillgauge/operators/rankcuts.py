@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import md5_key, uniform_from_md5
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, few
 from fillgauge.session import settle
 
 #: Largest number of rows of one bucket that are ordered inside one task.
@@ -85,7 +85,7 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
         level += 1
         fine = f"__l{level}"
         near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
-                      settled=True, table_rows=places)
+                      settled=True, small=few(places))
         hist = near.groupBy(*group, fine).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("m2"))
         hist = hist.withColumn("cum", F.sum("w").over(running(group, fine)))
         wanted = _reached(hist, wanted, group)
@@ -96,7 +96,7 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
         crowd, places = wanted.agg(F.max("m"), F.count(F.lit(1))).first()
 
     near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
-                  settled=True, table_rows=places)
+                  settled=True, small=few(places))
     # copies of one key are folded before the last, bounded ordering
     keys = near.groupBy(*group, "__key").agg(F.sum("__w").alias("w"))
     keys = keys.withColumn("cum", F.sum("w").over(running(group, "__key")))

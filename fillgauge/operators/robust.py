@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fillgauge.functions.values import clip
 from fillgauge.operators.cumulative import MAX_GROUP_ROWS, GroupSizes, percentiles
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, few
 from fillgauge.operators.rankcuts import value_levels
 from fillgauge.session import settle
 
@@ -21,7 +21,7 @@ def winsorize(df: DataFrame, groups: Sequence[str], value: str, p: float = 5.0,
     sizes = GroupSizes(rows, groups) if groups else None
     bounds = percentiles(df, groups, value, {"__lo": p / 100, "__hi": 1 - p / 100}, sizes=sizes)
     if sizes:
-        out = attach(df, bounds, groups, null_safe=True, settled=True, table_rows=sizes.number)
+        out = attach(df, bounds, groups, null_safe=True, settled=True, small=few(sizes.number))
     else:
         lo, hi = bounds.first() or (None, None)
         out = df.withColumns({"__lo": F.lit(lo).cast("double"), "__hi": F.lit(hi).cast("double")})
@@ -36,7 +36,7 @@ def mad(df: DataFrame, groups: Sequence[str], value: str, name: str = "mad") ->
     rows = rows.filter("value is not null")
     sizes = GroupSizes(rows, keys)
     centre = percentiles(rows, keys, "value", {"__med": 0.5}, sizes=sizes)
-    away = attach(rows, centre, keys, null_safe=True, settled=True, table_rows=sizes.number)
+    away = attach(rows, centre, keys, null_safe=True, settled=True, small=few(sizes.number))
     away = away.select(*keys, F.abs(F.col("value") - F.col("__med")).alias("value"))
     return percentiles(away, keys, "value", {name: 0.5}, sizes=sizes).select(*groups, name)
 
@@ -137,17 +137,17 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
     for level in range(len(levels)):
         fine = f"__l{level}"
         near = rows if level == 0 else attach(rows, places.select(*group), group, how="inner",
-                                              null_safe=True, settled=True, table_rows=number)
+                                              null_safe=True, settled=True, small=few(number))
         hist = near.groupBy(*group, fine).agg(F.sum("a").alias("a"), F.sum("b").alias("b"),
                                               F.count(F.lit(1)).alias("m"))
         hist = attach(hist, places.select(*group, *state), group, how="inner", null_safe=True,
-                      settled=True, table_rows=number)
+                      settled=True, small=few(number))
         hist = running(hist, fine)
         up = _share(F.col("ca"), "n1") - _share(F.col("cb") - F.col("b"), "n2")
         down = _share(F.col("cb"), "n2") - _share(F.col("ca") - F.col("a"), "n1")
         hist = settle(hist.withColumns({"d": _gap("standard"), "most": F.greatest(up, down)}))
         best = settle(better(hist.groupBy(*keys).agg(F.max("d").alias("d"))))
-        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True, table_rows=groups)
+        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True, small=few(groups))
         places = settle(still.filter("most > d").select(
             *keys, F.col(fine).alias("__b"), "n1", "n2", (F.col("ca") - F.col("a")).alias("a0"),
             (F.col("cb") - F.col("b")).alias("b0"), "m"))
@@ -156,7 +156,7 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
         if (crowd or 0) <= limit:
             break
     near = attach(rows, places.select(*group, *state), group, how="inner", null_safe=True,
-                  settled=True, table_rows=number)
+                  settled=True, small=few(number))
     # copies of one value are folded before the last, bounded ordering
     exact = near.groupBy(*group, *state, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return better(running(exact, "value").groupBy(*keys).agg(F.max(_gap(ties)).alias("d")))
@@ -173,7 +173,7 @@ def ks_two_sample(df: DataFrame, groups: Sequence[str], first: str, second: str,
     biggest, number = sizes.agg(F.max(F.col("n1") + F.col("n2")), F.count(F.lit(1))).first()
     found = (_ks_small(rows, keys, ties) if (biggest or 0) <= limit else
              _ks_large(rows, sizes, keys, ties, limit))
-    out = attach(sizes, found, keys, null_safe=True, settled=True, table_rows=number)
+    out = attach(sizes, found, keys, null_safe=True, settled=True, small=few(number))
     d = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("d"))
     return out.select(*groups, F.col("n1").alias("n_true"), F.col("n2").alias("n_imp"),
                       d.alias("ks_stat"), ks_pvalue(d, F.col("n1"), F.col("n2")).alias("ks_p"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.operators.cumulative import GroupSizes, percentiles, running_counts
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, few, is_small
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.operators.robust import paired_distribution
 from fillgauge.operators.sampling import sample_per_group
@@ -71,7 +71,7 @@ def _frame(tall: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
     """Ends and size of every series, and the options for joins with such small tables."""
     frame = settle(tall.groupBy(*keys, "series").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))
-    return frame, {"null_safe": True, "settled": True, "table_rows": frame.count()}
+    return frame, {"null_safe": True, "settled": True, "small": is_small(frame)}
 
 
 def fd_bins(rows: DataFrame, **selection) -> DataFrame:
@@ -116,8 +116,7 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
     filled = placed.groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # at most 200 bins (or the asked number) per figure and series
     slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    slot_rows = known["table_rows"] * (BINS_MAX if bins == "fd" else int(bins))
-    out = attach(slots, filled, [*by, "bin"], null_safe=True, settled=True, table_rows=slot_rows)
+    out = attach(slots, filled, [*by, "bin"], null_safe=True)
     n = F.coalesce(F.col("n"), F.lit(0))
     height = n / (F.col("total") * F.col("width")) if density else n.cast("double")
     left = F.col("lo") + F.col("bin") * F.col("width")
@@ -182,7 +181,7 @@ def box_table(rows: DataFrame, **selection) -> DataFrame:
     rows, keys = _stored(rows, selection)
     tall, by = _series(rows, keys), [*keys, "series"]
     sizes = GroupSizes(tall, by)
-    known = {"null_safe": True, "settled": True, "table_rows": sizes.number}
+    known = {"null_safe": True, "settled": True, "small": few(sizes.number)}
     box = settle(percentiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, sizes=sizes))
     seen = attach(tall, box.drop("median"), by, **known)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import require_columns, to_number
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, is_small
 from fillgauge.plans.metrics import group_metrics
 from fillgauge.session import settle
 
@@ -131,7 +131,7 @@ def smd_by_group(rows: DataFrame, group_col: str, *, ref_rule: str = "population
         F.avg("var_true").alias("__vt"), F.avg("var_imp").alias("__vi"), *picked)
     if ref_rule == "value" and not whole.filter("__ref is null").isEmpty():
         raise ValueError(f"reference '{ref_value}' is not a group")
-    known = {"null_safe": True, "settled": True, "table_rows": whole.count()}
+    known = {"null_safe": True, "settled": True, "small": is_small(whole)}
     out = attach(groups, whole, keys, **known)
 
     def total_variance(s: str, centre: str) -> Column:

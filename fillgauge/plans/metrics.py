@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fillgauge.functions.values import clip
 from fillgauge.operators.cumulative import GroupSizes, percentiles
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, few
 from fillgauge.operators.robust import ks_two_sample
 from fillgauge.session import settle, together
 
@@ -109,7 +109,7 @@ def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0,
     tall = pairs.select(*keys, series.alias("s")).select(*keys, "s.*")
     by = [*keys, "series"]
     sizes = GroupSizes(tall, by)
-    known = {"null_safe": True, "settled": True, "table_rows": sizes.number}
+    known = {"null_safe": True, "settled": True, "small": few(sizes.number)}
     options = {"sizes": sizes, "max_group_rows": max_group_rows}
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "p5": 0.05, "p95": 0.95,
              "wlo": winsor_p / 100, "whi": 1 - winsor_p / 100}

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fillgauge.operators.joins import attach, hot_key_hashes
+from fillgauge.operators import joins
+from fillgauge.operators.joins import attach, few, hot_key_hashes, is_small
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,14 @@ def test_large_tables_are_not_broadcast(skewed):
     assert "strategy=broadcast" in plan
 
 
+def test_wide_tables_are_not_broadcast(spark, monkeypatch):
+    table = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("text"),
+                                   F.array(F.lit(1), F.lit(2)).alias("list"))
+    assert is_small(table) and not is_small(table, 9) and few(200_000) and not few(200_001)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 5000)
+    assert not is_small(table)
+
+
 def test_how_is_checked(skewed):
     with pytest.raises(ValueError):
         attach(skewed, skewed, ["k"], how="outer")
