@@ -14,6 +14,16 @@ from fillgauge.session import fresh_path
 BASE_STATUS = 1
 
 
+#: Suffix of the table that holds the edited versions of a base table.
+EDITS_SUFFIX = "_edi"
+
+
+def read_tables(spark: SparkSession, location: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """The stored base table and the table of its edited versions."""
+    return (spark.read.parquet(f"{location}/{table}"),
+            spark.read.parquet(f"{location}/{table}{EDITS_SUFFIX}"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, *, properties: Mapping[str, str],
               id_col: str, lower: int, upper: int, partitions: int,
               fetchsize: int = 50_000) -> DataFrame:

@@ -232,6 +232,16 @@ def test_saving_versions(spark, base_and_edits):
         ("id", "bigint"), ("STATUS_ZAPISA", "int"), ("x", "string")]
 
 
+def test_stored_tables(spark, base_and_edits):
+    folder = fresh_path(spark, "db")
+    base_and_edits[0].write.parquet(f"{folder}/pay")
+    base_and_edits[1].write.parquet(f"{folder}/pay_edi")
+    base, edits = R.read_tables(spark, folder, "pay")
+    out = R.load_input_data(base, edits, 3, id_col="id", status_col="status_zapisa", tie_cols=["stamp"],
+                            parquet_path=f"{folder}/copy")
+    assert out.count() == 3 and spark.read.parquet(f"{folder}/copy").count() == 3
+
+
 def test_documents(spark):
     folder = fresh_path(spark, "docs")
     with pytest.raises(FileNotFoundError):
