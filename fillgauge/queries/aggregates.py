@@ -29,7 +29,7 @@ _by_group("agg_median", "median", "quantile_cont(pay, 0.5)")
 _by_group("agg_percentile", "percentile", "quantile_cont(pay, 0.9)", group="o_custkey",
           percentile_value=0.9)
 _by_group("agg_sum", "sum", "coalesce(sum(pay), 0)", group="o_custkey", digits=2)
-_by_group("agg_mean", "mean", "avg(pay)")
+_by_group("agg_mean", "mean", "avg(pay)", digits=6)
 _by_group("agg_min", "min", "min(pay)", digits=None)
 _by_group("agg_max", "max", "max(pay)", group="o_custkey", digits=None)
 _by_group("agg_std", "std", "stddev_samp(pay)", digits=3)
@@ -87,13 +87,13 @@ def _(spark, d):
 
 
 @query("agg_multi_key", f"""
-WITH g AS ({GAPPY}), a AS (SELECT act AS k1, o_orderstatus AS k2, round(avg(pay), 4) AS value FROM g
+WITH g AS ({GAPPY}), a AS (SELECT act AS k1, o_orderstatus AS k2, round(avg(pay), 6) AS value FROM g
   WHERE pay > 100000 AND act IS NOT NULL GROUP BY act, o_orderstatus)
 SELECT o_orderkey, value FROM g LEFT JOIN a ON act = k1 AND o_orderstatus = k2""")
 def _(spark, d):
     out = aggregate_variable(gappy(spark, d), "value", ["act", "o_orderstatus"], "pay", "mean",
                              condition="pay > 100000")
-    return rounded(out.select("o_orderkey", "value"), value=4)
+    return rounded(out.select("o_orderkey", "value"), value=6)
 
 
 @query("agg_global", f"""

@@ -15,9 +15,9 @@ from fillgauge.session import settle, together
 
 #: Digits after the decimal point at which metrics are compared.
 DIGITS = {
-    "rmse": 3, "mae": 3, "r2": 8, "mape_pct": 5, "smape_pct": 6, "rmsle": 8, "nrmse_mean": 8,
-    "nmae_mean": 8, "resid_std": 3, "resid_var": -2, "mean_true": 3, "mean_imp": 3, "mean_diff": 3,
-    "mean_bias": 3, "abs_mean_bias": 3, "rel_mean_bias_pct": 6, "abs_rel_mean_bias_pct": 6, "smd": 8,
+    "rmse": 3, "mae": 6, "r2": 8, "mape_pct": 5, "smape_pct": 6, "rmsle": 8, "nrmse_mean": 8,
+    "nmae_mean": 8, "resid_std": 3, "resid_var": -2, "mean_true": 6, "mean_imp": 6, "mean_diff": 6,
+    "mean_bias": 6, "abs_mean_bias": 6, "rel_mean_bias_pct": 6, "abs_rel_mean_bias_pct": 6, "smd": 8,
     "abs_smd": 8, "var_true": -2, "var_imp": -2, "var_ratio": 8, "iqr_true": 4, "iqr_imp": 4,
     "iqr_ratio": 7, "mad_true": 4, "mad_imp": 4, "mad_ratio": 7, "p95p5_true": 4, "p95p5_imp": 4,
     "p95p5_ratio": 7, "var_winsor_true": -2, "var_winsor_imp": -2, "var_winsor_ratio": 7,
@@ -162,11 +162,11 @@ KEYS = evaluate.SUMMARY_KEYS
 ALL = CORE + BIAS + SPREAD
 
 
-@query("eval_rows_long", f"""{ROWS} SELECT o_orderkey, round(y_pred, 4) AS y_pred, "STATUS_ZAPISA", "Method",
-  "MissMech", "MissRate", y_true, variable, round(residual, 4) AS residual FROM rows_long""")
+@query("eval_rows_long", f"""{ROWS} SELECT o_orderkey, round(y_pred, 6) AS y_pred, "STATUS_ZAPISA", "Method",
+  "MissMech", "MissRate", y_true, variable, round(residual, 6) AS residual FROM rows_long""")
 def _(spark, d):
-    return rows_long(spark, d).withColumns({"y_pred": F.round("y_pred", 4),
-                                            "residual": F.round("residual", 4)})
+    return rows_long(spark, d).withColumns({"y_pred": F.round("y_pred", 6),
+                                            "residual": F.round("residual", 6)})
 
 
 @query("eval_summary", f"{ROWS} {metrics_sql('rows_long', KEYS_SQL, ALL)}")
@@ -244,6 +244,10 @@ def _(spark, d):
     return distributions.fd_bins(rows_long(spark, d))
 
 
+#: Moves bin edges off the grid of halves, so that rounding does not hang on the last bit.
+OFF_GRID = 1.234567e-5
+
+
 def hist_sql(x: str, low: float, high: float, digits: int) -> str:
     return f"""{ROWS}, s0 AS ({_both(x)}),
 c AS (SELECT {FIG}, quantile_cont(v, {low}) AS c0, quantile_cont(v, {high}) AS c1 FROM s0 GROUP BY {FIG}),
@@ -256,14 +260,15 @@ f AS (SELECT {FIG}, series, count(*) AS total, bins, min(v) AS lo, max(v) AS hi,
 h AS (SELECT {FIG}, series, CAST(least(floor((v - lo) / width), bins - 1) AS INTEGER) AS bin, count(*) AS n
   FROM s JOIN f USING ({FIG}, series) GROUP BY ALL),
 slots AS (SELECT *, unnest(range(bins)) AS bin FROM f)
-SELECT {FIG}, series, CAST(bin AS INTEGER) AS bin, round(lo + bin * width, {digits}) AS "left",
-  round(lo + bin * width + width, {digits}) AS "right", coalesce(h.n, 0) AS n,
+SELECT {FIG}, series, CAST(bin AS INTEGER) AS bin, round(lo + bin * width + {OFF_GRID}, {digits}) AS "left",
+  round(lo + bin * width + width + {OFF_GRID}, {digits}) AS "right", coalesce(h.n, 0) AS n,
   round(coalesce(h.n, 0) / (total * width), 10) AS height
 FROM slots LEFT JOIN h USING ({FIG}, series, bin)"""
 
 
 def _hist(out, digits):
-    return out.withColumns({"left": F.round("left", digits), "right": F.round("right", digits),
+    return out.withColumns({"left": F.round(F.col("left") + OFF_GRID, digits),
+                            "right": F.round(F.col("right") + OFF_GRID, digits),
                             "height": F.round("height", 10)})
 
 

@@ -30,12 +30,12 @@ def trained(df, folder=None, **options):
 
 @query("train_metrics_regression", f"""
 WITH p AS (SELECT *, y_pred * 1.01::DOUBLE AS live FROM ({PAIRS}) WHERE y_pred IS NOT NULL)
-SELECT round(sqrt(avg(pow(y_pred - y_true, 2))), 3) AS rmse, round(avg(abs(y_pred - y_true)), 3) AS mae,
+SELECT round(sqrt(avg(pow(y_pred - y_true, 2))), 3) AS rmse, round(avg(abs(y_pred - y_true)), 6) AS mae,
   round(1 - avg(pow(y_pred - y_true, 2)) / var_pop(y_true), 8) AS r2,
   round(sqrt(avg(pow(live - y_true, 2))), 3) AS rmse_infer_smearing FROM p""")
 def _(spark, d):
     df = pairs(spark, d).withColumn("live", F.col("y_pred") * 1.01)
-    return rounded(M.regression_metrics(df, "y_true", "y_pred", "live"), rmse=3, mae=3, r2=8,
+    return rounded(M.regression_metrics(df, "y_true", "y_pred", "live"), rmse=3, mae=6, r2=8,
                    rmse_infer_smearing=3)
 
 
