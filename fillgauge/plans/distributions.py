@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.operators.cumulative import GroupSizes, percentiles, running_counts
-from fillgauge.operators.joins import attach, few, is_small
+from fillgauge.operators.joins import attach, few
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.operators.robust import paired_distribution
 from fillgauge.operators.sampling import sample_per_group
@@ -57,29 +57,34 @@ def _stored(rows: DataFrame, selection: dict) -> tuple[DataFrame, list[str]]:
     return settle(selected_rows(rows, **selection).select(*keys, "y_true", "y_pred")), keys
 
 
-def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str], known: dict) -> DataFrame:
+def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str], sizes: GroupSizes,
+                known: dict) -> DataFrame:
     """(keys, n, bins) of both series together, given their sizes and ends."""
     both = frame.groupBy(*keys).agg(F.sum("total").alias("n"), F.min("lo").alias("low"),
                                     F.max("hi").alias("high"))
-    q = percentiles(tall, keys, "value", {"q25": 0.25, "q75": 0.75})
+    q = percentiles(tall, keys, "value", {"q25": 0.25, "q75": 0.75}, sizes=sizes)
     both = attach(both, q, keys, **known)
     bins = fd_bin_count(F.col("n"), F.col("q75") - F.col("q25"), F.col("low"), F.col("high"))
     return both.select(*keys, "n", bins.alias("bins"))
 
 
-def _frame(tall: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Ends and size of every series, and the options for joins with such small tables."""
-    frame = settle(tall.groupBy(*keys, "series").agg(
+def _frame(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ends and size of every series."""
+    return settle(tall.groupBy(*keys, "series").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))
-    return frame, {"null_safe": True, "settled": True, "small": is_small(frame)}
+
+
+def _known(sizes: GroupSizes, rows_per_figure: int = 2) -> dict:
+    """Options for joins with a table of so many rows per figure."""
+    return {"null_safe": True, "settled": True, "small": few(rows_per_figure * sizes.number)}
 
 
 def fd_bins(rows: DataFrame, **selection) -> DataFrame:
     """(keys, n, bins) for both series of every figure together."""
     rows, keys = _stored(rows, selection)
     tall = _series(rows, keys)
-    frame, known = _frame(tall, keys)
-    return _bin_counts(tall, frame, keys, known)
+    sizes = GroupSizes(tall, keys)
+    return _bin_counts(tall, _frame(tall, keys), keys, sizes, _known(sizes))
 
 
 def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
@@ -96,14 +101,17 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
     tall = _series(rows, keys)
     if x_transform:
         tall = tall.filter("value > -1").withColumn("value", F.log1p("value"))
+    # clipping only shrinks the groups, so their sizes stay valid bounds
+    sizes = GroupSizes(tall, keys)
+    known = _known(sizes)
     if x_clip is not None:
-        ends = percentiles(tall, keys, "value", {"c_lo": x_clip[0], "c_hi": x_clip[1]})
-        tall = attach(tall, ends, keys, null_safe=True).filter(
+        ends = settle(percentiles(tall, keys, "value", {"c_lo": x_clip[0], "c_hi": x_clip[1]}, sizes=sizes))
+        tall = attach(tall, ends, keys, **known).filter(
             (F.col("value") >= F.col("c_lo")) & (F.col("value") <= F.col("c_hi"))).drop("c_lo", "c_hi")
     by = [*keys, "series"]
-    frame, known = _frame(tall, keys)
+    frame = _frame(tall, keys)
     if bins == "fd":
-        frame = attach(frame, _bin_counts(tall, frame, keys, known).drop("n"), keys, **known)
+        frame = attach(frame, _bin_counts(tall, frame, keys, sizes, known).drop("n"), keys, **known)
     else:
         frame = frame.withColumn("bins", F.lit(int(bins)))
     flat = F.col("lo") == F.col("hi")
@@ -116,7 +124,8 @@ def hist_table(rows: DataFrame, *, bins: str | int = "fd", density: bool = True,
     filled = placed.groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # at most 200 bins (or the asked number) per figure and series
     slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    out = attach(slots, filled, [*by, "bin"], null_safe=True)
+    most_bins = 2 * (BINS_MAX if bins == "fd" else int(bins))
+    out = attach(slots, filled, [*by, "bin"], **_known(sizes, most_bins))
     n = F.coalesce(F.col("n"), F.lit(0))
     height = n / (F.col("total") * F.col("width")) if density else n.cast("double")
     left = F.col("lo") + F.col("bin") * F.col("width")
@@ -181,7 +190,7 @@ def box_table(rows: DataFrame, **selection) -> DataFrame:
     rows, keys = _stored(rows, selection)
     tall, by = _series(rows, keys), [*keys, "series"]
     sizes = GroupSizes(tall, by)
-    known = {"null_safe": True, "settled": True, "small": few(sizes.number)}
+    known = _known(sizes, 1)
     box = settle(percentiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, sizes=sizes))
     seen = attach(tall, box.drop("median"), by, **known)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
