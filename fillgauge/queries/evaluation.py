@@ -9,7 +9,7 @@ from fillgauge.operators.missing import mcar_missing
 from fillgauge.plans import distributions, evaluate, reports
 from fillgauge.plans.metrics import group_metrics, moment_metrics, spread_metrics
 from fillgauge.queries.aggregates import ks_p_sql, ks_sql
-from fillgauge.queries.base import PAIRS, RECORDS, pairs, query, records
+from fillgauge.queries.base import PAIRS, pairs, query, records
 from fillgauge.queries.masking import mcar_sql
 from fillgauge.session import settle, together
 
