@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fillgauge.llm.bpe import op9_byte_bpe
+from fillgauge.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from fillgauge.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": op5_exact_dedup,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+}
