@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from fillgauge.llm.bpe import op9_byte_bpe
 from fillgauge.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from fillgauge.llm.packing import op8_packing
+from fillgauge.llm.sharding import op2_sharding
+from fillgauge.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
