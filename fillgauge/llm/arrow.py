@@ -77,10 +77,14 @@ def rows(schema: T.StructType, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
+def _zstd(raw: bytes, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
 def squeeze(numbers: np.ndarray) -> bytes:
     """Non-negative numbers below 2**32, compressed plane by plane."""
     planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(numbers).to_bytes(8, "little") + _zstd(planes.tobytes())
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
@@ -91,12 +95,33 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return planes.reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def squeeze_codes(codes: np.ndarray) -> bytes:
+    """Codes numbered by first appearance; a first appearance itself costs almost nothing."""
+    seen = np.maximum.accumulate(codes) if len(codes) else codes
+    fresh = np.concatenate([[True], seen[1:] > seen[:-1]])[:len(codes)]
+    return squeeze(np.where(fresh, 0, codes + 1))
+
+
+def unsqueeze_codes(blob: bytes) -> np.ndarray:
+    stored = unsqueeze(blob)
+    fresh = stored == 0
+    return np.where(fresh, np.cumsum(fresh) - 1, stored - 1)
+
+
+def squeeze_ascending(numbers: np.ndarray) -> bytes:
+    return squeeze(np.diff(numbers, prepend=0))
+
+
+def unsqueeze_ascending(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(blob))
+
+
 def squeeze_words(words: pa.Array) -> bytes:
     """A string or binary array, compressed."""
     offsets, raw = text_bytes(words)
     lengths = squeeze(np.diff(offsets))
     return (len(lengths).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + lengths
-            + pa.compress(raw, codec="zstd", asbytes=True))
+            + _zstd(raw, 9))
 
 
 def unsqueeze_words(blob: bytes, kind: pa.DataType | None = None) -> pa.Array:

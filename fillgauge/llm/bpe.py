@@ -32,6 +32,10 @@ from fillgauge.llm.words import (Block, build_blocks, distinct_words, exchange_w
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Words that are Python objects at a time.
+AT_ONCE = 50_000
+
+
 class Ranks:
     """A rank file and its split pattern, as tasks need them."""
 
@@ -113,7 +117,10 @@ def encode(docs: DataFrame, ranks: Ranks, *, keys: Sequence[str] = ("doc_id",),
     def ids_of(arrays: list[pa.Array]) -> list[bytes]:
         words, places = distinct_words(arrays)
         encode_word = ranks.encoder().encode_ordinary
-        lists = pa.array([encode_word(w) for w in words.to_pylist()], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        lists = pa.concat_arrays([pa.array([], kind)] + [
+            pa.array([encode_word(w) for w in words.slice(a, AT_ONCE).to_pylist()], kind)
+            for a in range(0, len(words), AT_ONCE)])
         return [pack_lists(lists.take(pa.array(p))) for p in places]
 
     schema = T.StructType([docs.schema[k] for k in keys]

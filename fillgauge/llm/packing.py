@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 4096,
                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__size", "__slice").orderBy(*[F.col(c) for c in order] or [F.lit(0)])
     ranked = (stored.withColumn("__row", F.row_number().over(inside))
-              .join(before, ["__size", "__slice"], "left")
+              .join(before.hint("merge"), ["__size", "__slice"], "left")  # grows with the slices
               .withColumn("__rank", F.col("__before") + F.col("__row") - 1))
     schema = T.StructType([pieces.schema[c] for c in names]
                           + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -6,19 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fillgauge.llm import ship
 from fillgauge.llm.bpe import op9_byte_bpe
 from fillgauge.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from fillgauge.llm.html_text import op6_html_text
+from fillgauge.llm.language import op3_language_id
 from fillgauge.llm.packing import op8_packing
+from fillgauge.llm.quality import op4_quality_rules
 from fillgauge.llm.sharding import op2_sharding
 from fillgauge.llm.url_filter import OP1_SQL, op1_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    run.__doc__ = query.__doc__
+    return run
+
+
+_ALL: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_text": op6_html_text,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
+QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,

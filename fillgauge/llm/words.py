@@ -30,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import (arrow_type, one_chunk, rows, squeeze, squeeze_words, steps, texts_of,
-                                 unsqueeze, unsqueeze_words)
+from fillgauge.llm.arrow import (arrow_type, one_chunk, rows, squeeze, squeeze_ascending, squeeze_codes,
+                                 squeeze_words, steps, texts_of, unsqueeze, unsqueeze_ascending,
+                                 unsqueeze_codes, unsqueeze_words)
 from fillgauge.session import settle
 
 #: Bytes of text per block.
-BLOCK_BYTES = 24 * 1024 * 1024
+BLOCK_BYTES = 32 * 1024 * 1024
+#: Bytes of text that are cut into words at a time.
+STEP_BYTES = 4 * 1024 * 1024
 #: Distinct words of blocks that one bucket of the exchange takes, on average.
-BUCKET_WORDS = 500_000
+BUCKET_WORDS = 250_000
 
 #: Cuts a string array into a list array of words.
 Split = Callable[[pa.Array], pa.Array]
@@ -54,19 +57,29 @@ def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split,
     keys = list(keys)
     element = arrow_type(inner)
 
+    def block_row(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        held = pa.concat_arrays([p[0] for p in parts])
+        held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        words, places = distinct_words([p[3] for p in parts])
+        codes = np.concatenate([at[p[2]] for p, at in zip(parts, places)])
+        return rows(schema, [[number], held, [squeeze(np.concatenate([p[1] for p in parts]))],
+                             [squeeze_codes(codes)], [squeeze_words(words)], [len(words)]])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for table in steps(batches, "__text", block_bytes):
-            lists = split(texts_of(table, "__text"))
-            counts = np.diff(lists.offsets.to_numpy())
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for table in steps(batches, "__text", STEP_BYTES):
+            texts = texts_of(table, "__text")
+            lists = split(texts)
             coded = one_chunk(lists.flatten().dictionary_encode())
-            parts = [one_chunk(table.column(k)).cast(element.field(k).type) for k in keys]
-            held = pa.StructArray.from_arrays(parts, fields=list(element))
-            held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
-            yield rows(schema, [
-                [block], held, [squeeze(counts)], [squeeze(coded.indices.to_numpy())],
-                [squeeze_words(coded.dictionary)], [len(coded.dictionary)]])
-            block += 1
+            kept = [one_chunk(table.column(k)).cast(element.field(k).type) for k in keys]
+            size += texts.nbytes
+            parts.append((pa.StructArray.from_arrays(kept, fields=list(element)),
+                          np.diff(lists.offsets.to_numpy()), coded.indices.to_numpy(), coded.dictionary))
+            if size + STEP_BYTES > block_bytes:
+                yield block_row(number, parts)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield block_row(number, parts)
 
     narrow = docs.select(*keys, F.col(text).alias("__text"))
     return settle(narrow.mapInArrow(build, schema))
@@ -99,7 +112,7 @@ def exchange_words(blocks: DataFrame, work: Callable[[list[pa.Array]], list[byte
                 ends = np.searchsorted(home[order], np.arange(buckets + 1))
                 used = [b for b in range(buckets) if ends[b] < ends[b + 1]]
                 picks = [order[ends[b]:ends[b + 1]] for b in used]
-                yield rows(sent, [[block] * len(used), used, [squeeze(p) for p in picks],
+                yield rows(sent, [[block] * len(used), used, [squeeze_ascending(p) for p in picks],
                                   [squeeze_words(words.take(pa.array(p))) for p in picks]])
 
     def receive(table: pa.Table) -> pa.Table:
@@ -125,9 +138,9 @@ class Block:
         row = block.slice(0, 1).to_batches()[0]
         self.docs: pa.StructArray = row.column("docs").flatten()
         self.counts = unsqueeze(row.column("counts")[0].as_py())
-        self.codes = unsqueeze(row.column("codes")[0].as_py())
+        self.codes = unsqueeze_codes(row.column("codes")[0].as_py())
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
-        self.places = [unsqueeze(c) for c in answers.column("codes").to_pylist()]
+        self.places = [unsqueeze_ascending(c) for c in answers.column("codes").to_pylist()]
         self.values: list[bytes] = answers.column("value").to_pylist()
 
     def per_word(self) -> np.ndarray:
