@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from fillgauge.llm.arrow import rows
 from fillgauge.llm.bpe import token_runs
-from fillgauge.llm.words import (Block, ascii_words, build_blocks, distinct_words, exchange_words, pack_lists,
-                                 per_block)
+from fillgauge.llm.words import (Block, ascii_words, bucket_count, build_blocks, distinct_words, exchange_words,
+                                 pack_lists, per_block)
 from fillgauge.session import settle
 
 
@@ -218,7 +218,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, *, keys: Sequence[str] =
                              start, length, body, total])
 
     # a word's parts are encoded in one bucket, whatever its case and stops are
-    answers = exchange_words(blocks, ids_of, mark=lambda w: w.rstrip(b".,").lower())
+    answers = exchange_words(blocks, bucket_count(docs, text), ids_of, mark=lambda w: w.rstrip(b".,").lower())
     return per_block(blocks, answers, schema, cut)
 
 

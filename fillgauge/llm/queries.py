@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from fillgauge.llm import ship
 from fillgauge.llm.bpe import op9_byte_bpe
 from fillgauge.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from fillgauge.llm.hmm import op10_hmm
 from fillgauge.llm.html_text import op6_html_text
 from fillgauge.llm.language import op3_language_id
+from fillgauge.llm.near_dup import op7_order_minhash
 from fillgauge.llm.packing import op8_packing
 from fillgauge.llm.quality import op4_quality_rules
 from fillgauge.llm.sharding import op2_sharding
@@ -35,8 +37,10 @@ _ALL: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html_text": op6_html_text,
+    "op7_order_minhash": op7_order_minhash,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_hmm": op10_hmm,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {

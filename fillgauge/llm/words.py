@@ -39,31 +39,45 @@ from fillgauge.session import settle
 BLOCK_BYTES = 32 * 1024 * 1024
 #: Bytes of text that are cut into words at a time.
 STEP_BYTES = 4 * 1024 * 1024
-#: Distinct words of blocks that one bucket of the exchange takes, on average.
-BUCKET_WORDS = 250_000
+#: Bytes of text per bucket of the exchange; a bucket takes the distinct words that so much text has, on average.
+BUCKET_BYTES = 12 * 1024 * 1024
 
 #: Cuts a string array into a list array of words.
 Split = Callable[[pa.Array], pa.Array]
 
 
-def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One stored row per block of documents; NULL text counts as empty."""
-    inner = T.StructType([docs.schema[k] for k in keys])
-    schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(inner)),
-        T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()),
-        T.StructField("words", T.BinaryType()), T.StructField("n_words", T.LongType())])
+def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split, *, marked: str | None = None,
+                 stored: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of documents; NULL text counts as empty.
+
+    ``marked`` names a boolean key; the words of those documents are counted apart.  With
+    ``stored=False`` the blocks are made again whenever they are read: this needs less
+    disk, and an input that gives the same rows in the same tasks each time, as files
+    do.  If it does not, :func:`per_block` finds out and fails.
+    """
     keys = list(keys)
+    inner = T.StructType([docs.schema[k] for k in keys])
+    kinds = {"block": T.LongType(), "docs": T.ArrayType(inner), "counts": T.BinaryType(),
+             "codes": T.BinaryType(), "words": T.BinaryType(), "n_words": T.LongType(), "check": T.LongType(),
+             "marks": T.BinaryType(), "n_marked": T.LongType(), "n_marked_docs": T.LongType()}
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds.items()])
     element = arrow_type(inner)
 
     def block_row(number: int, parts: list[tuple]) -> pa.RecordBatch:
         held = pa.concat_arrays([p[0] for p in parts])
-        held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        counts = np.concatenate([p[1] for p in parts])
         words, places = distinct_words([p[3] for p in parts])
         codes = np.concatenate([at[p[2]] for p, at in zip(parts, places)])
-        return rows(schema, [[number], held, [squeeze(np.concatenate([p[1] for p in parts]))],
-                             [squeeze_codes(codes)], [squeeze_words(words)], [len(words)]])
+        blob = squeeze_words(words)
+        if marked is None:
+            marks, n_marked, n_docs = b"", 0, 0
+        else:
+            chosen = held.field(marked).to_numpy(zero_copy_only=False).astype(bool)
+            found = np.bincount(codes[np.repeat(chosen, counts)], minlength=len(words))
+            marks, n_marked, n_docs = squeeze(found), int(found.sum()), int(chosen.sum())
+        listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        return rows(schema, [[number], listed, [squeeze(counts)], [squeeze_codes(codes)], [blob], [len(words)],
+                             [zlib.crc32(blob)], [marks], [n_marked], [n_docs]])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
@@ -81,30 +95,36 @@ def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split,
         if parts:
             yield block_row(number, parts)
 
-    narrow = docs.select(*keys, F.col(text).alias("__text"))
-    return settle(narrow.mapInArrow(build, schema))
+    blocks = docs.select(*keys, F.col(text).alias("__text")).mapInArrow(build, schema)
+    return settle(blocks) if stored else blocks
 
 
-def exchange_words(blocks: DataFrame, work: Callable[[list[pa.Array]], list[bytes]], *,
-                   mark: Callable[[bytes], bytes] = lambda word: word,
-                   bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """(block, bucket, codes, value): what ``work`` says of the words of each block.
+def bucket_count(docs: DataFrame, text: str) -> int:
+    """Buckets for the words of these texts."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(8, math.ceil(size / BUCKET_BYTES))
+
+
+def exchange_words(blocks: DataFrame, buckets: int, work: Callable[..., list[bytes]], *,
+                   mark: Callable[[bytes], bytes] = lambda word: word, counted: bool = False) -> DataFrame:
+    """(block, check, codes, value): what ``work`` says of the words of each block.
 
     ``work`` gets the words that one bucket received, an array per block, and
-    answers with one blob per array.  Words with equal ``mark`` share a bucket.
+    answers with one blob per array; if ``counted``, it also gets the marked counts.
+    Words with equal ``mark`` share a bucket.
     """
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(8, math.ceil(total / bucket_words))
     sent = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
-        T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())])
+        T.StructField("block", T.LongType()), T.StructField("check", T.LongType()),
+        T.StructField("bucket", T.IntegerType()), T.StructField("codes", T.BinaryType()),
+        T.StructField("words", T.BinaryType()), T.StructField("marks", T.BinaryType())])
     answer = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()),
-        T.StructField("value", T.BinaryType())])
+        T.StructField("block", T.LongType()), T.StructField("check", T.LongType()),
+        T.StructField("codes", T.BinaryType()), T.StructField("value", T.BinaryType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+            for block, check, blob, marks in zip(*(batch.column(c).to_pylist()
+                                                   for c in ("block", "check", "words", "marks"))):
                 words = unsqueeze_words(blob)
                 home = np.array([zlib.crc32(mark(w)) % buckets for w in words.cast(pa.binary()).to_pylist()],
                                 dtype=np.int64)
@@ -112,14 +132,22 @@ def exchange_words(blocks: DataFrame, work: Callable[[list[pa.Array]], list[byte
                 ends = np.searchsorted(home[order], np.arange(buckets + 1))
                 used = [b for b in range(buckets) if ends[b] < ends[b + 1]]
                 picks = [order[ends[b]:ends[b + 1]] for b in used]
-                yield rows(sent, [[block] * len(used), used, [squeeze_ascending(p) for p in picks],
-                                  [squeeze_words(words.take(pa.array(p))) for p in picks]])
+                counts = unsqueeze(marks) if counted else None
+                yield rows(sent, [[block] * len(used), [check] * len(used), used,
+                                  [squeeze_ascending(p) for p in picks],
+                                  [squeeze_words(words.take(pa.array(p))) for p in picks],
+                                  [squeeze(counts[p]) if counted else b"" for p in picks]])
 
     def receive(table: pa.Table) -> pa.Table:
-        values = work([unsqueeze_words(w) for w in table.column("words").to_pylist()])
-        return pa.Table.from_batches([rows(answer, [table.column("block"), table.column("codes"), values])])
-
-    return (blocks.select("block", "words").mapInArrow(send, sent)
+        arrays = [unsqueeze_words(w) for w in table.column("words").to_pylist()]
+        if counted:
+            values = work(arrays, [unsqueeze(m) for m in table.column("marks").to_pylist()])
+        else:
+            values = work(arrays)
+        columns = [table.column(c) for c in ("block", "check", "codes")]
+        return pa.Table.from_batches([rows(answer, [*columns, values])])
+
+    return (blocks.select("block", "check", "words", "marks").mapInArrow(send, sent)
             .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(receive, answer))
 
 
@@ -158,10 +186,13 @@ def per_block(blocks: DataFrame, answers: DataFrame, schema: T.StructType,
               work: Callable[[Block], pa.RecordBatch]) -> DataFrame:
     """Apply ``work`` to every block with its answers."""
     def both(block: pa.Table, values: pa.Table) -> pa.Table:
+        held = pc.sum(pc.binary_length(values.column("codes"))).as_py() if values.num_rows else 0
+        if not block.num_rows or block.column("n_words")[0].as_py() and not held:
+            raise RuntimeError("the input changed while it was read; store it first")
         return pa.Table.from_batches([work(Block(block, values))])
 
-    slim = blocks.select("block", "docs", "counts", "codes")
-    return slim.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+    slim = blocks.select("block", "check", "n_words", "docs", "counts", "codes")
+    return slim.groupBy("block", "check").cogroup(answers.groupBy("block", "check")).applyInArrow(both, schema)
 
 
 def pack_lists(lists: pa.ListArray) -> bytes:
