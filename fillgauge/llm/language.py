@@ -33,6 +33,8 @@ DIMENSIONS = 512
 STEP_BYTES = 2 * 1024 * 1024
 #: Most languages: their prototypes lie with every task.
 MAX_LANGUAGES = 10_000
+#: Score below which a text is like no language; far under that of a few words of a learned one.
+LEAST_SCORE = 0.05
 #: Answer for texts without a letter.
 UNKNOWN = "und"
 
@@ -177,6 +179,17 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with ``least`` score or more, columns as they were.
+
+    Rejected are texts without a letter, NULL ones among them, and texts like no language
+    that was learned.  If none was learned nothing is known, and every row goes.
+    """
+    held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    return identify(held, model).filter(known).select("row.*")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept out of training; a NULL id is in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -132,7 +132,7 @@ def rules() -> dict[str, Column]:
         "plain_words": _vote(_share("n_plain_words") > 0.85, _share("n_plain_words") < 0.7),
         "stutter": _vote(_share("n_same_words") < 0.05, _share("n_same_words") > 0.2),
         "lines": _vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 3),
-                       (_share("n_dup_lines", "n_lines") > 0.3) & (F.col("n_lines") >= 5)),
+                       (_share("n_dup_lines", "n_lines") > 0.4) & (F.col("n_lines") >= 5)),
         "passages": _vote(_share("n_repeat_words") < 0.1, _share("n_repeat_words") > 0.3),
         "word_length": _vote(_share("word_chars").between(3.5, 6.5),
                              (_share("word_chars") < 3) | (_share("word_chars") > 7.5)),
@@ -160,15 +160,15 @@ class VoteModel:
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> VoteModel:
     """Expectation-maximisation over vote patterns (rows of 0, 1, 2) and how often each occurs.
 
-    Starts from rules that are right four times in five.  Each accuracy is pulled a little
-    to that start, as if ten more documents had been seen.  On good documents a rule is
-    taken to be right nine times in ten at least; a bad document may be bad in one way
-    only, so there most rules may be wrong, but each says bad more often than on good
-    ones.  So the two classes cannot change places.  Without documents the start is
-    returned.
+    A document may be bad in one way only, so on bad ones most rules may be wrong.  So the
+    estimation starts from rules that are nearly always right on good documents and two
+    times in five on bad ones, and each accuracy is pulled a little to that start, as if ten more
+    documents had been seen.  On good documents a rule is taken to be right nine times
+    in ten at least, and it says bad more often on bad ones; so the two classes cannot
+    change places.  Without documents the start is returned.
     """
     said_good, said_bad = votes == 1, votes == 2
-    prior, good, bad = 0.5, np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.8)
+    prior, good, bad = 0.5, np.full(votes.shape[1], 0.98), np.full(votes.shape[1], 0.4)
     for _ in range(rounds if len(votes) else 0):
         score = (np.log(prior) - np.log1p(-prior)
                  + (said_good * (np.log(good) - np.log1p(-bad)) + said_bad * (np.log1p(-good) - np.log(bad))).sum(1))
@@ -176,8 +176,8 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance
         other = counts - weight
         before = np.concatenate([[prior], good, bad])
         prior = (weight.sum() + 5) / (counts.sum() + 10)
-        good = (8 + weight @ said_good) / (10 + weight @ (said_good | said_bad))
-        bad = (8 + other @ said_bad) / (10 + other @ (said_good | said_bad))
+        good = (9.8 + weight @ said_good) / (10 + weight @ (said_good | said_bad))
+        bad = (4 + other @ said_bad) / (10 + other @ (said_good | said_bad))
         good = np.clip(good, 0.9, 1 - 1e-4)
         bad = np.clip(bad, 2 * (1 - good), 1 - 1e-4)
         if np.abs(np.concatenate([[prior], good, bad]) - before).max() < tolerance:
@@ -209,6 +209,12 @@ def judge(docs: DataFrame, model: VoteModel | None = None, text: str = "text") -
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)))
 
 
+def keep_good(docs: DataFrame, model: VoteModel | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, columns as they were."""
+    held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return judge(held, fit(docs, text) if model is None else model).filter("kept").select("row.*")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's measures and whether it is kept."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
