@@ -14,9 +14,10 @@ order, agree in at least 0.8 of all: matched / (both - matched).
    were made from one.  That is one pair per member, however large the bucket.
 4. *Alignment.*  Candidates are aligned inside the band that the threshold allows.
    Links are joined to classes by spreading the smallest number along them.
-5. *The rest.*  Where a bucket still holds several classes, one member of each goes on:
-   with few classes each pair is compared, with many they are dealt out anew by pairs of
-   sketches, and compared in the same way there.
+5. *The rest.*  Where a bucket still holds several classes, one member of each goes on, for
+   a large class the one in its middle.  With few classes each pair is compared.  With
+   many, each is compared with the most central one, and they are dealt out anew by
+   pairs of sketches and compared in the same way there.
 
 Texts shorter than five words have one shingle.  NULL and empty texts have none, and are
 classes of their own, each row apart.  A repeated row is a copy.  Ids may be NULL or
@@ -48,6 +49,9 @@ SKETCHES, LENGTH = 16, 3
 #: Up to this many classes in a bucket, one of each is compared with one of each other.
 FEW_CLASSES = 24
 
+#: Classes of this size and more have a middle, found by comparison with so many members.
+LARGE_CLASS, PROBES = 8, 6
+
 _PUNCTUATION = string.punctuation.encode()
 _PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + _PUNCTUATION,
                          string.ascii_lowercase.encode() + b" " * len(_PUNCTUATION))
@@ -131,18 +135,11 @@ def sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two sequences of shingles, aligned inside the band that ``least`` allows, agree enough.
+def _matched(a: np.ndarray, b: np.ndarray, band: int, need: int) -> int:
+    """Length of the longest alignment with no match further than ``band`` from the diagonal.
 
-    The alignment matches equal shingles in order; the longest one is found bit-parallel,
-    a row of the table at a time.  With ``m`` matches needed, a match further than
-    ``len(a) + len(b) - 2 m`` from the diagonal cannot be part of a good enough one.
+    Found bit-parallel, a row of the table at a time; 0 as soon as ``need`` is out of reach.
     """
-    both = len(a) + len(b)
-    need = math.ceil(least / (1 + least) * both - 1e-9)
-    if min(len(a), len(b)) < need or not both:
-        return False
-    band = both - 2 * need
     short = min(len(a), len(b))
     unlike = np.flatnonzero(a[:short] != b[:short])
     head = int(unlike[0]) if len(unlike) else short
@@ -150,28 +147,44 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     unlike = np.flatnonzero(a[len(a) - rest:][::-1] != b[len(b) - rest:][::-1])
     tail = int(unlike[0]) if len(unlike) else rest
     a, b = a[head:len(a) - tail], b[head:len(b) - tail]
-    need -= head + tail
-    if need <= 0:
-        return True
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b.tolist()):
         where.setdefault(x, []).append(j)
     full = (1 << len(b)) - 1
     open_ = full
-    unmatched = 0
+    left = head + tail + len(a)
     for i, x in enumerate(a.tolist()):
         match = 0
         for j in where.get(x, ()):
             if abs(i - j) <= band:
                 match |= 1 << j
         if not match:
-            unmatched += 1
-            if len(a) - unmatched < need:
-                return False
+            left -= 1
+            if left < need:
+                return 0
             continue
         hit = open_ & match
         open_ = ((open_ + hit) | (open_ - hit)) & full
-    return len(b) - open_.bit_count() >= need
+    return head + tail + len(b) - open_.bit_count()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sequences of shingles, aligned inside the band that ``least`` allows, agree enough.
+
+    With ``m`` matches needed, a match further than ``len(a) + len(b) - 2 m`` from the
+    diagonal cannot be part of a good enough alignment.
+    """
+    both = len(a) + len(b)
+    need = math.ceil(least / (1 + least) * both - 1e-9)
+    if min(len(a), len(b)) < need or not both:
+        return False
+    return _matched(a, b, both - 2 * need, need) >= need
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sequences of shingles by their whole alignment."""
+    found = _matched(a, b, len(a) + len(b), 0)
+    return found / max(1, len(a) + len(b) - found)
 
 
 def sketch_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -199,24 +212,64 @@ def sketch_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                               F.col(text).alias("text")).mapInArrow(run, schema))
 
 
+def _aligned(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs (a, b) of places with the words of both texts."""
+    of_a = bodies.select(F.col("place").alias("a"), F.col("body").alias("body_a"))
+    of_b = bodies.select(F.col("place").alias("b"), F.col("body").alias("body_b"))
+    # b is as good as distinct; a may be the centre of very many, which the join on it may split
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "body_a", "body_b")
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple]]]:
+    for batch in batches:
+        held: dict[int, np.ndarray] = {}
+
+        def both(batch: pa.RecordBatch = batch, held: dict = held) -> Iterator[tuple]:
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "body_a", "body_b"))):
+                if a not in held:
+                    held.clear()
+                    held[a] = _sequence(x)
+                yield held[a], _sequence(y)
+
+        yield batch, both()
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) of places whose texts are similar; stored."""
+    """The pairs whose texts are similar; stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = None, None
-        for batch in batches:
-            good = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "body_a", "body_b"))):
-                if a != last:
-                    held, last = _sequence(x), a
-                good.append(similar(held, _sequence(y)))
-            found = pa.array(good, pa.bool_())
+        for batch, sequences in _sequences(batches):
+            found = pa.array([similar(x, y) for x, y in sequences], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(found) for c in ("a", "b")], names=["a", "b"])
 
-    of_a = bodies.select(F.col("place").alias("a"), F.col("body").alias("body_a"))
-    of_b = bodies.select(F.col("place").alias("b"), F.col("body").alias("body_b"))
-    # b is as good as distinct; a may be the centre of very many, which the join on it may split
-    return settle(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "body_a", "body_b")
-                  .mapInArrow(run, "a long, b long"))
+    return settle(_aligned(pairs, bodies).mapInArrow(run, "a long, b long"))
+
+
+def _middles(members: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(label, m): of each large class the member in its middle; stored.
+
+    Members near an original have the same company as it has.  All members with the most
+    company are compared with a few others of the class; the one that agrees best with
+    them is the middle.
+    """
+    known = labels.join(members.select("place", "n", "company").distinct(), "place")
+    salted = [F.max(F.struct(F.xxhash64("place", F.lit(i)), "place")).alias(f"p{i}") for i in range(PROBES)]
+    probes = (known.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.max("company").alias("most"), *salted)
+              .filter(F.col("size") >= LARGE_CLASS)
+              .select("label", "most", F.array_distinct(F.array(*[f"p{i}.place" for i in range(PROBES)])).alias("p")))
+    tied = settle(known.join(probes, "label").filter(F.col("company") == F.col("most"))
+                  .select("label", "place", "n", "company", F.explode("p").alias("probe")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sequences in _sequences(batches):
+            share = pa.array([agreement(x, y) for x, y in sequences], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), share], names=["a", "b", "share"])
+
+    pairs = tied.select(F.col("probe").alias("a"), F.col("place").alias("b")).distinct()
+    shares = (_aligned(pairs, bodies).mapInArrow(run, "a long, b long, share double")
+              .groupBy(F.col("b").alias("place")).agg(F.round(F.sum("share"), 9).alias("share")))
+    return settle(tied.select("label", "place", "n", "company").distinct().join(shares, "place").groupBy("label")
+                  .agg(F.max(F.struct("share", -F.col("place"), "company", "place", "n")).alias("m"))
+                  .select("label", "m"))
 
 
 def _sequence(body: bytes) -> np.ndarray:
@@ -270,13 +323,17 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(sizes, "bucket")
 
 
-def _spokesmen(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The most central member of each class in each bucket that has several classes; ``size`` counts these."""
+def _spokesmen(members: DataFrame, labels: DataFrame, middles: DataFrame) -> DataFrame:
+    """Who stands for each class in each bucket that has several classes; ``size`` counts these.
+
+    It is the middle of the class, or its most central member in the bucket if the class is small.
+    """
     labelled = members.select("bucket", "place", "n", "company").join(labels, "place", "left")
     chosen = (labelled.groupBy("bucket", F.coalesce("label", "place").alias("label"))
-              .agg(F.max(F.struct("company", "place", "n")).alias("m"))
-              .select("bucket", "label", "m.company", "m.place", "m.n"))
-    return _shared(chosen)
+              .agg(F.max(F.struct("company", "place", "n")).alias("own")))
+    several = _shared(chosen).join(middles, "label", "left")
+    return several.select("bucket", "label", "size",
+                          *[F.coalesce(f"m.{c}", f"own.{c}").alias(c) for c in ("company", "place", "n")])
 
 
 def _class_pairs(chosen: DataFrame) -> DataFrame:
@@ -307,14 +364,18 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     links = _verified(tried, bodies)
     labels = classes(links)
 
-    chosen = settle(_spokesmen(members, labels))
-    many = chosen.filter(F.col("size") > FEW_CLASSES).select("place", "bucket", "n", "company", "label")
-    x, y = many.alias("x"), many.select("place", "bucket").alias("y")
-    dealt = x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.bucket") < F.col("y.bucket"))).select(
+    middles = _middles(members, labels, bodies)
+    chosen = settle(_spokesmen(members, labels, middles))
+    many = chosen.filter(F.col("size") > FEW_CLASSES)
+    x, y = many.alias("x"), many.select("label", "bucket").alias("y")
+    dealt = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.bucket") < F.col("y.bucket"))).select(
         F.xxhash64("x.bucket", "y.bucket").alias("bucket"), "x.place", "x.n", "x.company")
-    anew = settle(_spokesmen(dealt, labels))
-    more = _class_pairs(chosen).union(_class_pairs(anew)).union(
-        _central_pairs(anew.filter(F.col("size") > FEW_CLASSES)).select(*_pair(F.col("a"), F.col("b")))).distinct()
+    anew = settle(_spokesmen(dealt, labels, middles))
+    more = _class_pairs(chosen).union(_class_pairs(anew))
+    for dealing in (chosen, anew):
+        more = more.union(_central_pairs(dealing.filter(F.col("size") > FEW_CLASSES))
+                          .select(*_pair(F.col("a"), F.col("b"))))
+    more = more.distinct()
     known = tried.select(*_pair(F.col("a"), F.col("b")))
     links = links.union(_verified(more.join(known, ["a", "b"], "left_anti"), bodies))
     labels = classes(links)

@@ -43,8 +43,8 @@ def repeated_words(codes: np.ndarray, ends: np.ndarray, window: int = WINDOW) ->
     n = len(codes)
     doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     covered = np.zeros(n + 1, dtype=np.int64)
-    if n >= window:
-        starts = np.flatnonzero(doc[:n - window + 1] == doc[window - 1:])
+    starts = np.flatnonzero(doc[:max(0, n - window + 1)] == doc[window - 1:])
+    if len(starts):
         mixed = doc[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for j in range(window):
             mixed = (mixed ^ codes[starts + j].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
