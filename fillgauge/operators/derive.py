@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -12,13 +13,14 @@ from fillgauge.operators.joins import attach
 
 
 def condition_column(df: DataFrame, condition: str | Column | None) -> Column:
-    """``"var=value"`` (text equality), a SQL condition, or a Column."""
+    """``"var=value"`` (text equality with a bare word or number), a SQL condition, or a Column."""
     if condition is None:
         return F.lit(True)
     if isinstance(condition, Column):
         return condition
     var, sep, value = condition.partition("=")
-    if sep and var.strip() in df.columns:
+    bare = re.fullmatch(r"[+-]?[\w.]+(-[\w.]+)*", value.strip())
+    if sep and var.strip() in df.columns and bare and value.strip() not in df.columns:
         return F.col(var.strip()).cast("string") == F.lit(value.strip())
     return F.expr(condition)
 
@@ -47,10 +49,11 @@ LITERAL_MAP_ENTRIES = 200
 def _mapped(df: DataFrame, var: str, mapping: Mapping) -> DataFrame:
     if not mapping:
         return df.withColumn(var, F.lit(None).cast("double"))
+    table = df.sparkSession.createDataFrame(list(mapping.items()), [var, "__rank"])
     if len(mapping) <= LITERAL_MAP_ENTRIES:
         pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-        return df.withColumn(var, F.create_map(*pairs)[F.col(var)])
-    table = df.sparkSession.createDataFrame(list(mapping.items()), [var, "__rank"])
+        value = F.create_map(*pairs)[F.col(var)]
+        return df.withColumn(var, value.cast(table.schema["__rank"].dataType))
     table = table.withColumn(var, F.col(var).cast(df.schema[var].dataType))
     cols = [F.col("__rank").alias(c) if c == var else F.col(c) for c in df.columns]
     return attach(df, table, [var]).select(*cols)

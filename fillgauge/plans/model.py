@@ -11,16 +11,17 @@ from functools import partial
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillgauge.functions.values import null_if_nan, require_columns
+from fillgauge.functions.values import null_if_nan, nulls_for_nans, require_columns
 from fillgauge.operators.categories import (apply_rare_map_train, apply_rare_map_valid,
                                             categorical_columns, fit_rare_map,
                                             resolve_rare_threshold)
@@ -28,24 +29,20 @@ from fillgauge.operators.sampling import (kfold, sample_exact, stratified_folds,
                                           subsample_stratified)
 from fillgauge.operators.target import (bin_target, inverse_target, rmse_original_scale,
                                         smearing_factor, transform_target)
-from fillgauge.session import settle, together
-from fillgauge.sources.documents import meta_path, params_path, read_json, write_json
+from fillgauge.operators.joins import attach
+from fillgauge.session import replace_path, settle, together
+from fillgauge.sources.documents import params_path, read_json, write_json
+from fillgauge.sources.records import save_csv
 
-#: The driver keeps one label per category; beyond this, rare ones must be collapsed.
-MAX_CATEGORIES = 10_000
-
-# Rows below which tuning uses five folds.
-SMALL_TABLE_ROWS, SMALL_TABLE_FOLDS = 50_000, 5
-# Smallest leaf sizes to try, up to a number of rows.
-LEAF_SIZES = [
-    (200_000, [50, 100, 200, 400, 800]),
-    (700_000, [100, 200, 400, 800, 1200]),
-    (float("inf"), [200, 400, 800, 1200, 2000]),
-]
 # Bounds on best_iter / maxIter outside of which the cap is remarked on.
 CAP_HIGH, CAP_LOW = 0.9, 0.2
 
-DEFAULTS: dict[str, Any] = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64}
+#: Parameters of the trees; ``maxIter`` caps the rounds, of which cross-validation picks the best.
+DEFAULTS: dict[str, Any] = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64}
+#: Rounds without a smaller validation error after which later rounds are not looked at.
+PATIENCE = 10
+#: Rows of average target that each category's mean is pulled towards, so rare ones do not stand out.
+SMOOTHING = 20.0
 
 
 @dataclass
@@ -70,46 +67,145 @@ class FeatureSpec:
             cols[f"__txt_{c}"] = F.col(c).cast("string")
         return df.withColumns(cols) if cols else df
 
-    def stages(self) -> list:
-        out: list = []
-        if self.categorical:
-            out.append(StringIndexer(inputCols=[f"__txt_{c}" for c in self.categorical],
-                                     outputCols=[f"__cat_{c}" for c in self.categorical],
-                                     handleInvalid="keep"))
-        inputs = ([f"__num_{c}" for c in self.numeric] + [f"__gap_{c}" for c in self.numeric]
-                  + [f"__cat_{c}" for c in self.categorical])
-        out.append(VectorAssembler(inputCols=inputs, outputCol="__features"))
-        return out
-
-    def check(self, df: DataFrame) -> None:
-        if not self.categorical:
-            return
-        sizes = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in self.categorical]).first()
-        wide = {c: sizes[c] for c in self.categorical if sizes[c] > MAX_CATEGORIES}
-        if wide:
-            raise ValueError(f"too many categories {wide}: set rare_threshold or rare_fraction")
-
-
-def _bins_needed(features: PipelineModel) -> int:
-    first = features.stages[0]
-    if not hasattr(first, "labelsArray"):
-        return 2
-    return max([len(labels) for labels in first.labelsArray], default=0) + 1
-
-
-def _estimator(task: str, classes: int, params: Mapping[str, Any], bins: int, seed: int,
-               validate: bool):
-    p = {**DEFAULTS, **{k: v for k, v in params.items() if k not in ("best_iter", "seed")}}
-    p["maxBins"] = max(int(p["maxBins"]), bins)
-    common = {"featuresCol": "__features", "labelCol": "__label", "seed": seed}
-    if validate and not (task == "classification" and classes > 2):
-        common["validationIndicatorCol"] = "__valid"
-    if task == "regression":
-        return GBTRegressor(**common, **p)
+    def encoded(self, c: str, outputs: int) -> list[str]:
+        return [f"__enc{j}_{c}" for j in range(outputs)]
+
+    def assembled(self, df: DataFrame, codes: Encoding) -> DataFrame:
+        """``df`` with the vector of features."""
+        rows = codes.apply(self.prepared(df), self)
+        inputs = [f"__num_{c}" for c in self.numeric] + [f"__gap_{c}" for c in self.numeric]
+        for c in self.categorical:
+            inputs += self.encoded(c, len(codes.means))
+        return VectorAssembler(inputCols=inputs, outputCol="__features").transform(rows)
+
+
+@dataclass
+class Encoding:
+    """Categories by the mean target of their training rows.
+
+    Splits on it are splits of the categories ordered by that mean.  The table has one row
+    per category and is joined, so neither the driver nor a tree holds a list of
+    categories, however many there are.  With more than two classes there is one share
+    per class.  A category that was not seen has the overall mean.
+    """
+    table: DataFrame | None
+    means: list[float]
+
+    @classmethod
+    def fit(cls, train: DataFrame, spec: FeatureSpec, classes: int) -> Encoding:
+        y = F.col("__label").cast("double")
+        targets = [(y == k).cast("double") for k in range(classes)] if classes > 2 else [y]
+        if not spec.categorical:
+            return cls(None, [0.0] * len(targets))
+        means = [float(m or 0.0) for m in train.agg(*[F.avg(t) for t in targets]).first()]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__txt_{c}").alias("value"))
+                                    for c in spec.categorical])).alias("cell")
+        sums = (spec.prepared(train).select(cells, *[t.alias(f"t{j}") for j, t in enumerate(targets)])
+                .groupBy("cell.column", "cell.value").agg(
+                    F.count(F.lit(1)).alias("n"), *[F.sum(f"t{j}").alias(f"t{j}") for j in range(len(targets))]))
+        table = sums.select("column", "value", *[
+            ((F.col(f"t{j}") + F.lit(SMOOTHING * m)) / (F.col("n") + F.lit(SMOOTHING))).alias(f"e{j}")
+            for j, m in enumerate(means)])
+        return cls(settle(table), means)
+
+    def apply(self, rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+        for c in spec.categorical:
+            names = spec.encoded(c, len(self.means))
+            part = self.table.filter(F.col("column") == c).select(
+                F.col("value").alias(f"__txt_{c}"), *[F.col(f"e{j}").alias(n) for j, n in enumerate(names)])
+            rows = attach(rows, part, [f"__txt_{c}"], null_safe=True, settled=True)
+            rows = rows.withColumns({n: F.coalesce(n, F.lit(m)) for n, m in zip(names, self.means)})
+        return rows
+
+
+# ---------------------------------------------------------------- boosting
+
+@dataclass
+class Boosted:
+    """Boosted trees: one model, or one per class if there are more than two."""
+    models: list[Any]
+    classes: int
+
+    @classmethod
+    def fit(cls, ready: DataFrame, classes: int, params: Mapping[str, Any], seed: int) -> Boosted:
+        options = {**DEFAULTS, **{k: v for k, v in params.items() if k not in ("best_iter", "seed", "objective")}}
+        options |= {"featuresCol": "__features", "labelCol": "__label", "seed": seed}
+        if classes == 0:
+            return cls([GBTRegressor(**options).fit(ready)], classes)
+        return cls([GBTClassifier(**options).fit(rows) for rows in _per_class(ready, classes)], classes)
+
+    @property
+    def rounds(self) -> int:
+        return min(m.getNumTrees for m in self.models)
+
+    def errors(self, rows: DataFrame) -> list[float]:
+        """Error on ``rows`` after each round: squared error, or logistic loss summed over the classes."""
+        if self.classes == 0:
+            return list(self.models[0].evaluateEachIteration(rows, "squared"))
+        parts = [m.evaluateEachIteration(r) for m, r in zip(self.models, _per_class(rows, self.classes))]
+        return [sum(e) for e in zip(*parts)]
+
+    def first(self, rounds: int) -> Boosted:
+        """The model after ``rounds`` rounds."""
+        return Boosted([_first_trees(m, rounds) for m in self.models], self.classes)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Add ``prediction`` and, for classes, ``__probability`` (an array by class)."""
+        if self.classes == 0:
+            return self.models[0].transform(rows)
+        if len(self.models) == 1:
+            return (self.models[0].transform(rows).withColumn("__probability", vector_to_array("probability"))
+                    .drop("rawPrediction", "probability"))
+        shares = []
+        for k, m in enumerate(self.models):
+            m.setPredictionCol(f"__p{k}")
+            m.setProbabilityCol(f"__s{k}")
+            m.setRawPredictionCol(f"__r{k}")
+            rows = m.transform(rows)
+            shares.append(vector_to_array(F.col(f"__s{k}"))[1])
+        total = sum(shares[1:], shares[0])
+        rows = rows.withColumn("__probability", F.array(*[s / total for s in shares]))
+        rows = rows.drop(*[f"__{x}{k}" for x in "psr" for k in range(len(self.models))])
+        best = F.array_position("__probability", F.array_max("__probability")) - 1
+        return rows.withColumn("prediction", best.cast("double"))
+
+    def importances(self) -> list[float]:
+        """Gain per slot of the feature vector, averaged over the models."""
+        parts = [m.featureImportances.toArray() for m in self.models]
+        return (sum(parts[1:], parts[0]) / len(parts)).tolist()
+
+
+def _per_class(rows: DataFrame, classes: int) -> list[DataFrame]:
     if classes <= 2:
-        return GBTClassifier(**common, **p)
-    return OneVsRest(classifier=GBTClassifier(**common, **p), featuresCol="__features",
-                     labelCol="__label")
+        return [rows]
+    return [rows.withColumn("__label", (F.col("__label") == k).cast("double")) for k in range(classes)]
+
+
+def _first_trees(model: Any, rounds: int) -> Any:
+    kind = type(model)
+    trees = list(model._java_obj.trees())[:max(1, rounds)]
+    gateway = SparkContext._active_spark_context._gateway  # folds run in threads without a session of their own
+    held = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        held[i], weights[i] = tree, float(model.treeWeights[i])
+    package = "regression" if kind is GBTRegressionModel else "classification"
+    made = getattr(getattr(gateway.jvm.org.apache.spark.ml, package), kind.__name__)(model.uid, held, weights)
+    cut = kind(made)
+    cut._resetUid(model.uid)
+    cut.setFeaturesCol("__features")
+    return cut
+
+
+def best_round(errors: Sequence[float], patience: int | None = PATIENCE) -> int:
+    """Round (from 1) with the smallest error, looking no further than ``patience`` rounds without a smaller one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif patience is not None and i - best >= patience:
+            break
+    return best + 1
 
 
 def objective_of(df: DataFrame, target: str, task: str) -> tuple[str, int]:
@@ -176,20 +272,21 @@ def _logloss(label: Column, probability: Column) -> Column:
     return -F.avg(F.when(label == 1, F.ln(p)).otherwise(F.ln(F.lit(1.0) - p)))
 
 
-def _score(scored: DataFrame, task: str, classes: int, info: Mapping[str, Any]) -> float:
+def _score(scored: DataFrame, classes: int, info: Mapping[str, Any]) -> float:
     """Validation error: smaller is better."""
     y = F.col("__label")
-    if task == "regression":
+    if classes == 0:
         return scored.agg(rmse_original_scale(y, F.col("prediction"), info)).first()[0]
     if classes <= 2:
-        return scored.agg(_logloss(y, vector_to_array(F.col("probability"))[1])).first()[0]
-    return scored.agg(F.avg((y != F.col("prediction")).cast("double"))).first()[0]
+        return scored.agg(_logloss(y, F.col("__probability")[1])).first()[0]
+    own = F.element_at("__probability", (y + 1).cast("int"))
+    return scored.agg(-F.avg(F.ln(F.greatest(own, F.lit(1e-15))))).first()[0]
 
 
 def metric_name(task: str, classes: int, info: Mapping[str, Any]) -> str:
     if task == "regression":
         return "rmse_orig" if info.get("enabled") else "rmse"
-    return "binary_logloss" if classes <= 2 else "multi_error"
+    return "binary_logloss" if classes <= 2 else "multi_logloss"
 
 
 # ---------------------------------------------------------------- folds
@@ -205,11 +302,11 @@ def with_folds(df: DataFrame, target: str, id_cols: Sequence[str], k: int, seed:
     return kfold(df, id_cols, k, seed)
 
 
-def _fold_frames(df: DataFrame, spec: FeatureSpec, k: int, rare_threshold, rare_fraction
-                 ) -> list[tuple[DataFrame, int]]:
-    """Per fold: (features, label and validation mark, bins needed).
+def _fold_frames(df: DataFrame, spec: FeatureSpec, classes: int, k: int, rare_threshold, rare_fraction
+                 ) -> list[DataFrame]:
+    """Per fold, stored: features, label and validation mark.
 
-    Categories are counted and indexed on the training part of the fold only.
+    Categories are counted and encoded on the training part of the fold only.
     """
     out = []
     for i in range(k):
@@ -222,24 +319,22 @@ def _fold_frames(df: DataFrame, spec: FeatureSpec, k: int, rare_threshold, rare_
                 apply_rare_map_train(train, rare, spec.categorical, settled=True),
                 apply_rare_map_valid(valid, rare, spec.categorical, settled=True))
             part = train.unionByName(valid)
-        features = Pipeline(stages=spec.stages()).fit(spec.prepared(train))
-        ready = features.transform(spec.prepared(part)).select("__features", "__label", "__valid")
-        out.append((ready, _bins_needed(features)))
+        codes = Encoding.fit(train, spec, classes)
+        out.append(settle(spec.assembled(part, codes).select("__features", "__label", "__valid")))
     return out
 
 
-def _cross_validate(folds: Sequence[tuple[DataFrame, int]], task: str, classes: int,
-                    params: Mapping[str, Any], info: Mapping[str, Any], seed: int
-                    ) -> tuple[list[float], list[int]]:
-    """Validation error and number of kept trees per fold; boosting stops early."""
-    def run(ready: DataFrame, bins: int) -> tuple[float, int]:
-        model = _estimator(task, classes, params, bins, seed, validate=True).fit(
-            ready if classes <= 2 else ready.filter("not __valid"))
-        kept = model.getNumTrees if classes <= 2 else params.get("maxIter", DEFAULTS["maxIter"])
-        return _score(model.transform(ready.filter("__valid")), task, classes, info), int(kept)
+def _cross_validate(folds: Sequence[DataFrame], classes: int, params: Mapping[str, Any],
+                    info: Mapping[str, Any], seed: int, patience: int | None) -> tuple[list[float], list[int]]:
+    """Per fold the validation error after the best number of rounds, and that number."""
+    def run(ready: DataFrame) -> tuple[float, int]:
+        whole = Boosted.fit(ready.filter("not __valid"), classes, params, seed)
+        valid = ready.filter("__valid")
+        rounds = best_round(whole.errors(valid), patience)
+        return _score(whole.first(rounds).transform(valid), classes, info), rounds
 
-    done = together(folds[0][0].sparkSession, [partial(run, *fold) for fold in folds])
-    return [score for score, _ in done], [kept for _, kept in done]
+    done = together(folds[0].sparkSession, [partial(run, fold) for fold in folds])
+    return [score for score, _ in done], [rounds for _, rounds in done]
 
 
 # ---------------------------------------------------------------- training
@@ -247,8 +342,8 @@ def _cross_validate(folds: Sequence[tuple[DataFrame, int]], task: str, classes:
 @dataclass
 class TrainedModel:
     """A fitted model with all it needs to predict on the original scale."""
-    features_model: PipelineModel
-    model: Any
+    codes: Encoding
+    model: Boosted
     spec: FeatureSpec
     rare_map: DataFrame | None
     target_info: dict[str, Any]
@@ -259,32 +354,34 @@ class TrainedModel:
     cv_results: list[dict[str, Any]] = field(default_factory=list)
 
     def raw_predictions(self, df: DataFrame, num_iteration: int | None = None) -> DataFrame:
-        """``df`` plus the model's columns, on the transformed scale."""
+        """``df`` plus the model's columns, on the transformed scale, after so many rounds."""
         rows = df
         if self.rare_map is not None:
             hidden = {c: f"__orig_{c}" for c in self.spec.categorical}
             rows = rows.withColumns({h: F.col(c) for c, h in hidden.items()})
             rows = apply_rare_map_valid(rows, self.rare_map, self.spec.categorical, settled=True)
-        rows = self.features_model.transform(self.spec.prepared(rows))
+        rows = self.spec.assembled(rows, self.codes)
         if self.rare_map is not None:
             rows = rows.withColumns({c: F.col(h) for c, h in hidden.items()}).drop(*hidden.values())
-        if num_iteration is None:
-            return self.model.transform(rows)
-        total = F.lit(0.0)
-        for i, (tree, w) in enumerate(zip(self.model.trees, self.model.treeWeights)):
-            if i >= num_iteration:
-                break
-            rows = tree.setPredictionCol(f"__tree_{i}").transform(rows)
-            total = total + F.lit(float(w)) * F.col(f"__tree_{i}")
-        return rows.withColumn("prediction", total)
+        model = self.model
+        if num_iteration is not None and num_iteration < model.rounds:
+            model = model.first(num_iteration)
+        return model.transform(rows)
 
     def predict(self, df: DataFrame, name: str = "prediction", num_iteration: int | None = None,
-                smear: float | None = None) -> DataFrame:
-        """``df`` plus predictions on the original scale (with smearing, unless given)."""
+                smear: float | None = None, probability: str | None = None) -> DataFrame:
+        """``df`` plus predictions on the original scale (with smearing, unless given).
+
+        For classes the prediction is the likeliest class; ``probability`` names a column
+        for the probabilities, an array by class.
+        """
+        if probability is not None and not self.model.classes:
+            raise ValueError("only classes have probabilities")
         raw = self.raw_predictions(df, num_iteration)
         value = inverse_target(F.col("prediction"), self.target_info, smear)
-        kept = [c for c in df.columns if c != name]
-        return raw.select(*kept, value.alias(name))
+        kept = [c for c in df.columns if c not in (name, probability)]
+        more = [] if probability is None else [F.col("__probability").alias(probability)]
+        return raw.select(*kept, value.alias(name), *more)
 
 
 def train_final(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequence[str],
@@ -293,48 +390,55 @@ def train_final(df: DataFrame, target: str, features: Sequence[str], *, id_cols:
                 force_cat_cols: Sequence[str] = (), rare_threshold: int | None = None,
                 rare_fraction: float | None = None, cv_nfold: int = 5,
                 reg_stratify: Mapping[str, Any] | None = None, random_state: int = 42,
+                patience: int | None = PATIENCE, rounds: int | None = None,
                 folder: str | None = None, prefix: str = "GBM") -> TrainedModel:
     """Cross-validate to find the number of trees, then refit on all rows with a known target.
 
-    Rare categories are counted per fold on its training part, and once more on all
-    rows for the final model, which keeps that count for prediction.  With
-    ``folder`` the model, its parameters and metadata are stored there.
+    Each fold is boosted up to ``maxIter`` rounds and keeps the round with the smallest
+    validation error; the final model has the median of these.  ``rounds`` gives the
+    number instead, without cross-validation.  A target that is NULL or NaN is unknown.
+    Classes are numbered from 0.  Rare categories are counted per fold on its training
+    part, and once more on all rows for the final model, which keeps that count for
+    prediction.  With ``folder`` the model, its parameters, metadata and importances are
+    stored there.
     """
     require_columns(df, [target, *features, *id_cols])
     params = dict(params or {})
     spec = FeatureSpec.of(df, features, force_cat_cols)
     objective, classes = objective_of(df, target, task)
-    rows = df.filter(F.col(target).isNotNull()).select(*dict.fromkeys([*id_cols, *features, target]))
+    rows = nulls_for_nans(df.select(*dict.fromkeys([*id_cols, *features, target]))).filter(F.col(target).isNotNull())
     rows, info = transform_target(rows, target, target_transform if task == "regression" else None,
                                   name="__label")
-    rows = settle(with_folds(rows, "__label", id_cols, cv_nfold, random_state,
-                             reg_stratify if task == "regression" else None))
-    if not (rare_threshold or rare_fraction):
-        spec.check(rows)
-
     cap = int(params.get("maxIter", DEFAULTS["maxIter"]))
-    folds = _fold_frames(rows, spec, cv_nfold, rare_threshold, rare_fraction)
-    scores, trees = _cross_validate(folds, task, classes, params, info, random_state)
-    best_iter = int(statistics.median(trees))
-    name = metric_name(task, classes, info)
-    ratio = best_iter / cap
-    cv_metrics = {f"{name}-mean": statistics.fmean(scores), f"{name}-std": statistics.pstdev(scores),
-                  "best_iter": best_iter, "cap": cap, "cap_ratio": ratio,
-                  "cap_note": "raise maxIter" if ratio > CAP_HIGH else
-                              "maxIter could be lower" if ratio < CAP_LOW else "ok"}
-    cv_results = [{"fold": i, "metric": name, "score": s, "best_iter": t}
-                  for i, (s, t) in enumerate(zip(scores, trees))]
+    cv_metrics: dict[str, Any] = {}
+    cv_results: list[dict[str, Any]] = []
+    if rounds is None:
+        rows = settle(with_folds(rows, "__label", id_cols, cv_nfold, random_state,
+                                 reg_stratify if task == "regression" else None))
+        folds = _fold_frames(rows, spec, classes, cv_nfold, rare_threshold, rare_fraction)
+        scores, trees = _cross_validate(folds, classes, params, info, random_state, patience)
+        best_iter = int(statistics.median(trees))
+        name = metric_name(task, classes, info)
+        ratio = best_iter / cap
+        cv_metrics = {f"{name}-mean": statistics.fmean(scores), f"{name}-std": statistics.pstdev(scores),
+                      "best_iter": best_iter, "cap": cap, "cap_ratio": ratio,
+                      "cap_note": "raise maxIter" if ratio > CAP_HIGH else
+                                  "maxIter could be lower" if ratio < CAP_LOW else "ok"}
+        sizes = [fold.filter("__valid").count() for fold in folds]
+        cv_results = [{"fold": i, "metric": name, "score": s, "best_iter": t, "rows": n}
+                      for i, (s, t, n) in enumerate(zip(scores, trees, sizes))]
+    else:
+        rows, best_iter = settle(rows), rounds
 
     rare_map, ready = None, rows
     if spec.categorical and (rare_threshold or rare_fraction):
         limit = resolve_rare_threshold(rows.count(), rare_threshold, rare_fraction)
         rare_map = settle(fit_rare_map(rows, spec.categorical, limit))
         ready = apply_rare_map_train(rows, rare_map, spec.categorical, settled=True)
-    features_model = Pipeline(stages=spec.stages()).fit(spec.prepared(ready))
-    ready = features_model.transform(spec.prepared(ready))
+    codes = Encoding.fit(ready, spec, classes)
+    ready = settle(spec.assembled(ready, codes).select(*rows.columns, "__features"))
     final_params = {**params, "maxIter": max(1, best_iter)}
-    model = _estimator(task, classes, final_params, _bins_needed(features_model), random_state,
-                       validate=False).fit(ready)
+    model = Boosted.fit(ready, classes, final_params, random_state)
 
     scored = model.transform(ready)
     z, zhat = F.col("__label"), F.col("prediction")
@@ -354,8 +458,9 @@ def train_final(df: DataFrame, target: str, features: Sequence[str], *, id_cols:
             "force_cat_cols": list(force_cat_cols), "cv_nfold": cv_nfold, "best_iter": best_iter,
             "target_transform_info": info, "rare_threshold": rare_threshold,
             "rare_fraction": rare_fraction, "id_cols": list(id_cols), "random_state": random_state,
-            "numeric": spec.numeric, "categorical": spec.categorical}
-    out = TrainedModel(features_model, model, spec, rare_map, info, final_params, meta,
+            "numeric": spec.numeric, "categorical": spec.categorical, "classes": classes,
+            "encoding_means": codes.means}
+    out = TrainedModel(codes, model, spec, rare_map, info, final_params, meta,
                        train_metrics, cv_metrics, cv_results)
     if folder:
         save_model_and_params(out, folder, prefix)
@@ -365,16 +470,16 @@ def train_final(df: DataFrame, target: str, features: Sequence[str], *, id_cols:
 def impute(df: DataFrame, target: str, trained: TrainedModel) -> DataFrame:
     """Fill the missing values of ``target`` with predictions; known values stay."""
     out = trained.predict(df, "__filled")
-    return out.withColumn(target, F.coalesce(F.col(target), F.col("__filled"))).drop("__filled")
+    known = null_if_nan(F.col(target)) if dict(df.dtypes)[target] in ("double", "float") else F.col(target)
+    return out.withColumn(target, F.coalesce(known, F.col("__filled"))).drop("__filled")
 
 
 def feature_importance(trained: TrainedModel) -> DataFrame:
-    """(feature, gain), largest first; a feature's missing flag counts with the feature."""
+    """(feature, gain), largest first; a feature's missing flag and class shares count with it."""
     spec = trained.spec
-    slots = [*spec.numeric, *spec.numeric, *spec.categorical]
-    gains = trained.model.featureImportances.toArray().tolist()
-    rows = trained.features_model.stages[-1]
-    assert len(rows.getInputCols()) == len(slots)
+    per = len(trained.codes.means)
+    slots = [*spec.numeric, *spec.numeric, *[c for c in spec.categorical for _ in range(per)]]
+    gains = trained.model.importances()
     spark = SparkSession.getActiveSession()
     return (spark.createDataFrame(list(zip(slots, gains)), "feature string, gain double")
             .groupBy("feature").agg(F.sum("gain").alias("gain"))
@@ -383,22 +488,31 @@ def feature_importance(trained: TrainedModel) -> DataFrame:
 
 # ---------------------------------------------------------------- tuning
 
-def leaf_sizes(n: int) -> list[int]:
-    return next(sizes for top, sizes in LEAF_SIZES if n <= top)
+# Smallest leaf sizes to try up to a number of rows, and folds for small tables.
+LEAF_SIZES = [
+    (200_000, [50, 100, 200, 400, 800]),
+    (700_000, [100, 200, 400, 800, 1200]),
+    (float("inf"), [200, 400, 800, 1200, 2000]),
+]
+SMALL_TABLE_ROWS, SMALL_TABLE_FOLDS = 50_000, 5
 
 
-def search_space(n: int, max_iter: int) -> dict[str, list]:
-    """Values to draw from; the smallest leaves grow with the table."""
-    return {"stepSize": [0.05, 0.07, 0.10], "maxDepth": [3, 5, 7],
-            "minInstancesPerNode": leaf_sizes(n), "minInfoGain": [0.0, 0.05, 0.10],
-            "subsamplingRate": [0.6, 0.7, 0.8, 0.9], "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9"],
-            "maxIter": [max_iter], "maxBins": [64]}
+def leaf_sizes(n: int) -> list[int]:
+    """Leaf sizes for a search on ``n`` rows, for callers who want them to follow the table."""
+    return next(sizes for top, sizes in LEAF_SIZES if n <= top)
 
 
 def tuning_folds(n: int, cv_nfold: int) -> int:
+    """Folds for a search on ``n`` rows, for callers who want more of them for small tables."""
     return SMALL_TABLE_FOLDS if n < SMALL_TABLE_ROWS else cv_nfold
 
 
+#: Values the random search draws from, unless the caller gives others; the same for every table.
+SEARCH_SPACE: dict[str, list] = {
+    "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7], "minInstancesPerNode": [20, 100, 500],
+    "minInfoGain": [0.0, 0.01], "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.5", "0.75", "all"]}
+
+
 @dataclass
 class Tuned:
     params: dict[str, Any]
@@ -407,13 +521,13 @@ class Tuned:
     model: TrainedModel | None = None
 
 
-def sweep_parameter(folds: Sequence[tuple[DataFrame, int]], base: Mapping[str, Any], name: str,
-                    candidates: Sequence[Any], *, task: str, classes: int,
-                    info: Mapping[str, Any], seed: int) -> tuple[dict[str, Any], list[dict[str, Any]]]:
+def sweep_parameter(folds: Sequence[DataFrame], base: Mapping[str, Any], name: str,
+                    candidates: Sequence[Any], *, classes: int, info: Mapping[str, Any], seed: int,
+                    patience: int | None = PATIENCE) -> tuple[dict[str, Any], list[dict[str, Any]]]:
     """Vary one parameter, all others frozen, and keep the value with the smallest error."""
     tried = []
     for value in candidates:
-        scores, trees = _cross_validate(folds, task, classes, {**base, name: value}, info, seed)
+        scores, trees = _cross_validate(folds, classes, {**base, name: value}, info, seed, patience)
         tried.append({"parameter": name, "value": value, "score": statistics.fmean(scores),
                       "best_iter": int(statistics.median(trees))})
     best = min(tried, key=lambda t: t["score"])
@@ -422,24 +536,27 @@ def sweep_parameter(folds: Sequence[tuple[DataFrame, int]], base: Mapping[str, A
 
 def tune(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequence[str],
          task: str = "regression", target_transform: Mapping[str, Any] | None = None,
-         subsample_n: int | None = 100_000, cv_nfold: int = 3, n_trials: int = 20,
-         space: Mapping[str, Sequence] | None = None, max_iter: int = 50,
+         subsample_n: int | None = None, cv_nfold: int = 3, n_trials: int = 100,
+         space: Mapping[str, Sequence] | None = None, max_iter: int = DEFAULTS["maxIter"],
          rare_threshold: int | None = None, rare_fraction: float | None = None,
          reg_stratify: Mapping[str, Any] | None = None,
-         sweep: Mapping[str, Sequence] | None = None, seed: int = 42, timeout: float | None = 1800,
-         parallelism: int = 1, final_fit: bool = True, folder: str | None = None,
-         prefix: str = "GBM") -> Tuned:
-    """Seeded random search with cross-validation on a sample, then a one-parameter sweep.
-
-    No trial starts after ``timeout`` seconds.  The sample is stratified by class,
-    or by target bins if ``reg_stratify`` asks for it.
+         sweep: Mapping[str, Sequence] | None = None, seed: int = 42, timeout: float | None = None,
+         parallelism: int = 1, patience: int | None = PATIENCE, final_fit: bool = True,
+         folder: str | None = None, prefix: str = "GBM") -> Tuned:
+    """Seeded random search with cross-validation, then a one-parameter sweep.
+
+    All rows with a known target take part, unless ``subsample_n`` asks for a sample of
+    that size to search on; it is stratified by class, or by target bins if ``reg_stratify``
+    asks for it.  The final model is fitted on all of them in any case, with the best
+    parameters and their number of rounds.  With a ``timeout`` no trial starts after so
+    many seconds; each one left out is in ``trials`` with the reason.
     """
     require_columns(df, [target, *features, *id_cols])
-    rows = df.filter(F.col(target).isNotNull()).select(*dict.fromkeys([*id_cols, *features, target]))
-    n = rows.count()
-    k = tuning_folds(n, cv_nfold)
-    objective, classes = objective_of(rows, target, task)
-    if subsample_n is not None and n > subsample_n:
+    whole = settle(nulls_for_nans(df.select(*dict.fromkeys([*id_cols, *features, target])))
+                   .filter(F.col(target).isNotNull()))
+    objective, classes = objective_of(whole, target, task)
+    rows = whole
+    if subsample_n is not None and whole.count() > subsample_n:
         if task == "classification":
             rows = subsample_stratified(rows, target, id_cols, subsample_n, seed)
         elif reg_stratify and reg_stratify.get("enabled"):
@@ -448,83 +565,87 @@ def tune(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequen
             rows = subsample_stratified(rows, "__bin", id_cols, subsample_n, seed).drop("__bin")
         else:
             rows = sample_exact(rows, id_cols, subsample_n, seed, "tune")
-    rows = settle(rows)
-    sample = rows
     rows, info = transform_target(rows, target, target_transform if task == "regression" else None,
                                   name="__label")
-    rows = settle(with_folds(rows, "__label", id_cols, k, seed,
+    rows = settle(with_folds(rows, "__label", id_cols, cv_nfold, seed,
                              reg_stratify if task == "regression" else None))
     spec = FeatureSpec.of(rows, features)
-    if not (rare_threshold or rare_fraction):
-        spec.check(rows)
-    folds = [(settle(ready), bins) for ready, bins in
-             _fold_frames(rows, spec, k, rare_threshold, rare_fraction)]
+    folds = _fold_frames(rows, spec, classes, cv_nfold, rare_threshold, rare_fraction)
 
-    space = space or search_space(min(n, subsample_n or n), max_iter)
+    space = {"maxIter": [max_iter], **(SEARCH_SPACE if space is None else space)}
     draw = random.Random(seed)
     settings = [{p: draw.choice(list(v)) for p, v in space.items()} for _ in range(n_trials)]
     end = None if timeout is None else time.monotonic() + timeout
 
-    def run(job: tuple[int, dict]) -> dict[str, Any] | None:
+    def run(job: tuple[int, dict]) -> dict[str, Any]:
         number, p = job
         if number and end is not None and time.monotonic() > end:
-            return None
-        scores, trees = _cross_validate(folds, task, classes, p, info, seed)
+            return {"trial": number, "score": None, "best_iter": None, "params": p, "skipped": "timeout"}
+        scores, trees = _cross_validate(folds, classes, p, info, seed, patience)
         return {"trial": number, "score": statistics.fmean(scores),
-                "best_iter": int(statistics.median(trees)), "params": p}
+                "best_iter": int(statistics.median(trees)), "params": p, "skipped": None}
 
-    done = together(df.sparkSession, [partial(run, job) for job in enumerate(settings)], parallelism)
-    trials = [t for t in done if t is not None]
-    best = min(trials, key=lambda t: t["score"])
+    trials = together(df.sparkSession, [partial(run, job) for job in enumerate(settings)], parallelism)
+    best = min((t for t in trials if t["skipped"] is None), key=lambda t: t["score"])
     params = {**best["params"], "best_iter": best["best_iter"]}
     swept: list[dict[str, Any]] = []
     for name, candidates in (sweep if sweep is not None else {"maxBins": [32, 64, 128]}).items():
-        params, tried = sweep_parameter(folds, params, name, candidates, task=task, classes=classes,
-                                        info=info, seed=seed)
+        params, tried = sweep_parameter(folds, params, name, candidates, classes=classes, info=info,
+                                        seed=seed, patience=patience)
         swept += tried
     params["objective"] = objective
     out = Tuned(params, trials, swept)
-    if folder:
-        write_json(df.sparkSession, params, params_path(folder, prefix))
     if final_fit:
         fit = {p: v for p, v in params.items() if p not in ("best_iter", "objective")}
-        fit["maxIter"] = max(1, params["best_iter"])
-        out.model = train_final(sample, target, features, id_cols=id_cols, task=task, params=fit,
-                                target_transform=target_transform, cv_nfold=2,
+        out.model = train_final(whole, target, features, id_cols=id_cols, task=task, params=fit,
+                                target_transform=target_transform, reg_stratify=reg_stratify,
                                 rare_threshold=rare_threshold, rare_fraction=rare_fraction,
-                                random_state=seed)
+                                random_state=seed, rounds=max(1, params["best_iter"]),
+                                folder=folder, prefix=prefix)
+    if folder:
+        write_json(df.sparkSession, params, params_path(folder, prefix))
     return out
 
 
 # ---------------------------------------------------------------- storage
 
 def save_model_and_params(trained: TrainedModel, folder: str, prefix: str = "GBM") -> None:
-    """Store model, parameters and metadata below ``folder``/model, replacing older ones."""
+    """Store model, encoding, parameters, metadata and importances below ``folder``/model.
+
+    The parts are written to a new folder, which then takes the place of the old one, so
+    a job that fails leaves the old model whole.  The importances are CSV.
+    """
     spark = SparkSession.getActiveSession()
-    base = f"{folder}/model/{prefix}"
-    trained.features_model.write().overwrite().save(f"{base}_features")
-    PipelineModel([trained.model]).write().overwrite().save(f"{base}_model")
-    if trained.rare_map is not None:
-        trained.rare_map.write.mode("overwrite").parquet(f"{base}_rare")
+
+    def write(path: str) -> None:
+        for k, model in enumerate(trained.model.models):
+            PipelineModel([model]).write().save(f"{path}/model_{k}")
+        if trained.codes.table is not None:
+            trained.codes.table.write.parquet(f"{path}/codes")
+        if trained.rare_map is not None:
+            trained.rare_map.write.parquet(f"{path}/rare")
+        write_json(spark, trained.params, f"{path}/params")
+        write_json(spark, trained.meta, f"{path}/meta")
+        save_csv(feature_importance(trained).coalesce(1), f"{path}/importance")
+
+    replace_path(spark, f"{folder}/model/{prefix}", write)
     write_json(spark, trained.params, params_path(folder, prefix))
-    write_json(spark, trained.meta, meta_path(folder, prefix))
 
 
 def load_trained_model(spark: SparkSession, folder: str, prefix: str = "GBM") -> TrainedModel:
-    """The stored model; parameters may be absent, the model may not."""
+    """The stored model."""
     base = f"{folder}/model/{prefix}"
+    meta = read_json(spark, f"{base}/meta")
+    params = read_json(spark, f"{base}/params")
+    count = meta["classes"] if meta["classes"] > 2 else 1
     try:
-        features_model = PipelineModel.load(f"{base}_features")
-        model = PipelineModel.load(f"{base}_model").stages[0]
+        models = [PipelineModel.load(f"{base}/model_{k}").stages[0] for k in range(count)]
     except (AnalysisException, Py4JJavaError) as exc:
         raise FileNotFoundError(f"no model stored below {base}") from exc
-    meta = read_json(spark, meta_path(folder, prefix))
-    try:
-        params = read_json(spark, params_path(folder, prefix))
-    except FileNotFoundError:
-        params = {}
     spec = FeatureSpec(meta["numeric"], meta["categorical"])
+    codes = Encoding(spark.read.parquet(f"{base}/codes") if spec.categorical else None, meta["encoding_means"])
     rare = None
     if spec.categorical and (meta["rare_threshold"] or meta["rare_fraction"]):
-        rare = spark.read.parquet(f"{base}_rare")
-    return TrainedModel(features_model, model, spec, rare, meta["target_transform_info"], params, meta)
+        rare = spark.read.parquet(f"{base}/rare")
+    return TrainedModel(codes, Boosted(models, meta["classes"]), spec, rare, meta["target_transform_info"],
+                        params, meta)

@@ -67,12 +67,16 @@ def _(spark, d):
 
 @query("derive_condition", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 END AS o_totalprice,
-  CASE WHEN o_totalprice > 250000 AND o_orderstatus = 'O' THEN 1::DOUBLE END AS flag FROM orders""")
+  CASE WHEN o_totalprice > 250000 AND o_orderstatus = 'O' THEN 1::DOUBLE END AS flag,
+  CASE WHEN o_orderstatus = 'O' THEN 2::DOUBLE END AS quoted,
+  CASE WHEN o_orderstatus = 'O' AND o_totalprice > 90000 THEN 3::DOUBLE END AS compound FROM orders""")
 def _(spark, d):
     df = derive.derive_variable(records(spark, d), "flag", "1",
                                 condition="o_totalprice > 250000 AND o_orderstatus = 'O'")
+    df = derive.derive_variable(df, "quoted", "2", condition="o_orderstatus = 'O'")
+    df = derive.derive_variable(df, "compound", "3", condition="o_orderstatus = 'O' AND o_totalprice > 90000")
     df = derive.derive_variable(df, "o_totalprice", "o_totalprice * 2", condition=" o_orderstatus = F ")
-    return df.select("o_orderkey", "o_totalprice", "flag")
+    return df.select("o_orderkey", "o_totalprice", "flag", "quoted", "compound")
 
 
 RANKS = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4}

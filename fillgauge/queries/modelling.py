@@ -1,7 +1,5 @@
 """Queries on boosted trees: one record per order, its total predicted from its lines."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from fillgauge.plans import model as M
@@ -12,7 +10,10 @@ from fillgauge.session import fresh_path, settle
 
 ID = ["l_orderkey"]
 FEATURES = ["n_lines", "quantity", "discount", "flag"]
-SMALL = {"maxIter": 4, "maxDepth": 3, "maxBins": 32}
+SMALL = {"maxIter": 12, "maxDepth": 4, "stepSize": 0.3, "maxBins": 32}
+
+#: SQL twin of the target of :func:`baskets`.
+TOTALS = "SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey"
 
 
 def baskets(spark, d):
@@ -69,70 +70,134 @@ def _(spark, d):
     return rounded(M.classification_metrics(table(spark, d, "labels"), "quality", "toxic"), **_FOUR)
 
 
-@query("train_cv")
+def spread(df):
+    """Error of the constant prediction."""
+    return df.agg(F.stddev_pop("total")).first()[0]
+
+
+@query("train_cv", f"""
+WITH t AS ({TOTALS}), n AS (SELECT count(*) AS n, round(stddev_pop(total), 1) AS spread FROM t)
+SELECT CAST(i AS INTEGER) AS fold, 'rmse_orig' AS metric, n * (i + 1) // 3 - n * i // 3 AS n_valid,
+  spread AS constant_rmse, TRUE AS several_rounds, TRUE AS better FROM n, range(3) r(i)""")
 def _(spark, d):
-    m = trained(baskets(spark, d), rare_fraction=0.001, reg_stratify={"enabled": True, "n_bins": 5})
-    rows = [(f"fold_{r['fold']}", r["metric"], float(r["score"]), r["best_iter"]) for r in m.cv_results]
-    rows += [("cv", k, float(v), m.cv_metrics["best_iter"]) for k, v in m.cv_metrics.items()
-             if k.endswith(("-mean", "-std", "ratio"))]
-    rows += [("train", k, float(v), m.cv_metrics["best_iter"]) for k, v in m.train_metrics.items()]
-    return spark.createDataFrame(rows, "part string, metric string, value double, best_iter int")
+    df = baskets(spark, d)
+    m = M.train_final(df, "total", FEATURES, id_cols=ID, params=SMALL, cv_nfold=3, rare_fraction=0.001,
+                      target_transform={"method": "log"})
+    constant = spread(df)
+    rows = [(r["fold"], r["metric"], r["rows"], 2 <= r["best_iter"] <= SMALL["maxIter"], r["score"] < constant)
+            for r in m.cv_results]
+    out = spark.createDataFrame(rows, "fold int, metric string, n_valid long, several_rounds boolean, better boolean")
+    return out.withColumn("constant_rmse", F.round(F.lit(constant), 1))
 
 
-@query("predict_inverse")
+@query("predict_inverse", f"SELECT l_orderkey, total, TRUE AS positive, TRUE AS better FROM ({TOTALS})")
 def _(spark, d):
     df = baskets(spark, d)
-    return trained(df).predict(df, "predicted").select("l_orderkey", "total", "predicted")
+    out = settle(trained(df).predict(df, "predicted").select("l_orderkey", "total", "predicted"))
+    error = out.agg(F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("total"), F.lit(2))))).first()[0]
+    return out.select("l_orderkey", "total", (F.col("predicted") > 0).alias("positive"),
+                      F.lit(error < 0.8 * spread(df)).alias("better"))
 
 
-@query("feature_importance")
+@query("feature_importance", """
+SELECT unnest(['n_lines', 'quantity', 'discount', 'flag']) AS feature, TRUE AS a_share, 1.0::DOUBLE AS total""")
 def _(spark, d):
-    return M.feature_importance(trained(baskets(spark, d)))
+    gains = M.feature_importance(trained(baskets(spark, d))).collect()
+    total = round(sum(r["gain"] for r in gains), 9)
+    return spark.createDataFrame([(r["feature"], 0 <= r["gain"] <= 1, total) for r in gains],
+                                 "feature string, a_share boolean, total double")
 
 
-@query("model_roundtrip", """
-SELECT count(DISTINCT l_orderkey) AS n, count(DISTINCT l_orderkey) AS n_equal FROM lineitem""")
+@query("model_roundtrip", f"""
+SELECT count(*) AS n, count(*) AS n_equal, TRUE AS varied, TRUE AS better FROM ({TOTALS})""")
 def _(spark, d):
     df, folder = baskets(spark, d), fresh_path(spark, "model")
     fitted = trained(df, folder, rare_fraction=0.001)
     loaded = M.load_trained_model(spark, folder)
     both = loaded.predict(fitted.predict(df, "a"), "b")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-6).alias("n_equal"))
+    error = F.sqrt(F.avg(F.pow(F.col("b") - F.col("total"), F.lit(2))))
+    return both.agg(F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-6).alias("n_equal"),
+                    (F.count_distinct(F.round("b", 3)) > 20).alias("varied"),
+                    (error < 0.8 * F.stddev_pop("total")).alias("better"))
 
 
 @query("impute_with_model", f"""
-WITH b AS (SELECT l_orderkey AS o_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey),
+WITH b AS (SELECT l_orderkey AS o_orderkey, total FROM ({TOTALS})),
 h AS ({mcar_sql('total', 0.1, 21, 'b')})
 SELECT CASE WHEN h.o_orderkey IS NULL THEN 1 ELSE 105 END AS "STATUS_ZAPISA", count(*) AS n, count(*) AS n_filled,
-  round(sum(CASE WHEN h.o_orderkey IS NULL THEN total END), 0) AS kept
+  round(sum(CASE WHEN h.o_orderkey IS NULL THEN total END), 0) AS kept, TRUE AS close
 FROM b LEFT JOIN h ON b.o_orderkey = h.o_orderkey GROUP BY 1""")
 def _(spark, d):
-    masked = mcar_missing(baskets(spark, d), "total", 0.1, 105, id_cols=ID, random_state=21)
-    out = M.impute(masked, "total", trained(masked))
+    df = baskets(spark, d)
+    masked = mcar_missing(df, "total", 0.1, 105, id_cols=ID, random_state=21)
+    out = M.impute(masked, "total", trained(masked)).join(df.select("l_orderkey", F.col("total").alias("truth")), ID)
+    error = F.sqrt(F.avg(F.pow(F.col("total") - F.col("truth"), F.lit(2))))
     return out.groupBy("STATUS_ZAPISA").agg(
         F.count(F.lit(1)).alias("n"), F.count("total").alias("n_filled"),
-        F.round(F.sum(F.when(F.col("STATUS_ZAPISA") == 1, F.col("total"))), 0).alias("kept"))
+        F.round(F.sum(F.when(F.col("STATUS_ZAPISA") == 1, F.col("total"))), 0).alias("kept"),
+        (error < 0.8 * F.stddev_pop("truth")).alias("close"))
+
+
+def _classified(spark, d, bounds):
+    """Counts per class, and whether the trained classes are told apart better than by the commonest."""
+    df = baskets(spark, d)
+    df = df.withColumn("class", sum(((F.col("total") > b).cast("int") for b in bounds), F.lit(0)))
+    m = M.train_final(df, "class", FEATURES[:3], id_cols=ID, task="classification", cv_nfold=2,
+                      params={"maxIter": 6, "maxDepth": 4, "stepSize": 0.3, "maxBins": 32})
+    out = settle(m.predict(df, "said", probability="p").select("class", "said", "p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    hit, most = out.agg(F.avg((F.col("class") == F.col("said")).cast("int"))).first()[0], (
+        out.groupBy("class").count().agg(F.max("count") / F.sum("count")).first()[0])
+    return out.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.abs(total - 1)) < 1e-9).alias("adds_up"),
+        F.bool_and(F.size("p") == len(bounds) + 1).alias("all_classes")).withColumn("better", F.lit(hit > most + 0.05))
+
+
+def _classes_sql(bounds):
+    number = " + ".join(f"CAST(total > {b} AS INTEGER)" for b in bounds)
+    return (f"SELECT {number} AS class, count(*) AS n, TRUE AS adds_up, TRUE AS all_classes, TRUE AS better "
+            f"FROM ({TOTALS}) GROUP BY 1")
+
+
+@query("train_classifier_binary", _classes_sql([100_000]))
+def _(spark, d):
+    return _classified(spark, d, [100_000])
+
+
+@query("train_classifier_multi", _classes_sql([60_000, 120_000]))
+def _(spark, d):
+    return _classified(spark, d, [60_000, 120_000])
 
 
-_SPACE = {"stepSize": [0.1, 0.2], "maxDepth": [2, 3], "minInstancesPerNode": [5, 20], "maxIter": [3],
+_SPACE = {"stepSize": [0.1, 0.3], "maxDepth": [2, 3, 4], "minInstancesPerNode": [5, 20], "maxIter": [8],
           "subsamplingRate": [0.8, 1.0], "maxBins": [32]}
 
 
 def _tuned(spark, d):
-    return M.tune(baskets(spark, d), "total", FEATURES, id_cols=ID, n_trials=2, space=_SPACE,
+    return M.tune(baskets(spark, d), "total", FEATURES, id_cols=ID, n_trials=4, space=_SPACE, cv_nfold=2,
                   target_transform={"method": "log"}, sweep={"maxBins": [16, 32]}, final_fit=False,
                   parallelism=2)
 
 
-@query("tune_random_search")
+@query("tune_random_search", f"""
+SELECT CAST(i AS INTEGER) AS trial, '{",".join(sorted(_SPACE))}' AS parameters, TRUE AS in_space, TRUE AS scored,
+  TRUE AS best_is_kept, TRUE AS better FROM range(4) r(i)""")
 def _(spark, d):
-    rows = [(t["trial"], float(t["score"]), t["best_iter"], json.dumps(t["params"], sort_keys=True))
-            for t in _tuned(spark, d).trials]
-    return spark.createDataFrame(rows, "trial int, score double, best_iter int, params string")
+    found = _tuned(spark, d)
+    constant, best = spread(baskets(spark, d)), min(found.trials, key=lambda t: t["score"])
+    kept = all(found.params[p] == v for p, v in best["params"].items() if p != "maxBins")
+    rows = [(t["trial"], ",".join(sorted(t["params"])), all(v in _SPACE[p] for p, v in t["params"].items()),
+             t["skipped"] is None and t["score"] > 0, kept, t["score"] < constant) for t in found.trials]
+    return spark.createDataFrame(rows, "trial int, parameters string, in_space boolean, scored boolean, "
+                                       "best_is_kept boolean, better boolean")
 
 
-@query("tune_sweep")
+@query("tune_sweep", """
+SELECT 'maxBins' AS parameter, unnest(['16', '32']) AS value, TRUE AS in_rounds, TRUE AS smallest_is_kept""")
 def _(spark, d):
-    rows = [(s["parameter"], str(s["value"]), float(s["score"]), s["best_iter"])
-            for s in _tuned(spark, d).sweep]
-    return spark.createDataFrame(rows, "parameter string, value string, score double, best_iter int")
+    found = _tuned(spark, d)
+    best = min(found.sweep, key=lambda t: t["score"])
+    rows = [(t["parameter"], str(t["value"]), 1 <= t["best_iter"] <= 8, found.params["maxBins"] == best["value"])
+            for t in found.sweep]
+    return spark.createDataFrame(rows, "parameter string, value string, in_rounds boolean, smallest_is_kept boolean")

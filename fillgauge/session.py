@@ -68,6 +68,37 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def replace_path(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a new folder beside ``path`` and then put it in its place.
+
+    If writing fails the old content stays.  The change itself is two renames; if the
+    second fails the old folder is put back.
+    """
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def beside(label: str):
+        return sc._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{label}-{uuid.uuid4().hex}")
+
+    fresh, old = beside("new"), beside("old")
+    fs.mkdirs(target.getParent())
+    try:
+        write(fresh.toString())
+    except BaseException:
+        fs.delete(fresh, True)
+        raise
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{path} cannot be replaced")
+    if had:
+        fs.delete(old, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the work folder and read it back.
 

@@ -9,10 +9,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
+from fillgauge.session import replace_path
+
 
 def write_json(spark: SparkSession, payload: dict[str, Any], path: str) -> None:
     text = json.dumps(payload, sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    held = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    replace_path(spark, path, held.write.text)
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, Any]:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import (nulls_for_nans, padded_id, resolve_column, round_half_up)
-from fillgauge.session import fresh_path
+from fillgauge.operators.joins import attach
+from fillgauge.session import fresh_path, replace_path
 
 #: Version number of untouched records in a base table.
 BASE_STATUS = 1
@@ -58,7 +59,7 @@ def load_input_data(base: DataFrame, edits: DataFrame, status: int, *, id_col: s
     rows = rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") == 1)
     out = _finish(rows, id_col, decimals)
     if parquet_path:
-        out.write.mode("overwrite").parquet(parquet_path)
+        replace_path(base.sparkSession, parquet_path, out.write.parquet)
         return base.sparkSession.read.schema(out.schema).parquet(parquet_path)
     return out
 
@@ -111,15 +112,10 @@ def keep_max_status(df: DataFrame, status_col: str = "status_zapisa",
     """Rows whose version is the largest in the table (or per ``by``), compared as numbers."""
     status_col = resolve_column(df, status_col)
     number = F.col(status_col).cast("string").try_cast("double")
-    tops = df.groupBy(*by).agg(F.max(number).alias("top")).collect() if by else [
-        df.agg(F.max(number).alias("top")).first()]
-    keep = F.lit(False)
-    for row in tops:  # one row per requested version
-        cond = number == F.lit(row["top"])
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.lit(row[c]))
-        keep = keep | cond
-    return df.filter(keep)
+    if not by:
+        return df.filter(number == F.lit(df.agg(F.max(number)).first()[0]))
+    tops = df.groupBy(*by).agg(F.max(number).alias("__top"))
+    return attach(df, tops, list(by), null_safe=True).filter(number == F.col("__top")).drop("__top")
 
 
 def align_to_target(df: DataFrame, target: DataFrame,
@@ -137,7 +133,8 @@ def save_output_data(df: DataFrame, path: str, *, target: DataFrame | None = Non
 
     ``target`` is the existing table (read from ``path`` when not given); columns
     it lacks are dropped.  With ``delete_before_insert`` the versions occurring in
-    ``df`` are replaced and all others stay.  Returns the columns written.
+    ``df`` are replaced and all others stay; files know no transaction, so a reader may
+    meanwhile see some versions replaced and others not.  Returns the columns written.
     """
     spark = df.sparkSession
     target = spark.read.parquet(path) if target is None else target
@@ -169,4 +166,5 @@ def save_output_jdbc(df: DataFrame, url: str, table: str, *, target: DataFrame,
 
 def save_csv(df: DataFrame, path: str, **options: str) -> None:
     """CSV with a header; a failed job leaves the old files in place."""
-    df.write.mode("overwrite").options(**({"header": "true"} | options)).csv(path)
+    writer = df.write.options(**({"header": "true"} | options))
+    replace_path(df.sparkSession, path, writer.csv)

@@ -25,7 +25,7 @@ def test_regression(spark, df):
                       target_transform={"method": "log"}, force_cat_cols=["code"], folder=folder,
                       reg_stratify={"enabled": True, "n_bins": 4})
     assert m.train_metrics["r2"] > 0.4 and m.target_info["smear"] > 0
-    assert m.cv_metrics["best_iter"] <= 3 and len(m.cv_results) == 2 and "rmse_orig-mean" in m.cv_metrics
+    assert 1 < m.cv_metrics["best_iter"] <= 3 and len(m.cv_results) == 2 and "rmse_orig-mean" in m.cv_metrics
     assert {r["value"] for r in m.rare_map.filter("is_rare").collect()} == {"rare"}
     gains = M.feature_importance(m).collect()
     assert gains[0]["feature"] == "x" and abs(sum(r["gain"] for r in gains) - 1) < 1e-9
@@ -51,13 +51,40 @@ def test_regression(spark, df):
         M.load_trained_model(spark, folder, "OTHER")
 
 
-@pytest.mark.parametrize("target,objective,metric", [("two", "binary", "binary_logloss"), ("three", "multiclass", "multi_error")])
+@pytest.mark.parametrize("target,objective,metric", [("two", "binary", "binary_logloss"), ("three", "multiclass", "multi_logloss")])
 def test_classification(df, target, objective, metric):
     m = M.train_final(df, target, ["x", "kind"], id_cols=ID, task="classification", cv_nfold=2,
                       params={"maxIter": 2, "maxDepth": 2})
     assert m.meta["objective"] == objective and f"{metric}-mean" in m.cv_metrics
     assert m.train_metrics["accuracy"] > 0.8
-    assert m.predict(df).agg(F.avg((F.col("prediction") == F.col(target)).cast("int"))).first()[0] > 0.8
+    out = m.predict(df, probability="p")
+    assert out.agg(F.avg((F.col("prediction") == F.col(target)).cast("int"))).first()[0] > 0.8
+    rows = out.select("prediction", "p").collect()
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 and r["p"][int(r["prediction"])] == max(r["p"]) for r in rows)
+    one = {r["id"]: r["p"] for r in m.predict(df, num_iteration=1, probability="p").collect()}
+    assert all(0 < x < 1 for p in one.values() for x in p)
+    assert abs(sum(r["gain"] for r in M.feature_importance(m).collect()) - 1) < 1e-9
+
+
+def test_rounds_are_chosen_by_the_smallest_error(df):
+    assert M.best_round([5, 4, 3, 2.5, 2.6, 2.7]) == 4 and M.best_round([1, 2, 3]) == 1
+    assert M.best_round([5, 4, 4.1, 4.2, 3], patience=2) == 2 and M.best_round([5, 4, 4.1, 4.2, 3], patience=None) == 5
+    options = dict(id_cols=ID, cv_nfold=2, params={"maxIter": 15, "maxDepth": 2, "stepSize": 0.3})
+    many = M.train_final(df, "y", ["x", "kind"], **options)
+    one = M.train_final(df, "y", ["x", "kind"], **{**options, "params": {"maxIter": 1, "maxDepth": 2}})
+    assert many.cv_metrics["best_iter"] > 1
+    assert many.cv_metrics["rmse-mean"] < 0.8 * one.cv_metrics["rmse-mean"]
+    given = M.train_final(df, "y", ["x", "kind"], rounds=4, **options)
+    assert given.model.rounds == 4 and given.cv_results == []
+
+
+def test_many_categories_and_nan_targets(df):
+    wide = df.withColumn("own", F.concat(F.lit("c"), F.col("id").cast("string"))).withColumn(
+        "y", F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    m = M.train_final(wide, "y", ["own", "x"], id_cols=ID, params=FAST, cv_nfold=2)
+    assert m.codes.table.count() == 600 - 86
+    filled = M.impute(wide, "y", m)
+    assert filled.filter(F.col("y").isNull() | F.isnan("y")).count() == 0
 
 
 def test_tuning(spark, df):
@@ -73,7 +100,10 @@ def test_tuning(spark, df):
     again = M.tune(df, "y", ["x", "kind"], subsample_n=300, rare_fraction=0.01, final_fit=False, **opts)
     assert [x["params"] for x in again.trials] == [x["params"] for x in t.trials]
     late = M.tune(df, "two", ["x"], task="classification", subsample_n=300, timeout=0.0, final_fit=False, **opts)
-    assert len(late.trials) == 1
+    assert [x["skipped"] for x in late.trials] == [None, "timeout"] and late.trials[1]["score"] is None
+    assert t.model.model.rounds == t.params["best_iter"]
+    gains = spark.read.csv(f"{folder}/model/GBM/importance", header=True).collect()
+    assert {r["feature"] for r in gains} == {"x", "kind"}
 
 
 def test_rules():
@@ -81,14 +111,14 @@ def test_rules():
     assert M.leaf_sizes(200_000)[0] == 50 and M.leaf_sizes(200_001)[0] == 100 and M.leaf_sizes(10**9)[-1] == 2000
 
 
-def test_arguments(df, monkeypatch):
+def test_arguments(df):
     with pytest.raises(ValueError):
         M.train_final(df, "y", ["x"], id_cols=ID, task="ranking")
     with pytest.raises(KeyError):
         M.train_final(df, "y", ["absent"], id_cols=ID)
-    monkeypatch.setattr(M, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="rare"):
-        M.train_final(df, "y", ["kind"], id_cols=ID)
+    regression = M.train_final(df, "y", ["x"], id_cols=ID, rounds=1)
+    with pytest.raises(ValueError):
+        regression.predict(df, probability="p")
 
 
 def test_classification_scores(spark):
