@@ -20,6 +20,17 @@ def nulls_for_nans(df: DataFrame) -> DataFrame:
     return df.withColumns({c: null_if_nan(F.col(c)) for c in floats}) if floats else df
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column, with NaN as NULL where it is a floating-point column."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return null_if_nan(F.col(name)) if floating else F.col(name)
+
+
+def known_number(c: Column) -> Column:
+    """The column as a double, with NaN as NULL."""
+    return null_if_nan(c.cast("double"))
+
+
 def to_number(c: Column) -> Column:
     """Double, or NULL where the text is no number."""
     return null_if_nan(c.try_cast("double"))
@@ -61,9 +72,14 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
 
 
 def md5_key(id_cols: Sequence[str], *salt: object) -> Column:
-    """Reproducible random order of rows: md5 of the id and a salt."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_cols]
-    return F.md5(F.concat_ws("|", *parts, *[F.lit(str(s)) for s in salt]))
+    """Reproducible random order of rows: md5 of the id and a salt.
+
+    Every part is preceded by its length, and NULL is a part of its own, so different
+    ids never share a key.
+    """
+    parts = [F.col(c).cast("string") for c in id_cols] + [F.lit(str(s)) for s in salt]
+    return F.md5(F.concat_ws("|", *[
+        F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]))
 
 
 def uniform_from_md5(key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fillgauge.functions.values import null_if_nan, present
 from fillgauge.operators.cumulative import modes, percentiles
 from fillgauge.operators.joins import attach
 
@@ -28,7 +29,7 @@ def _skewness(x: Column) -> Column:
 def aggregate_expression(operation: str, rule: str, data_type: T.DataType, *, ddof: int = 1,
                          min_count: int = 0, order_by: Sequence[str] = ()) -> Column:
     """Column expression of a named aggregate over the non-missing values of ``rule``."""
-    x = F.col(rule)
+    x = null_if_nan(F.col(rule)) if isinstance(data_type, (T.DoubleType, T.FloatType)) else F.col(rule)
     n = F.count(x)
     truth = x.cast("boolean") if not isinstance(data_type, T.StringType) else F.length(x) > 0
     if operation == "count":
@@ -70,6 +71,8 @@ def group_table(df: DataFrame, groups: Sequence[str], name: str, rule: str | Non
                 interpolation: str = "linear", dropna: bool = True, **options) -> DataFrame:
     """One row per group with the aggregate in column ``name``."""
     groups = list(groups)
+    if rule is not None and rule not in groups:
+        df = df.withColumn(rule, present(df, rule))
     if callable(operation):
         return df.groupBy(*groups).agg(operation(F.col(rule)).alias(name))
     op = operation.lower()

@@ -19,19 +19,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillgauge.operators.joins import attach
+from fillgauge.functions.values import known_number, present
+from fillgauge.operators.joins import attach, few, key_bytes
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.session import settle
 
 #: Largest number of values of one group that a single task may order.
 MAX_GROUP_ROWS = 1_000_000
+#: Ranges of the table of running counts, at most, or four per core if that is more.
+MOST_RANGES = 10_000
 #: Beyond this many groups, small and large groups are handled apart.
 MANY_GROUPS = 100_000
 
 
 def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """(groups, value, cnt): how often each non-missing value occurs."""
-    return (df.filter(F.col(value).isNotNull())
+    return (df.filter(present(df, value).isNotNull())
             .groupBy(*groups, F.col(value).alias("value"))
             .agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -54,7 +57,9 @@ def running_counts(dist: DataFrame, groups: Sequence[str], counts: Sequence[str]
             {f"cum_{c}": F.sum(c).over(upto) for c in counts}
         ).withColumns({f"tot_{c}": F.sum(c).over(whole) for c in counts})
 
-    parts = max(2, math.ceil(2 * total / max(1, limit)))
+    # windows spill, so beyond a few tasks per core larger ranges do no harm
+    parts = min(max(2, math.ceil(2 * total / max(1, limit))),
+                max(MOST_RANGES, 4 * dist.sparkSession.sparkContext.defaultParallelism))
     ranged = settle(dist.repartitionByRange(parts, *groups, "value")
                     .withColumn("__part", F.spark_partition_id()))
     sums = ranged.groupBy(*groups, "__part").agg(*[F.sum(c).alias(f"__s_{c}") for c in counts])
@@ -96,8 +101,13 @@ class GroupSizes:
     def __init__(self, rows: DataFrame, groups: Sequence[str]):
         self.groups = list(groups)
         self.table = rows.groupBy(*self.groups).agg(F.count(F.lit(1)).alias("n"))
-        biggest, self.number = self.table.agg(F.max("n"), F.count(F.lit(1))).first()
-        self.biggest = biggest or 0
+        biggest, self.number, size = self.table.agg(
+            F.max("n"), F.count(F.lit(1)), F.sum(key_bytes(rows, self.groups))).first()
+        self.biggest, self.bytes = biggest or 0, size or 0
+
+    def few(self, per_group: int = 1) -> bool:
+        """Whether a table of so many rows per group may be broadcast."""
+        return few(per_group * self.number, per_group * self.bytes)
 
     def larger_than(self, limit: int) -> DataFrame:
         """The groups with more rows; at most (all rows / limit) of them."""
@@ -114,7 +124,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: Mappin
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
     keys = list(groups) or ["__all"]
     rows = df if groups else df.withColumn("__all", F.lit(0))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("value")).filter("value is not null")
+    rows = rows.select(*keys, known_number(F.col(value)).alias("value")).filter("value is not null")
     sizes = GroupSizes(rows, keys) if sizes is None else sizes
     if sizes.biggest <= limit:
         out = _small_groups(rows, keys, wanted, interpolation)

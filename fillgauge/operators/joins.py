@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,11 @@ from fillgauge.session import settle
 #: A table is broadcast only when it was measured and stays within both bounds.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-#: A key is hot from this share of the rows on, so at most 1/share keys are hot.
+#: A key is hot if it has more rows than one task should take, or this share of all rows.
+HOT_ROWS = 1_000_000
 HOT_SHARE = 0.005
+#: Most hot keys that are told apart; with more than HOT_ROWS times as many rows the bound rises.
+HOT_KEYS = 20_000
 #: Number of slices a hot key is cut into.
 HOT_SLICES = 256
 
@@ -26,9 +30,18 @@ def _same(left: Sequence[Column], right: Sequence[Column], null_safe: bool) -> C
     return cond
 
 
-def few(rows: int) -> bool:
-    """Whether a table of so many narrow rows may be broadcast."""
-    return rows <= MAX_BROADCAST_ROWS
+def few(rows: int, size: int | None = 0) -> bool:
+    """Whether a table of so many rows, with so many bytes in its keys, may be broadcast."""
+    return rows <= MAX_BROADCAST_ROWS and (size or 0) + 64 * rows <= MAX_BROADCAST_BYTES
+
+
+def key_bytes(table: DataFrame, keys: Sequence[str]) -> Column:
+    """Bytes of a row's text and binary keys."""
+    size = F.lit(0).cast("long")
+    for c in keys:
+        if isinstance(table.schema[c].dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return size
 
 
 def is_small(table: DataFrame, max_rows: int | None = None) -> bool:
@@ -87,17 +100,20 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "
 
 
 def hot_key_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold at least ``HOT_SHARE`` of the rows.
+    """Hashes of the keys with ``HOT_ROWS`` rows or ``HOT_SHARE`` of all.
 
-    Found by mergeable frequent-item sketches, first per slice of the tasks and
-    then over all.  The answer only steers how rows are spread, never the result.
+    Found by mergeable frequent-item sketches, sized by the number of rows, first per
+    slice of the tasks and then over all.  The answer only steers how rows are spread,
+    never the result.
     """
-    items = int(1 / HOT_SHARE)
+    total = rows.count()
+    bound = max(1, min(HOT_SHARE * total, HOT_ROWS), total // HOT_KEYS)
+    items = max(1, min(HOT_KEYS, math.ceil(total / bound)))
     h = F.xxhash64(*[F.col(c) for c in on]).alias("h")
     parts = (rows.select(h, F.pmod(F.spark_partition_id(), F.lit(256)).alias("p")).groupBy("p")
              .agg(F.expr(f"approx_top_k_accumulate(h, {10 * items})").alias("sketch"),
                   F.count(F.lit(1)).alias("n")))
-    top, total = parts.agg(
+    top, _ = parts.agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {10 * items}), {items})"),
         F.sum("n")).first()
-    return [t["item"] for t in top or [] if t["count"] >= HOT_SHARE * total]
+    return [t["item"] for t in top or [] if t["count"] >= bound]

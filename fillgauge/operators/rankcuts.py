@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import md5_key, uniform_from_md5
-from fillgauge.operators.joins import attach, few
+from fillgauge.operators.joins import attach, few, key_bytes
 from fillgauge.session import settle
 
 #: Largest number of rows of one bucket that are ordered inside one task.
@@ -80,12 +80,12 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
         F.col("__l0").alias("__b"), "m"))
     rows = rows.withColumn("__b", F.col("__l0"))
     level = 0
-    crowd, places = wanted.agg(F.max("m"), F.count(F.lit(1))).first()
+    crowd, small = _crowd(wanted, group)
     while level + 1 < depth and (crowd or 0) > limit:
         level += 1
         fine = f"__l{level}"
         near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
-                      settled=True, small=few(places))
+                      settled=True, small=small)
         hist = near.groupBy(*group, fine).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("m2"))
         hist = hist.withColumn("cum", F.sum("w").over(running(group, fine)))
         wanted = _reached(hist, wanted, group)
@@ -93,10 +93,10 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
             *strata, "n", "rank", (F.col("before") + F.col("cum") - F.col("w")).alias("before"),
             F.col(fine).alias("__b"), F.col("m2").alias("m")))
         rows = rows.withColumn("__b", F.col(fine))
-        crowd, places = wanted.agg(F.max("m"), F.count(F.lit(1))).first()
+        crowd, small = _crowd(wanted, group)
 
     near = attach(rows, wanted.select(*group).distinct(), group, how="inner", null_safe=True,
-                  settled=True, small=few(places))
+                  settled=True, small=small)
     # copies of one key are folded before the last, bounded ordering
     keys = near.groupBy(*group, "__key").agg(F.sum("__w").alias("w"))
     keys = keys.withColumn("cum", F.sum("w").over(running(group, "__key")))
@@ -106,6 +106,12 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
                        F.col("w").alias("size"))
 
 
+def _crowd(wanted: DataFrame, group: list[str]) -> tuple[int | None, bool]:
+    """Most rows in one wanted bucket, and whether the wanted buckets are few and narrow."""
+    crowd, places, size = wanted.agg(F.max("m"), F.count(F.lit(1)), F.sum(key_bytes(wanted, group))).first()
+    return crowd, few(places, size)
+
+
 def _reached(running: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
     """Running rows at which a wanted rank is reached."""
     names = {c: f"__w_{i}" for i, c in enumerate(group)}
@@ -128,7 +134,10 @@ def smallest(df: DataFrame, key: Column, levels: list[Column],
              k: int | Callable[[Column], Column]) -> Column:
     """Predicate that is true for exactly the ``k`` rows with the smallest keys.
 
-    ``k`` may be computed from the number of rows.
+    ``k`` may be computed from the number of rows.  Where the last one falls among rows of
+    equal key (their ids repeat), the contents of these rows decide.  Rows that are
+    equal in every column cannot be told apart: if it falls among such rows, this is an
+    error.
     """
     if isinstance(k, int) and k <= 0:
         return F.lit(False)
@@ -138,4 +147,13 @@ def smallest(df: DataFrame, key: Column, levels: list[Column],
         if callable(k):
             return F.lit(False)
         raise ValueError(f"fewer than {k} rows to draw from")
-    return F.coalesce(key <= as_literal(cut["cut"]), F.lit(False))
+    last = as_literal(cut["cut"])
+    need = cut["rank"] - cut["before"]
+    if need == cut["size"]:
+        return F.coalesce(key <= last, F.lit(False))
+    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    tied = rank_cuts(df.filter(key == last), [], content, md5_levels(content), lambda n: F.array(F.lit(need))).first()
+    if tied["before"] + tied["size"] != need:
+        raise ValueError(f"{tied['size']} rows are alike in every column: exactly {cut['rank']} cannot be drawn")
+    chosen = (key < last) | (key == last) & (content <= F.lit(tied["cut"]))
+    return F.coalesce(chosen, F.lit(False))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillgauge.functions.values import clip
+from fillgauge.functions.values import clip, known_number
 from fillgauge.operators.cumulative import MAX_GROUP_ROWS, GroupSizes, percentiles
-from fillgauge.operators.joins import attach, few
+from fillgauge.operators.joins import attach, few, key_bytes
 from fillgauge.operators.rankcuts import value_levels
 from fillgauge.session import settle
 
@@ -17,26 +17,26 @@ from fillgauge.session import settle
 def winsorize(df: DataFrame, groups: Sequence[str], value: str, p: float = 5.0,
               name: str = "winsorized") -> DataFrame:
     """Clip ``value`` at the p-th and (100-p)-th percentile of its group."""
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(known_number(F.col(value)).isNotNull())
     sizes = GroupSizes(rows, groups) if groups else None
     bounds = percentiles(df, groups, value, {"__lo": p / 100, "__hi": 1 - p / 100}, sizes=sizes)
     if sizes:
-        out = attach(df, bounds, groups, null_safe=True, settled=True, small=few(sizes.number))
+        out = attach(df, bounds, groups, null_safe=True, settled=True, small=sizes.few())
     else:
         lo, hi = bounds.first() or (None, None)
         out = df.withColumns({"__lo": F.lit(lo).cast("double"), "__hi": F.lit(hi).cast("double")})
-    return out.withColumn(name, clip(F.col(value).cast("double"), F.col("__lo"), F.col("__hi"))
+    return out.withColumn(name, clip(known_number(F.col(value)), F.col("__lo"), F.col("__hi"))
                           ).drop("__lo", "__hi")
 
 
 def mad(df: DataFrame, groups: Sequence[str], value: str, name: str = "mad") -> DataFrame:
     """Unscaled median absolute deviation per group."""
     keys = list(groups) or ["__all"]
-    rows = df.withColumn("__all", F.lit(0)).select(*keys, F.col(value).cast("double").alias("value"))
+    rows = df.withColumn("__all", F.lit(0)).select(*keys, known_number(F.col(value)).alias("value"))
     rows = rows.filter("value is not null")
     sizes = GroupSizes(rows, keys)
     centre = percentiles(rows, keys, "value", {"__med": 0.5}, sizes=sizes)
-    away = attach(rows, centre, keys, null_safe=True, settled=True, small=few(sizes.number))
+    away = attach(rows, centre, keys, null_safe=True, settled=True, small=sizes.few())
     away = away.select(*keys, F.abs(F.col("value") - F.col("__med")).alias("value"))
     return percentiles(away, keys, "value", {name: 0.5}, sizes=sizes).select(*groups, name)
 
@@ -56,8 +56,8 @@ def p95_p5(df: DataFrame, groups: Sequence[str], value: str, name: str = "p95p5"
 def stack_pairs(df: DataFrame, groups: Sequence[str], first: str, second: str) -> DataFrame:
     """(groups, value, a, b): both columns in one, marked by a = 1 or b = 1; NULLs left out."""
     pair = F.explode(F.array(
-        F.struct(F.col(first).cast("double").alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b")),
-        F.struct(F.col(second).cast("double").alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+        F.struct(known_number(F.col(first)).alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b")),
+        F.struct(known_number(F.col(second)).alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
     return df.select(*groups, pair.alias("p")).select(*groups, "p.*").filter("value is not null")
 
 
@@ -122,7 +122,8 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
     places = settle(sizes.filter("n1 > 0 and n2 > 0").select(
         *keys, F.lit(0).alias("__b"), "n1", "n2", F.lit(0).cast("long").alias("a0"),
         F.lit(0).cast("long").alias("b0")))
-    groups = number = places.count()
+    number, size = places.agg(F.count(F.lit(1)), F.sum(key_bytes(places, keys))).first()
+    groups = small = few(number, size)
     best = None
 
     def running(df: DataFrame, order: str) -> DataFrame:
@@ -137,26 +138,27 @@ def _ks_large(rows: DataFrame, sizes: DataFrame, keys: list[str], ties: str, lim
     for level in range(len(levels)):
         fine = f"__l{level}"
         near = rows if level == 0 else attach(rows, places.select(*group), group, how="inner",
-                                              null_safe=True, settled=True, small=few(number))
+                                              null_safe=True, settled=True, small=small)
         hist = near.groupBy(*group, fine).agg(F.sum("a").alias("a"), F.sum("b").alias("b"),
                                               F.count(F.lit(1)).alias("m"))
         hist = attach(hist, places.select(*group, *state), group, how="inner", null_safe=True,
-                      settled=True, small=few(number))
+                      settled=True, small=small)
         hist = running(hist, fine)
         up = _share(F.col("ca"), "n1") - _share(F.col("cb") - F.col("b"), "n2")
         down = _share(F.col("cb"), "n2") - _share(F.col("ca") - F.col("a"), "n1")
         hist = settle(hist.withColumns({"d": _gap("standard"), "most": F.greatest(up, down)}))
         best = settle(better(hist.groupBy(*keys).agg(F.max("d").alias("d"))))
-        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True, small=few(groups))
+        still = attach(hist.drop("d"), best, keys, null_safe=True, settled=True, small=groups)
         places = settle(still.filter("most > d").select(
             *keys, F.col(fine).alias("__b"), "n1", "n2", (F.col("ca") - F.col("a")).alias("a0"),
             (F.col("cb") - F.col("b")).alias("b0"), "m"))
-        crowd, number = places.agg(F.max("m"), F.count(F.lit(1))).first()
+        crowd, number, size = places.agg(F.max("m"), F.count(F.lit(1)), F.sum(key_bytes(places, keys))).first()
+        small = few(number, size)
         rows = rows.withColumn("__b", F.col(fine))
         if (crowd or 0) <= limit:
             break
     near = attach(rows, places.select(*group, *state), group, how="inner", null_safe=True,
-                  settled=True, small=few(number))
+                  settled=True, small=small)
     # copies of one value are folded before the last, bounded ordering
     exact = near.groupBy(*group, *state, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return better(running(exact, "value").groupBy(*keys).agg(F.max(_gap(ties)).alias("d")))
@@ -170,10 +172,11 @@ def ks_two_sample(df: DataFrame, groups: Sequence[str], first: str, second: str,
     keys = list(groups) or ["__all"]
     rows = stack_pairs(df.withColumn("__all", F.lit(0)), keys, first, second)
     sizes = settle(rows.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")))
-    biggest, number = sizes.agg(F.max(F.col("n1") + F.col("n2")), F.count(F.lit(1))).first()
+    biggest, number, size = sizes.agg(F.max(F.col("n1") + F.col("n2")), F.count(F.lit(1)),
+                                      F.sum(key_bytes(sizes, keys))).first()
     found = (_ks_small(rows, keys, ties) if (biggest or 0) <= limit else
              _ks_large(rows, sizes, keys, ties, limit))
-    out = attach(sizes, found, keys, null_safe=True, settled=True, small=few(number))
+    out = attach(sizes, found, keys, null_safe=True, settled=True, small=few(number, size))
     d = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("d"))
     return out.select(*groups, F.col("n1").alias("n_true"), F.col("n2").alias("n_imp"),
                       d.alias("ks_stat"), ks_pvalue(d, F.col("n1"), F.col("n2")).alias("ks_p"))

@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillgauge.functions.values import md5_key
+from fillgauge.functions.values import known_number, md5_key
 from fillgauge.operators.joins import attach
-from fillgauge.operators.rankcuts import (md5_levels, rank_cuts, smallest, weighted_key,
+from fillgauge.operators.rankcuts import (MAX_BUCKET_ROWS, md5_levels, rank_cuts, smallest, weighted_key,
                                           weighted_levels)
 
 
 def sample_exact(df: DataFrame, id_cols: Sequence[str], k: int, seed: int,
                  label: str = "sample") -> DataFrame:
-    """Exactly ``k`` rows without replacement; ``id_cols`` identify a row."""
+    """Exactly ``k`` rows without replacement; see :func:`smallest` for ids that repeat."""
     key = md5_key(id_cols, label, seed)
     return df.filter(smallest(df, key, md5_levels(key), k))
 
 
 def weighted_pick(df: DataFrame, id_cols: Sequence[str], weight: Column, k: int, seed: int,
                   label: str) -> Column:
-    """Predicate for a weighted draw of ``k`` rows; only positive weights can be drawn."""
+    """Predicate for a weighted draw of ``k`` rows; only positive, finite weights can be drawn."""
     if k <= 0:
         return F.lit(False)
-    positive = F.coalesce(weight > 0, F.lit(False))
+    weight = known_number(weight)
+    positive = F.coalesce((weight > 0) & (weight < float("inf")), F.lit(False))
     key = weighted_key(id_cols, F.when(positive, weight), label, seed)
     picked = smallest(df.filter(positive), key, weighted_levels(key), k)
     return positive & picked
@@ -38,13 +39,24 @@ def sample_weighted(df: DataFrame, id_cols: Sequence[str], weight: Column, k: in
 
 
 def sample_per_group(df: DataFrame, groups: Sequence[str], id_cols: Sequence[str], n: int,
-                     seed: int, label: str = "group") -> DataFrame:
-    """At most ``n`` rows of every group: an exact draw where the group is larger."""
+                     seed: int, label: str = "group", max_group_rows: int | None = None) -> DataFrame:
+    """At most ``n`` rows of every group: an exact draw where the group is larger.
+
+    Rows of equal id count one by one, in the order of their contents.  Groups that fit
+    a task are ranked there, in one shuffle; if any does not, the keys to draw are looked
+    up by histograms, and only rows up to them are ranked.
+    """
     key = md5_key(id_cols, label, seed)
-    cuts = rank_cuts(df, groups, key, md5_levels(key),
-                     lambda size: F.array(F.least(size, F.lit(int(n))))).select(*groups, "cut")
-    out = attach(df, cuts, groups, null_safe=True)
-    return out.filter(key <= F.col("cut")).drop("cut")
+    limit = MAX_BUCKET_ROWS if max_group_rows is None else max_group_rows
+    biggest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = df
+    if biggest > limit:
+        cuts = rank_cuts(df, groups, key, md5_levels(key),
+                         lambda size: F.array(F.least(size, F.lit(int(n))))).select(*groups, "cut")
+        rows = attach(df, cuts, groups, null_safe=True).filter(key <= F.col("cut")).drop("cut")
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
+    order = Window.partitionBy(*groups).orderBy(key, content)
+    return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n).drop("__rank")
 
 
 def subsample_stratified(df: DataFrame, stratum: str, id_cols: Sequence[str], n: int,
@@ -85,9 +97,21 @@ def kfold(df: DataFrame, id_cols: Sequence[str], k: int, seed: int, name: str =
 
 
 def stratified_folds(df: DataFrame, stratum: str, id_cols: Sequence[str], k: int, seed: int,
-                     name: str = "fold") -> DataFrame:
-    """Shuffled folds whose sizes differ by at most one inside every stratum."""
+                     name: str = "fold", max_group_rows: int | None = None) -> DataFrame:
+    """Shuffled folds whose sizes differ by at most one inside every stratum.
+
+    Strata that fit a task are ranked there, in one shuffle; the bounds of larger ones are
+    looked up by histograms.
+    """
     key = md5_key(id_cols, "fold", seed)
+    limit = MAX_BUCKET_ROWS if max_group_rows is None else max_group_rows
+    biggest = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if biggest <= limit:
+        whole = Window.partitionBy(stratum)
+        rank, n = F.row_number().over(whole.orderBy(key)), F.count(F.lit(1)).over(whole)
+        ranked = df.withColumns({"__rank": rank, "__n": n})
+        passed = F.filter(_fold_bounds(F.col("__n"), k), lambda r: r < F.col("__rank"))
+        return ranked.withColumn(name, F.size(passed).cast("int")).drop("__rank", "__n")
     cuts = rank_cuts(df, [stratum], key, md5_levels(key), lambda n: _fold_bounds(n, k))
     table = cuts.groupBy(stratum).agg(
         F.max("n").alias("__n"),

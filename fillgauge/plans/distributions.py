@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.operators.cumulative import GroupSizes, percentiles, running_counts
-from fillgauge.operators.joins import attach, few
+from fillgauge.functions.values import known_number
+from fillgauge.operators.joins import attach
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
 from fillgauge.operators.robust import paired_distribution
 from fillgauge.operators.sampling import sample_per_group
@@ -45,7 +46,7 @@ def fd_bin_count(n: Column, iqr: Column, low: Column, high: Column) -> Column:
 def _series(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, series, value): true and imputed values below each other."""
     cells = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("series"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(name).alias("series"), known_number(F.col(c)).alias("value"))
         for name, c in (("true", "y_true"), ("imp", "y_pred"))]))
     out = rows.select(*keys, cells.alias("s")).select(*keys, "s.*")
     return out.filter("value is not null")
@@ -76,7 +77,7 @@ def _frame(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _known(sizes: GroupSizes, rows_per_figure: int = 2) -> dict:
     """Options for joins with a table of so many rows per figure."""
-    return {"null_safe": True, "settled": True, "small": few(rows_per_figure * sizes.number)}
+    return {"null_safe": True, "settled": True, "small": sizes.few(rows_per_figure)}
 
 
 def fd_bins(rows: DataFrame, **selection) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgauge.functions.values import require_columns, to_number
+from fillgauge.functions.values import present, require_columns, to_number
 from fillgauge.operators.joins import attach, is_small
 from fillgauge.plans.metrics import group_metrics
 from fillgauge.session import settle
@@ -26,15 +26,26 @@ def join_methods(frames: DataFrame, methods: DataFrame, status_col: str = STATUS
 
 
 def join_truth(imputed: DataFrame, original: DataFrame, id_col: str,
-               truths: Mapping[str, str], how: str = "left") -> DataFrame:
-    """Add the true values (``truths``: column to new name) by id; NULL ids match each other."""
+               truths: Mapping[str, str], how: str = "left", per: str | None = None) -> DataFrame:
+    """Add the true values (``truths``: column to new name) by id; NULL ids match each other.
+
+    With a right or outer join the originals without a match are kept, once for every
+    value of the column ``per`` that occurs.  There NULL ids of both sides meet in one key,
+    so many of them on both sides make as many pairs as their product, as asked for.
+    """
     if how in ("left", "inner"):
         truth = original.select(id_col, *[F.col(c).alias(n) for c, n in truths.items()])
-        return attach(imputed, truth, [id_col], how=how, null_safe=True, settled=True)
+        return attach(imputed, truth, [id_col], how=how, null_safe=True)
     truth = original.select(F.col(id_col).alias("__id"),
                             *[F.col(c).alias(n) for c, n in truths.items()])
-    out = imputed.join(truth, F.col(id_col).eqNullSafe(F.col("__id")), how)
-    return out.withColumn(id_col, F.coalesce(F.col(id_col), F.col("__id"))).drop("__id")
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    if per is not None:
+        found = [r[0] for r in imputed.select(per).distinct().collect()]  # one per imputed version
+        truth = truth.withColumn("__per", F.explode(F.array(*[F.lit(x) for x in found]) if found
+                                                    else F.array().cast("array<int>")))
+        same = same & (F.col(per) == F.col("__per"))
+    out = imputed.join(truth, same, how)
+    return out.withColumn(id_col, F.coalesce(F.col(id_col), F.col("__id"))).drop("__id", "__per")
 
 
 def long_rows(methods: DataFrame, frames: Mapping[int, DataFrame], original: DataFrame, *,
@@ -51,14 +62,9 @@ def long_rows(methods: DataFrame, frames: Mapping[int, DataFrame], original: Dat
     if not picked:
         raise ValueError("no imputed versions given")
     truths = {c: f"__t_{c}" for c in target_cols}
-    if how_join_original in ("left", "inner"):
-        picked = [reduce(DataFrame.unionByName, picked)]
-    else:
-        # an outer join keeps the unmatched originals once per version that has rows
-        picked = [f for f in picked if not f.isEmpty()]
-    joined = [join_truth(join_methods(f, methods), original, id_col, truths, how_join_original)
-              for f in picked]
-    wide = reduce(DataFrame.unionByName, joined)
+    # an outer join keeps the unmatched originals once per version that has rows
+    stacked = reduce(DataFrame.unionByName, [f.withColumn("__frame", F.lit(i)) for i, f in enumerate(picked)])
+    wide = join_truth(join_methods(stacked, methods), original, id_col, truths, how_join_original, per="__frame")
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), to_number(F.col(f"__p_{c}").cast("string")).alias("y_pred")
                  if dict(wide.dtypes)[f"__p_{c}"] == "string" else
@@ -110,7 +116,7 @@ def smd_by_group(rows: DataFrame, group_col: str, *, ref_rule: str = "population
     for c in by:
         rows = rows.filter(F.col(c).isNotNull())
     keys = [*by, "variable"]
-    y, p = F.col("y_true"), F.col("y_pred")
+    y, p = present(rows, "y_true"), present(rows, "y_pred")
     groups = settle(rows.groupBy(*keys, F.col(group_col).alias("group")).agg(
         F.count(F.lit(1)).alias("n"), F.count(y).alias("n_true"), F.count(p).alias("n_imp"),
         F.avg(y).alias("mean_true"), F.avg(p).alias("mean_imp"),

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgauge.functions.values import clip
+from fillgauge.functions.values import clip, present
 from fillgauge.operators.cumulative import GroupSizes, percentiles
-from fillgauge.operators.joins import attach, few
+from fillgauge.operators.joins import attach
 from fillgauge.operators.robust import ks_two_sample
 from fillgauge.session import settle, together
 
 EPS = 1e-12
 
+# The names of the metrics.
 METRICS = [
     "rmse", "mae", "r2", "mape_pct", "smape_pct", "rmsle", "nrmse_mean", "nmae_mean",
     "resid_std", "resid_var", "n",
@@ -55,6 +56,7 @@ def moment_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``rows`` holds ``y_true`` and ``y_pred``; incomplete pairs do not count, but
     their group stays in the result.
     """
+    rows = rows.withColumns({c: present(rows, c) for c in ("y_true", "y_pred")})
     pair = F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
     y = F.when(pair, F.col("y_true"))
     p = F.when(pair, F.col("y_pred"))
@@ -102,14 +104,15 @@ def spread_metrics(rows: DataFrame, keys: Sequence[str], winsor_p: float = 5.0,
     unless ``rows`` is a stored table already (``settled``).
     """
     keys = list(keys)
-    pairs = rows.select(*keys, "y_true", "y_pred").filter("y_true is not null and y_pred is not null")
+    pairs = rows.select(*keys, *[present(rows, c).alias(c) for c in ("y_true", "y_pred")])
+    pairs = pairs.filter("y_true is not null and y_pred is not null")
     pairs = pairs if settled else settle(pairs)
     series = F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(c).cast("double").alias("value"))
                                  for s, c in (("true", "y_true"), ("imp", "y_pred"))]))
     tall = pairs.select(*keys, series.alias("s")).select(*keys, "s.*")
     by = [*keys, "series"]
     sizes = GroupSizes(tall, by)
-    known = {"null_safe": True, "settled": True, "small": few(sizes.number)}
+    known = {"null_safe": True, "settled": True, "small": sizes.few()}
     options = {"sizes": sizes, "max_group_rows": max_group_rows}
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "p5": 0.05, "p95": 0.95,
              "wlo": winsor_p / 100, "whi": 1 - winsor_p / 100}

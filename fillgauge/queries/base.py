@@ -78,7 +78,8 @@ def col_when(cond: str, value: str) -> Column:
 
 def md5_sql(*parts: str) -> str:
     """SQL twin of the random key; parts are SQL expressions."""
-    return "md5(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
+    texts = [f"CAST({p} AS VARCHAR)" for p in parts]
+    return "md5(concat_ws('|', " + ", ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts) + "))"
 
 
 def uniform_sql(key: str) -> str:

@@ -15,7 +15,7 @@ N = 2000
 
 
 def key(i, *salt):
-    return hashlib.md5("|".join(map(str, (i, *salt))).encode()).hexdigest()
+    return hashlib.md5("|".join(f"{len(str(x))}:{x}" for x in (i, *salt)).encode()).hexdigest()
 
 
 def uniform(text):
