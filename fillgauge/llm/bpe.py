@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fillgauge.llm.arrow import one_chunk, rows, with_bytes
-from fillgauge.llm.words import (Block, build_blocks, distinct_words, exchange_words, pack_lists, per_block,
-                                 unpack_lists)
+from fillgauge.llm.words import (Block, bucket_count, build_blocks, distinct_words, exchange_words, pack_lists,
+                                 per_block, unpack_lists)
 
 #: White space of the pattern's ``\s`` (fixed values: the Unicode property White_Space).
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+DECODED = [T.StructField("decoded", T.BinaryType()), T.StructField("ids_le", T.BinaryType())]
 #: Words that are Python objects at a time.
 AT_ONCE = 50_000
 
@@ -109,10 +110,13 @@ def match_words(pattern: str):
     return split
 
 
-def encode(docs: DataFrame, ranks: Ranks, *, keys: Sequence[str] = ("doc_id",),
-           text: str = "text") -> DataFrame:
-    """(keys, token_ids): the ids of every whole text, each match of the pattern encoded apart."""
-    blocks = build_blocks(docs, keys, text, match_words(ranks.pattern))
+def encode(docs: DataFrame, ranks: Ranks, *, keys: Sequence[str] = ("doc_id",), text: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """(keys, token_ids): the ids of every whole text, each match of the pattern encoded apart.
+
+    With ``decoded`` also what :func:`decode` adds, in the same pass.
+    """
+    blocks = build_blocks(docs, keys, text, match_words(ranks.pattern), stored=False)
 
     def ids_of(arrays: list[pa.Array]) -> list[bytes]:
         words, places = distinct_words(arrays)
@@ -124,22 +128,40 @@ def encode(docs: DataFrame, ranks: Ranks, *, keys: Sequence[str] = ("doc_id",),
         return [pack_lists(lists.take(pa.array(p))) for p in places]
 
     schema = T.StructType([docs.schema[k] for k in keys]
-                          + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+                          + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] + DECODED * decoded)
 
-    def join_back(block: Block) -> pa.RecordBatch:
-        ids, ends = token_runs(block)
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        return rows(schema, [*[block.key(k) for k in keys], lists])
+    def join_back(block: Block) -> Iterator[pa.RecordBatch]:
+        for first, last, ids, ends in token_runs(block):
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            more = _decoded(lists, ranks.token_bytes()) if decoded else []
+            yield rows(schema, [*[block.key(k).slice(first, last - first) for k in keys], lists, *more])
 
-    return per_block(blocks, exchange_words(blocks, ids_of), schema, join_back)
+    return per_block(blocks, exchange_words(blocks, bucket_count(docs, text), ids_of), schema, join_back)
 
 
-def token_runs(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a block in order, and where each document's ids begin and end."""
+def token_runs(block: Block) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For portions of a block's documents: their ids in order, and where each document's begin and end."""
     of_word = unpack_lists(block.values).take(pa.array(block.per_word()))
-    in_order = of_word.take(pa.array(block.codes))
-    before = in_order.offsets.to_numpy()
-    return in_order.flatten().to_numpy(), before[block.offsets]
+    for first, last in block.portions():
+        at, to = block.offsets[first], block.offsets[last]
+        in_order = of_word.take(pa.array(block.codes[at:to]))
+        before = in_order.offsets.to_numpy()
+        yield first, last, in_order.flatten().to_numpy(), before[block.offsets[first:last + 1] - at]
+
+
+def _decoded(lists: pa.ListArray, table: pa.Array) -> list[pa.Array]:
+    """The bytes of each list of ids by the token table, and the ids as little-endian numbers."""
+    missing = pa.array(pc.is_null(lists).to_numpy(zero_copy_only=False))
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    known = np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1)
+    pieces = table.take(pa.array(known))
+    _, offsets, data = pieces.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32, count=len(pieces) + 1)
+    raw = data.to_pybytes() if data is not None else b""
+    found = with_bytes(at[ends], raw, pa.binary()), with_bytes(ends * 4, flat.astype("<u4").tobytes(), pa.binary())
+    return [pc.if_else(missing, None, c) for c in found]
 
 
 def decode(encoded: DataFrame, ranks: Ranks, *, ids: str = "token_ids") -> DataFrame:
@@ -149,26 +171,12 @@ def decode(encoded: DataFrame, ranks: Ranks, *, ids: str = "token_ids") -> DataF
     no bytes; NULL ids give NULL.  Columns of these two names are replaced.
     """
     keep = [c for c in encoded.columns if c not in ("decoded", "ids_le")]
-    schema = T.StructType([encoded.schema[c] for c in keep]
-                          + [T.StructField("decoded", T.BinaryType()), T.StructField("ids_le", T.BinaryType())])
+    schema = T.StructType([encoded.schema[c] for c in keep] + DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.token_bytes()
         for batch in batches:
-            lists = batch.column(ids)
-            missing = pc.is_null(lists).to_numpy(zero_copy_only=False)
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            known = np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1)
-            pieces = table.take(pa.array(known))
-            _, offsets, data = pieces.buffers()
-            at = np.frombuffer(offsets, dtype=np.int32, count=len(pieces) + 1)
-            raw = data.to_pybytes() if data is not None else b""
-            decoded = with_bytes(at[ends], raw, pa.binary())
-            numbers = with_bytes(ends * 4, flat.astype("<u4").tobytes(), pa.binary())
-            hide = [pc.if_else(pa.array(missing), None, c) for c in (decoded, numbers)]
-            yield rows(schema, [*[batch.column(c) for c in keep], *hide])
+            yield rows(schema, [*[batch.column(c) for c in keep], *_decoded(batch.column(ids), table)])
 
     return encoded.select(*keep).mapInArrow(run, schema)
 
@@ -179,7 +187,6 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = Ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    done = decode(encode(docs, ranks), ranks)
-    return done.select(
+    return encode(docs, ranks, decoded=True).select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -188,7 +188,7 @@ def prepare(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text: str
     """Count all training tokens and rewrite every text as a sequence of classes."""
     flagged = docs.select(id_col, text, F.coalesce(train, F.lit(False)).alias("__train"))
     blocks = build_blocks(flagged, [id_col, "__train"], text, lower_words, marked="__train")
-    ends = blocks.agg(F.sum("n_marked"), F.sum("n_marked_docs")).first()
+    ends = blocks.select("n_marked", "n_marked_docs").agg(F.sum("n_marked"), F.sum("n_marked_docs")).first()
     tokens, documents = int((ends[0] or 0) + (ends[1] or 0)), int(ends[1] or 0)
     frequent = max(1.0, tokens * FREQUENT_SHARE)
 
@@ -209,7 +209,7 @@ def prepare(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text: str
     schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
                            *[T.StructField(n, T.BinaryType()) for n in _SEQUENCES]])
 
-    def rewrite(block: Block) -> pa.RecordBatch:
+    def rewrite(block: Block) -> Iterator[pa.RecordBatch]:
         places = block.per_word()
         parts = [_unpair(v) for v in block.values]
         count = np.concatenate([p[0] for p in parts] or [places])[places]
@@ -231,7 +231,7 @@ def prepare(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text: str
         known = np.diff(np.concatenate([[0], np.cumsum(count[block.codes] > 0)])[block.offsets]) + (documents > 0)
         numbers = [per_text(values[block.codes]) + e for values, e in zip((base, inside), end)]
         ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block.key(id_col))
-        return rows(schema, [
+        yield rows(schema, [
             ids, [squeeze(block.counts + 1)], [squeeze(classes)], [squeeze(known)],
             [numbers[0].tobytes()], [numbers[1].tobytes()],
             [squeeze(block.key("__train").to_numpy(zero_copy_only=False).astype(np.int64))]])

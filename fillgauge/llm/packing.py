@@ -200,22 +200,22 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, *, keys: Sequence[str] =
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
         T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
 
-    def cut(block: Block) -> pa.RecordBatch:
-        ids, ends = token_runs(block)
-        raw_ids, tail = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
-        who, start, length, body, total = [], [], [], [], []
-        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            n = b - a + 1
-            own = raw_ids[4 * a:4 * b] + tail
-            for s in range(0, n, capacity):
-                size = min(capacity, n - s)
-                who.append(i)
-                start.append(s)
-                length.append(size)
-                body.append(own[4 * s:4 * (s + size)])
-                total.append(n)
-        return rows(schema, [*[block.key(k).take(pa.array(who, pa.int64())) for k in keys],
-                             start, length, body, total])
+    def cut(block: Block) -> Iterator[pa.RecordBatch]:
+        for first, _, ids, ends in token_runs(block):
+            raw_ids, tail = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
+            who, start, length, body, total = [], [], [], [], []
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                n = b - a + 1
+                own = raw_ids[4 * a:4 * b] + tail
+                for s in range(0, n, capacity):
+                    size = min(capacity, n - s)
+                    who.append(first + i)
+                    start.append(s)
+                    length.append(size)
+                    body.append(own[4 * s:4 * (s + size)])
+                    total.append(n)
+            yield rows(schema, [*[block.key(k).take(pa.array(who, pa.int64())) for k in keys],
+                                start, length, body, total])
 
     # a word's parts are encoded in one bucket, whatever its case and stops are
     answers = exchange_words(blocks, bucket_count(docs, text), ids_of, mark=lambda w: w.rstrip(b".,").lower())

@@ -36,9 +36,11 @@ from fillgauge.llm.arrow import (arrow_type, one_chunk, rows, squeeze, squeeze_a
 from fillgauge.session import settle
 
 #: Bytes of text per block.
-BLOCK_BYTES = 32 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
 #: Bytes of text that are cut into words at a time.
 STEP_BYTES = 4 * 1024 * 1024
+#: Words of a block that are put back in order at a time.
+PORTION_WORDS = 250_000
 #: Bytes of text per bucket of the exchange; a bucket takes the distinct words that so much text has, on average.
 BUCKET_BYTES = 12 * 1024 * 1024
 
@@ -46,8 +48,27 @@ BUCKET_BYTES = 12 * 1024 * 1024
 Split = Callable[[pa.Array], pa.Array]
 
 
+class Blocks:
+    """Rows of blocks: a stored table, or made again by each job that reads them."""
+
+    def __init__(self, source: DataFrame, build: Callable, schema: T.StructType, stored: bool):
+        self._source, self._build, self._schema = source, build, schema
+        self.table = settle(source.mapInArrow(build, schema)) if stored else None
+
+    def select(self, *columns: str) -> DataFrame:
+        held = self._source.mapInArrow(self._build, self._schema) if self.table is None else self.table
+        return held.select(*columns)
+
+    def map(self, columns: Sequence[str], work: Callable, schema: T.StructType) -> DataFrame:
+        """``work`` over batches that have these columns; one Python process per task, stored or not."""
+        if self.table is not None:
+            return self.table.select(*columns).mapInArrow(work, schema)
+        build = self._build
+        return self._source.mapInArrow(lambda batches: work(build(batches)), schema)
+
+
 def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split, *, marked: str | None = None,
-                 stored: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 stored: bool = True, block_bytes: int = BLOCK_BYTES) -> Blocks:
     """One row per block of documents; NULL text counts as empty.
 
     ``marked`` names a boolean key; the words of those documents are counted apart.  With
@@ -92,11 +113,11 @@ def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split,
             if size + STEP_BYTES > block_bytes:
                 yield block_row(number, parts)
                 number, parts, size = number + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if parts:
             yield block_row(number, parts)
 
-    blocks = docs.select(*keys, F.col(text).alias("__text")).mapInArrow(build, schema)
-    return settle(blocks) if stored else blocks
+    return Blocks(docs.select(*keys, F.col(text).alias("__text")), build, schema, stored)
 
 
 def bucket_count(docs: DataFrame, text: str) -> int:
@@ -105,7 +126,7 @@ def bucket_count(docs: DataFrame, text: str) -> int:
     return max(8, math.ceil(size / BUCKET_BYTES))
 
 
-def exchange_words(blocks: DataFrame, buckets: int, work: Callable[..., list[bytes]], *,
+def exchange_words(blocks: Blocks, buckets: int, work: Callable[..., list[bytes]], *,
                    mark: Callable[[bytes], bytes] = lambda word: word, counted: bool = False) -> DataFrame:
     """(block, check, codes, value): what ``work`` says of the words of each block.
 
@@ -147,7 +168,7 @@ def exchange_words(blocks: DataFrame, buckets: int, work: Callable[..., list[byt
         columns = [table.column(c) for c in ("block", "check", "codes")]
         return pa.Table.from_batches([rows(answer, [*columns, values])])
 
-    return (blocks.select("block", "check", "words", "marks").mapInArrow(send, sent)
+    return (blocks.map(["block", "check", "words", "marks"], send, sent)
             .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(receive, answer))
 
 
@@ -181,15 +202,26 @@ class Block:
     def key(self, name: str) -> pa.Array:
         return self.docs.field(name)
 
-
-def per_block(blocks: DataFrame, answers: DataFrame, schema: T.StructType,
-              work: Callable[[Block], pa.RecordBatch]) -> DataFrame:
-    """Apply ``work`` to every block with its answers."""
+    def portions(self, words: int = PORTION_WORDS) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about so many words, or of one document."""
+        first, n = 0, len(self.counts)
+        while first < n or not n:
+            after = int(np.searchsorted(self.offsets, self.offsets[first] + words, side="right")) - 1
+            last = min(n, max(first + 1, after))
+            yield first, last
+            if last >= n:
+                return
+            first = last
+
+
+def per_block(blocks: Blocks, answers: DataFrame, schema: T.StructType,
+              work: Callable[[Block], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Apply ``work`` to every block with its answers; it answers in batches."""
     def both(block: pa.Table, values: pa.Table) -> pa.Table:
         held = pc.sum(pc.binary_length(values.column("codes"))).as_py() if values.num_rows else 0
         if not block.num_rows or block.column("n_words")[0].as_py() and not held:
             raise RuntimeError("the input changed while it was read; store it first")
-        return pa.Table.from_batches([work(Block(block, values))])
+        return pa.Table.from_batches(list(work(Block(block, values))))
 
     slim = blocks.select("block", "check", "n_words", "docs", "counts", "codes")
     return slim.groupBy("block", "check").cogroup(answers.groupBy("block", "check")).applyInArrow(both, schema)
