@@ -13,7 +13,7 @@ import statistics
 import time
 
 from fillgauge.queries import QUERIES
-from fillgauge.session import build_session
+from fillgauge.session import build_session, clear_work
 
 HEADLINE = [
     "load_latest_version", "load_versions", "missing_mcar", "missing_mar_max", "missing_company",
@@ -36,6 +36,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             seconds.append(time.perf_counter() - start)
+            clear_work(spark)
         times[name] = round(statistics.median(seconds[1:]), 3)
     spark.stop()
     print(json.dumps({"metric": "total_time", "value": round(sum(times.values()), 3), "unit": "sec",

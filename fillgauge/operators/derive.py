@@ -50,6 +50,8 @@ def _mapped(df: DataFrame, var: str, mapping: Mapping) -> DataFrame:
     if not mapping:
         return df.withColumn(var, F.lit(None).cast("double"))
     table = df.sparkSession.createDataFrame(list(mapping.items()), [var, "__rank"])
+    if all(type(v) is int and -2**31 <= v < 2**31 for v in mapping.values()):
+        table = table.withColumn("__rank", F.col("__rank").cast("int"))
     if len(mapping) <= LITERAL_MAP_ENTRIES:
         pairs = [F.lit(x) for kv in mapping.items() for x in kv]
         value = F.create_map(*pairs)[F.col(var)]

@@ -326,9 +326,9 @@ def _(spark, d):
 
 
 @query("grouped_bars", f"""{ROWS}, s AS ({metrics_sql('rows_long', KEYS_SQL, ['smd'])})
-SELECT variable, "MissMech", "Method" AS "group", "MissRate" AS hue, round(avg(smd), 7) AS value,
+SELECT variable, "MissMech", "Method" AS "group", "MissRate" AS hue, round(avg(smd), 6) AS value,
   CASE WHEN abs(avg(smd)) < 0.1 THEN 'small' WHEN abs(avg(smd)) < 0.2 THEN 'medium' ELSE 'large' END AS band
 FROM s GROUP BY ALL""")
 def _(spark, d):
     summary = moment_metrics(rows_long(spark, d), KEYS)
-    return reports.grouped_bars(summary, "smd").withColumn("value", F.round("value", 7))
+    return reports.grouped_bars(summary, "smd").withColumn("value", F.round("value", 6))

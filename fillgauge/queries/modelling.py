@@ -10,7 +10,7 @@ from fillgauge.session import fresh_path, settle
 
 ID = ["l_orderkey"]
 FEATURES = ["n_lines", "quantity", "discount", "flag"]
-SMALL = {"maxIter": 12, "maxDepth": 4, "stepSize": 0.3, "maxBins": 32}
+SMALL = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "maxBins": 32}
 
 #: SQL twin of the target of :func:`baskets`.
 TOTALS = "SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey"
