@@ -53,9 +53,15 @@ def _series(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _stored(rows: DataFrame, selection: dict) -> tuple[DataFrame, list[str]]:
-    """The chosen rows, written out because every table reads them more than once."""
+    """The chosen rows, written out because every table reads them more than once.
+
+    ``settled`` among the options says that ``rows`` is a stored table, which need not be
+    written again.
+    """
+    options = {k: v for k, v in selection.items() if k != "settled"}
     keys = figure_keys(rows)
-    return settle(selected_rows(rows, **selection).select(*keys, "y_true", "y_pred")), keys
+    chosen = selected_rows(rows, **options).select(*keys, "y_true", "y_pred")
+    return chosen if selection.get("settled") and not options.get("sample_n") else settle(chosen), keys
 
 
 def _bin_counts(tall: DataFrame, frame: DataFrame, keys: Sequence[str], sizes: GroupSizes,

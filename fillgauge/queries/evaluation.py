@@ -241,7 +241,7 @@ FD = """CASE WHEN n < 2 THEN 10 WHEN iqr <= 0 THEN floor(sqrt(n))
   quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM s GROUP BY {FIG})
 SELECT {FIG}, n, CAST({FD} AS INTEGER) AS bins FROM q""")
 def _(spark, d):
-    return distributions.fd_bins(rows_long(spark, d))
+    return distributions.fd_bins(rows_long(spark, d), settled=True)
 
 
 #: Moves bin edges off the grid of halves, so that rounding does not hang on the last bit.
@@ -274,12 +274,12 @@ def _hist(out, digits):
 
 @query("hist_table", hist_sql("{}", 0.0, 0.99, 3))
 def _(spark, d):
-    return _hist(distributions.hist_table(rows_long(spark, d)), 3)
+    return _hist(distributions.hist_table(rows_long(spark, d), settled=True), 3)
 
 
 @query("hist_log1p", hist_sql("ln(1 + {})", 0.01, 0.98, 8))
 def _(spark, d):
-    out = distributions.hist_table(rows_long(spark, d), x_transform="log1p", x_clip=(0.01, 0.98))
+    out = distributions.hist_table(rows_long(spark, d), settled=True, x_transform="log1p", x_clip=(0.01, 0.98))
     return _hist(out, 8)
 
 
@@ -300,7 +300,7 @@ _QQ = "[" + ", ".join(f"{0.01 + QQ_STEP * i!r}::DOUBLE" for i in range(101)) + "
 SELECT {FIG}, CAST(i AS INTEGER) AS point, round({_QQ}[i + 1], 6) AS p, round(a[i + 1], 6) AS q_true,
   round(b[i + 1], 6) AS q_imp FROM (SELECT *, unnest(range(101)) AS i FROM q)""")
 def _(spark, d):
-    return distributions.qq_table(rows_long(spark, d)).withColumns(
+    return distributions.qq_table(rows_long(spark, d), settled=True).withColumns(
         {"p": F.round("p", 6), "q_true": F.round("q_true", 6), "q_imp": F.round("q_imp", 6)})
 
 
@@ -313,7 +313,7 @@ SELECT {FIG}, series, count(*) AS n, round(any_value(q[1]), 4) AS q1, round(any_
   count(*) FILTER (v < q[1] - 1.5 * (q[3] - q[1]) OR v > q[3] + 1.5 * (q[3] - q[1])) AS outliers
 FROM s JOIN q USING ({FIG}, series) GROUP BY {FIG}, series""")
 def _(spark, d):
-    out = distributions.box_table(rows_long(spark, d))
+    out = distributions.box_table(rows_long(spark, d), settled=True)
     return out.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
 
 
