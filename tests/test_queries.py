@@ -21,5 +21,5 @@ def test_query(spark, con, name):
 def test_entry_points(spark):
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.oracle_sql()) == set(ORACLES)
+    assert set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() == 4
