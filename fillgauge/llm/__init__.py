@@ -9,9 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever it lies on the driver; once per application."""
+    """Let executors import this package, wherever it lies on the driver; once per application.
+
+    Texts are long, so batches between Spark and Python are also cut to fewer rows than
+    Spark's default, unless the session says how many.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "500")
     if any(name.startswith("fillgauge-code-") for name in sc._python_includes):
         return
     package = Path(__file__).resolve().parent.parent

@@ -45,12 +45,6 @@ class Ranks:
             self.raw = spark.sparkContext.broadcast(f.read())  # a vocabulary, not corpus data
         self.pattern = pattern
 
-    def __getstate__(self):
-        return self.raw, self.pattern
-
-    def __setstate__(self, state):
-        self.raw, self.pattern = state
-
     def encoder(self):
         return _encoder(self.raw.value, self.pattern)
 

@@ -34,9 +34,9 @@ from fillgauge.operators.joins import attach
 from fillgauge.session import settle
 
 #: Bytes of text that one slice of the first pass folds.
-SLICE_BYTES = 24 * 1024 * 1024
+SLICE_BYTES = 8 * 1024 * 1024
 #: Bytes of distinct content that a bucket's table may hold.
-BUCKET_BYTES = 32 * 1024 * 1024
+BUCKET_BYTES = 16 * 1024 * 1024
 #: Bits by which a bucket that does not fit is cut further.
 MORE_BITS = 4
 #: Most tasks of the exchange; a task works on its buckets one after another.

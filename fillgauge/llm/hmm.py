@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import rows, squeeze, text_bytes, texts_of, unsqueeze, with_bytes
+from fillgauge.llm.arrow import rows, squeeze, text_bytes, unsqueeze, with_bytes
 from fillgauge.llm.words import (Block, ascii_words, bucket_count, build_blocks, distinct_words, exchange_words,
                                  per_block)
 from fillgauge.session import settle
