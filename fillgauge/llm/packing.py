@@ -27,6 +27,11 @@ from fillgauge.llm.words import (Block, ascii_words, bucket_count, build_blocks,
 from fillgauge.session import settle
 
 
+#: Bytes of text per block of documents, and words that are encoded at a time.
+BLOCK_BYTES = 8 * 1024 * 1024
+AT_ONCE = 25_000
+
+
 class OpenWindows:
     """Segment tree over remaining capacities; a leaf holds the runs of windows with that room."""
 
@@ -185,15 +190,20 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, *, keys: Sequence[str] =
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         raw = spark.sparkContext.broadcast(f.read())  # a vocabulary, not corpus data
-    blocks = build_blocks(docs, keys, text, ascii_words)
+    blocks = build_blocks(docs, keys, text, ascii_words, block_bytes=BLOCK_BYTES)
+
+    def encoded(words: list[str]) -> list[list[int]]:
+        parts = [_stem(w) for w in words]
+        known = list(dict.fromkeys(p for pair in parts for p in pair if p))
+        found = _tokenizer(raw.value).encode_batch_fast(known, add_special_tokens=False)
+        ids = {p: e.ids for p, e in zip(known, found)} | {"": []}
+        return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
 
     def ids_of(arrays: list[pa.Array]) -> list[bytes]:
         words, places = distinct_words(arrays)
-        parts = [_stem(w) for w in words.to_pylist()]
-        known = list(dict.fromkeys(p for pair in parts for p in pair if p))
-        encodings = _tokenizer(raw.value).encode_batch_fast(known, add_special_tokens=False)
-        ids = {p: e.ids for p, e in zip(known, encodings)} | {"": []}
-        lists = pa.array([ids[a] + ids[b] if b else ids[a] for a, b in parts], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        lists = pa.concat_arrays([pa.array([], kind)] + [
+            pa.array(encoded(words.slice(a, AT_ONCE).to_pylist()), kind) for a in range(0, len(words), AT_ONCE)])
         return [pack_lists(lists.take(pa.array(p))) for p in places]
 
     schema = T.StructType([docs.schema[k] for k in keys] + [
