@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fillgauge.llm import hmm
+from fillgauge.session import settle
 
 from .conftest import EDGE
 
@@ -120,14 +121,14 @@ def test_pipeline(shipped):
     docs = shipped.read.parquet(f"{folder}/documents.parquet")
     kept = docs
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        from fillgauge.session import settle
-
         before, kept = kept, settle(stage(shipped, kept, folder))
         if number < len(corpus_pipeline.STAGES) - 1:
             assert kept.columns == docs.columns
             assert kept.join(before, "doc_id", "left_anti").count() == 0
     final = corpus_pipeline.run(shipped, folder)
-    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, kept.collect()))
+    # which of two pieces of one length comes first may differ, where each document is cut does not
+    cut = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, final.select(cut).collect())) == sorted(map(tuple, kept.select(cut).collect()))
     ids = {r["doc_id"] for r in final.collect()}
     labels = shipped.read.parquet(f"{folder}/labels.parquet").collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
