@@ -18,6 +18,11 @@ order, agree in at least 0.8 of all: matched / (both - matched).
    a large class the one in its middle.  With few classes each pair is compared.  With
    many, each is compared with the most central one, and they are dealt out anew by
    pairs of sketches and compared in the same way there.
+6. *All that is left.*  All members of buckets that then still hold several classes are
+   dealt out by their rarest shingles.  Similar texts agree in four fifths of their
+   shingles at least, so in one of the first fifth, in any order that is the same for all.
+   Texts of different classes that share such a shingle are compared; no pair that
+   shares a sketch is left out.
 
 Texts shorter than five words have one shingle.  NULL and empty texts have none, and are
 classes of their own, each row apart.  A repeated row is a copy.  Ids may be NULL or
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +54,8 @@ SKETCHES, LENGTH = 16, 3
 #: Up to this many classes in a bucket, one of each is compared with one of each other.
 FEW_CLASSES = 24
 
+#: Holders of a shingle that a task compares with all its holders.
+SLICE_ROWS = 512
 #: Classes of this size and more have a middle, found by comparison with so many members.
 LARGE_CLASS, PROBES = 8, 6
 
@@ -345,6 +352,59 @@ def _class_pairs(chosen: DataFrame) -> DataFrame:
             .select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct())
 
 
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, n, label) of the members of buckets that hold several classes; stored."""
+    labelled = members.select("bucket", "place", "n").join(labels, "place", "left").withColumn(
+        "label", F.coalesce("label", "place"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return settle(attach(labelled, several.filter("low < high").select("bucket"), ["bucket"], how="inner")
+                  .select("place", "n", "label").distinct())
+
+
+def _tokens(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(token, place, n, label): every labelled shingle of ``members``; stored."""
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("place", T.LongType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("label", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, n, label, body in zip(*(batch.column(c).to_pylist() for c in ("place", "n", "label", "body"))):
+                hashes = _sequence(body)
+                tokens = _labelled(hashes, np.zeros(len(hashes), dtype=np.int64)).astype(np.int64)
+                yield rows(schema, [tokens, np.full(n, place), np.full(n, n, dtype=np.int32), np.full(n, label)])
+
+    return settle(bodies.join(members, "place").select("place", "n", "label", "body").mapInArrow(run, schema))
+
+
+def _rare_pairs(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(a, b): each pair of ``members`` of different classes that can be similar.
+
+    Shingles are put in one order, those that one class alone holds before all others, then
+    by the number of their holders.  Of ``n`` shingles ``SIMILARITY * n`` have to agree, so
+    similar texts share one of the first ``n - SIMILARITY * n + 1``.  Behind the first that
+    two texts share there must be enough in both to reach what their lengths need.
+    """
+    tokens = _tokens(members, bodies)
+    held = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("label").alias("low"),
+                                        F.max("label").alias("high"))
+            .filter("low < high").select("token", "holders"))
+    shared = attach(tokens, settle(held), ["token"], how="inner", settled=True)
+    text = Window.partitionBy("place")  # a group here is one text
+    first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)) + 1
+    alone = F.col("n") - F.count(F.lit(1)).over(text)
+    rare = settle(shared.withColumn("rank", F.row_number().over(text.orderBy("holders", "token")))
+                  .withColumn("alone", alone).filter(F.col("rank") <= first - F.col("alone"))
+                  .select("token", "place", "n", "label", (F.col("n") - F.col("alone") - F.col("rank") + 1).alias("behind"),
+                          F.ceil(F.col("holders") / SLICE_ROWS).cast("int").alias("of")))
+    x = rare.withColumn("slice", F.pmod(F.xxhash64("place"), F.col("of")).cast("int")).alias("x")
+    y = rare.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).alias("y")
+    need = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9))
+    return (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice"))
+                   & (F.col("x.place") < F.col("y.place")) & (F.col("x.label") != F.col("y.label"))
+                   & (F.least("x.behind", "y.behind") >= need))
+            .select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct())
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(place, id, class, class_id, class_size): every row of ``docs`` with its class.
 
@@ -375,9 +435,13 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     for dealing in (chosen, anew):
         more = more.union(_central_pairs(dealing.filter(F.col("size") > FEW_CLASSES))
                           .select(*_pair(F.col("a"), F.col("b"))))
-    more = more.distinct()
     known = tried.select(*_pair(F.col("a"), F.col("b")))
-    links = links.union(_verified(more.join(known, ["a", "b"], "left_anti"), bodies))
+    more = settle(more.distinct().join(known, ["a", "b"], "left_anti"))
+    links = links.union(_verified(more, bodies))
+    labels = classes(links)
+
+    left = _rare_pairs(_unresolved(members, labels), bodies)
+    links = links.union(_verified(left.join(known.union(more), ["a", "b"], "left_anti"), bodies))
     labels = classes(links)
 
     of_copy = (copies.join(labels, "place", "left")

@@ -6,6 +6,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,32 @@ def test_near_classes_against_brute_force(shipped, monkeypatch):
     assert len(stay) == len(got) and {r["doc_id"] for r in stay} == {min(ids) for ids in got.values()}
 
 
+def test_no_link_of_a_shared_sketch_is_missed(shipped, monkeypatch):
+    rng = random.Random(12)
+    base = words_of(rng, 150)
+    texts = [base] + [edited(rng, base, rng.randint(1, 5)) for _ in range(150)]
+    # the rim of the family: too far from its middle, each near to some other on the rim
+    for _ in range(60):
+        rim = edited(rng, base, rng.randint(5, 9))
+        texts += [rim, edited(rng, rim, rng.randint(1, 3)), edited(rng, rim, rng.randint(1, 3))]
+    passage = words_of(rng, 100)
+    for _ in range(60):
+        own = passage + words_of(rng, 30)
+        texts += [own, edited(rng, own, 3)]
+    rng.shuffle(texts)
+    hashes, ends = near_dup.shingles(*near_dup.word_numbers(pa.array([" ".join(t) for t in texts])))
+    keys = near_dup.sketches(hashes, ends)
+    own = [hashes[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    links = [(i, j) for i in range(len(texts)) for j in range(i)
+             if (keys[i] == keys[j]).any() and similar(own[i], own[j])]
+    docs = shipped.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for few, slice_rows in ((near_dup.FEW_CLASSES, 512), (3, 7)):
+        monkeypatch.setattr(near_dup, "FEW_CLASSES", few)
+        monkeypatch.setattr(near_dup, "SLICE_ROWS", slice_rows, raising=False)
+        of = {r["id"]: r["class"] for r in near_classes(docs.repartition(4)).collect()}
+        assert [(i, j) for i, j in links if of[i] != of[j]] == []
+
+
 def test_near_classes_edge_cases(shipped, edge, empty):
     rows = near_classes(edge).collect()
     assert len(rows) == len(EDGE)
