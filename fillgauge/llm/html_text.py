@@ -29,10 +29,8 @@ from fillgauge.llm.url_filter import host_and_path
 from fillgauge.operators.joins import attach
 from fillgauge.session import settle
 
-#: A subtree is template from this many pages of its host on, in that many different parents ...
+#: A subtree is template from this many pages of its host on, in that many different parents.
 MIN_PAGES = 5
-#: ... and from this share of the host's pages on; so a host has few template subtrees per page.
-MIN_SHARE = 0.005
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,8 +213,7 @@ def main_text(root: Node, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-            min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``; columns of these names are replaced.
 
     NULL or empty html gives the empty text.  Pages without a host (NULL url, no ``://``)
@@ -227,29 +224,32 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages
     if html in ("text", "n_chars"):
         raise ValueError("the column with the page must not be called like a result")
     host = host_and_path(F.col(url))[0]
-    sent = T.StructType([T.StructField("host", T.StringType()), T.StructField("subtree", T.LongType()),
-                         T.StructField("parent", T.LongType())])
+    page_key = F.md5(F.concat_ws("\n", host, F.col(html)).cast("binary"))  # a page's subtrees follow from both
+    sent = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.StringType()),
+                         T.StructField("subtree", T.LongType()), T.StructField("parent", T.LongType())])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches, "html"):
-            site, subtree, parent = [], [], []
-            for name, page in zip(table.column("host").to_pylist(), table.column("html").to_pylist()):
+            site, key, subtree, parent = [], [], [], []
+            for name, place, page in zip(*(table.column(c).to_pylist() for c in ("host", "page", "html"))):
                 root = parse(page or "")
                 label(root)
                 found = candidates(root)
                 site += [name] * len(found)
+                key += [place] * len(found)
                 subtree += found.keys()
                 parent += found.values()
-            yield rows(sent, [site, subtree, parent])
+            yield rows(sent, [site, key, subtree, parent])
 
-    sites = pages.select(host.alias("host"), F.col(html).alias("html")).filter(F.col("host") != "")
-    counted = (sites.mapInArrow(hashes, sent).groupBy("host", "subtree", "parent").agg(F.count(F.lit(1)).alias("n"))
+    sites = pages.select(host.alias("host"), page_key.alias("page"), F.col(html).alias("html")).filter(F.col("host") != "")
+    found_in = settle(sites.mapInArrow(hashes, sent))
+    counted = (found_in.groupBy("host", "subtree", "parent").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("host", "subtree").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parents"))
                .filter((F.col("n") >= min_pages) & (F.col("parents") >= min_pages)))
-    of_host = pages.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # at most (subtrees per page / share) entries per host
-    templates = settle(counted.join(of_host, "host").filter(F.col("n") >= min_share * F.col("pages"))
-                       .groupBy("host").agg(F.collect_list("subtree").alias("__template")))
+    # every page gets those of its own subtrees only, so no list grows with the host
+    templates = settle(attach(found_in.select("host", "page", "subtree"), counted.select("host", "subtree"),
+                              ["host", "subtree"], how="inner")
+                       .groupBy("page").agg(F.collect_set("subtree").alias("__template")))
 
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
     schema = T.StructType([pages.schema[c] for c in keep] + [
@@ -265,8 +265,8 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages
             yield rows(schema, [*[table.column(f"__{i}") for i in range(len(keep))], found, [len(t) for t in found]])
 
     named = pages.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col(html).alias("__html"),
-                         host.alias("host"))
-    return attach(named, templates, ["host"], settled=True).mapInArrow(texts, schema)
+                         page_key.alias("page"))
+    return attach(named, templates, ["page"], settled=True).mapInArrow(texts, schema)
 
 
 def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -248,6 +248,14 @@ def test_templates_go_and_articles_stay(shipped):
     assert got[202] == got[203] == ""
 
 
+def test_template_of_a_large_host_goes(shipped):
+    rows = [(i, f"http://big.org/{i}", f"<body><div id=c><p>words {i}</p>{'<div>Old notice</div>' if i < 6 else ''}</div>")
+            for i in range(2000)]
+    pages = shipped.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert got == {i: f"words {i}" for i in range(2000)}
+
+
 def test_pages_edge_cases(shipped):
     pages = shipped.createDataFrame([(1, "http://a/", "<p>x", "old", 5)] * 3,
                                     "page_id int, url string, html string, host string, n_chars int")
