@@ -45,7 +45,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
           "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
-#: Names in class, id or role that mark what is not the article.
+#: Whole names in class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset("""ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs
 comment comments commentlist complementary contentinfo cookie cookies consent disqus footer gdpr header login masthead
 menu modal nav navbar navigation newsletter notice popup promo promotion related respond search share sharing sidebar
@@ -56,16 +56,16 @@ _TOKEN = re.compile(
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "hash", "article", "marks")
+    __slots__ = ("tag", "parent", "children", "dropped", "hash", "article", "marks", "named", "holds")
 
     def __init__(self, tag: str, parent: Node | None, rest: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.article = tag in ("article", "main")
         self.marks = ""
+        self.named = self.holds = False
         self.dropped = tag in DROPPED
         if rest and "=" in rest or "hidden" in rest:
             self._look_at(rest)
@@ -73,13 +73,12 @@ class Node:
     def _look_at(self, rest: str) -> None:
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
         self.marks = "|".join(found.get(k, "") for k in ("class", "id", "role"))
-        names = set(_NAMES.findall(self.marks.lower()))
+        names = set(self.marks.lower().replace("|", " ").split())
         self.article = self.article or found.get("role") == "main"
         hidden = ("hidden" in found or found.get("aria-hidden") == "true"
                   or "display:none" in found.get("style", "").replace(" ", "").lower())
-        # a page may name the body or the article after such a part; then the name says nothing
-        named = bool(names & NOT_ARTICLE) and self.tag not in ("html", "body", "main")
-        self.dropped = self.dropped or hidden or named
+        self.named = bool(names & NOT_ARTICLE) and self.tag not in ("html", "body")
+        self.dropped = self.dropped or hidden
 
 
 def parse(page: str) -> Node:
@@ -148,6 +147,9 @@ def label(root: Node) -> None:
             elif not child.isspace():
                 digest.update(" ".join(child.split()))
         node.hash = digest.intdigest() - (1 << 63)
+        # a page may name what holds the article after such a part; then the name says nothing
+        node.holds = not node.dropped and (node.article or any(isinstance(c, Node) and c.holds for c in node.children))
+        node.dropped = node.dropped or node.named and not node.holds
 
 
 def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:

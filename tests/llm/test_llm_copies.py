@@ -230,6 +230,16 @@ def test_main_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<div id='page-with-banner'><p>a</p></div>", "a"),
+    ("<article class='post has-comments'><p>a</p></article>", "a"),
+    ("<article class='post comments'><p>a</p><div class='x comments'>no</div></article>", "a"),
+    ("<div class=sidebar><div><article><p>a</p></article></div></div><div class='sidebar left'>no</div>", "a"),
+    ("<div class=sidebar><aside><article>no</article></aside>no</div><p>a</p>", "a")])
+def test_names_drop_no_article(page, want):
+    assert text_of(page) == want
+
+
 def test_templates_go_and_articles_stay(shipped):
     def page(i, text, menu="<div class=x><a>Home</a> <a>News</a></div>"):
         return (i, f"http://a.org/{i}", f"<body>{menu}<div id=c><h1>Head {i}</h1><p>{text}</p></div><p>All rights {i % 2}</p>")
