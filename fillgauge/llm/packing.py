@@ -162,9 +162,7 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 4096,
 def _tokenizer(raw: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(raw)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_str(raw)
 
 
 def _stem(word: str) -> tuple[str, str]:

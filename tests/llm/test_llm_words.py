@@ -148,3 +148,14 @@ def test_packed_documents(shipped, edge):
     assert sum(r["used"] for r in filled) == sum(map(len, want))
     assert packed.select("sequence_id").distinct().count() == packed.agg(F.max("sequence_id")).first()[0] + 1
     packed.unpersist()
+
+
+def test_special_tokens_in_texts_are_encoded_as_the_library_does(shipped):
+    from tokenizers import Tokenizer
+
+    texts = ["end of text <|endoftext|> here", "a<|endoftext|>b", "<|startoftext|><|endoftext|>.", "x <|ENDOFTEXT|>, y",
+             "<|endoftext|>", "end.<|endoftext|>,End", "\n<|startoftext|> \t<|endoftext|>\n", "<| endoftext |>"]
+    tokenizer = Tokenizer.from_file(WORDS)
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_pieces(docs, WORDS).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
