@@ -107,6 +107,8 @@ def hot_key_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
     never the result.
     """
     total = rows.count()
+    if not total:
+        return []
     bound = max(1, min(HOT_SHARE * total, HOT_ROWS), total // HOT_KEYS)
     items = max(1, min(HOT_KEYS, math.ceil(total / bound)))
     h = F.xxhash64(*[F.col(c) for c in on]).alias("h")
