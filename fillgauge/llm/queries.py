@@ -15,6 +15,7 @@ from fillgauge.llm.language import op3_language_id
 from fillgauge.llm.near_dup import op7_order_minhash
 from fillgauge.llm.packing import op8_packing
 from fillgauge.llm.quality import op4_quality_rules
+from fillgauge.llm.search import OP13_SQL, op13_ranked_search
 from fillgauge.llm.sharding import op2_sharding
 from fillgauge.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -41,9 +42,11 @@ _ALL: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
+    "op13_ranked_search": op13_ranked_search,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
