@@ -115,7 +115,7 @@ def hot_key_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
     parts = (rows.select(h, F.pmod(F.spark_partition_id(), F.lit(256)).alias("p")).groupBy("p")
              .agg(F.expr(f"approx_top_k_accumulate(h, {10 * items})").alias("sketch"),
                   F.count(F.lit(1)).alias("n")))
-    top, _ = parts.agg(
-        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {10 * items}), {items})"),
-        F.sum("n")).first()
+    # grouped by a constant, since without groups a task that got no sketch cannot combine
+    top = parts.groupBy(F.lit(0).alias("all")).agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {10 * items}), {items})").alias("top")).first()["top"]
     return [t["item"] for t in top or [] if t["count"] >= bound]

@@ -52,3 +52,15 @@ def test_wide_tables_are_not_broadcast(spark, monkeypatch):
 def test_how_is_checked(skewed):
     with pytest.raises(ValueError):
         attach(skewed, skewed, ["k"], how="outer")
+
+
+def test_hot_keys_with_empty_tasks(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 2 else i,) for i in range(4000)], "k int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = hot_key_hashes(rows.repartition(3), ["k"])
+        none = hot_key_hashes(rows.limit(0), ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = {r[0] for r in rows.filter("k < 3").select(F.xxhash64("k")).distinct().collect()}
+    assert hot <= set(found) and none == []
