@@ -14,6 +14,7 @@ from fillgauge.llm.html_text import op6_html_text
 from fillgauge.llm.language import op3_language_id
 from fillgauge.llm.near_dup import op7_order_minhash
 from fillgauge.llm.packing import op8_packing
+from fillgauge.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from fillgauge.llm.quality import op4_quality_rules
 from fillgauge.llm.search import OP13_SQL, op13_ranked_search
 from fillgauge.llm.sharding import op2_sharding
@@ -42,11 +43,13 @@ _ALL: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_ranked_search": op13_ranked_search,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_ranked_search": OP13_SQL,
 }
