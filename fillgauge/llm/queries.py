@@ -16,6 +16,7 @@ from fillgauge.llm.near_dup import op7_order_minhash
 from fillgauge.llm.packing import op8_packing
 from fillgauge.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from fillgauge.llm.quality import op4_quality_rules
+from fillgauge.llm.repeats import op12_repeats
 from fillgauge.llm.search import OP13_SQL, op13_ranked_search
 from fillgauge.llm.sharding import op2_sharding
 from fillgauge.llm.url_filter import OP1_SQL, op1_url_filter
@@ -44,6 +45,7 @@ _ALL: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_repeats": op12_repeats,
     "op13_ranked_search": op13_ranked_search,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}

@@ -66,7 +66,7 @@ def trie(frame, **sizes):
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_rows": 300, "last_rows": 60}])
+@pytest.mark.parametrize("sizes", [{}, {"part_rows": 1000, "last_rows": 300}])
 def test_against_brute_force(shipped, sizes):
     rows = conversations(random.Random(4), 250)
     frame = shipped.createDataFrame([r + ("a", "b") for r in rows], SCHEMA).repartition(5)
@@ -87,7 +87,7 @@ def test_positions_of_a_shuffled_list(shipped):
     random.Random(1).shuffle(order)
     after = {a: b for a, b in zip(order, order[1:])}
     items = shipped.createDataFrame([(i, after.get(i)) for i in range(5000)], "id long, next long")
-    got = {r["id"]: r["position"] for r in list_positions(items, part_rows=400, last_rows=500).collect()}
+    got = {r["id"]: r["position"] for r in list_positions(items, part_rows=400, last_rows=2500).collect()}
     assert got == {v: i for i, v in enumerate(order)}
 
 
