@@ -17,6 +17,8 @@ texts of a length the probabilities of known and unknown tokens add up to one.
    partitions.  What meets in one place is the model itself: states x (states + classes)
    numbers.
 
+A very long text lies in one task, as the numbers of its classes; forward values are held for a
+bounded stretch of it, and computed again on the way back.
 NULL text counts as empty and has the end alone.  Repeated rows are scored one by one and
 each is counted in training.  Other columns than id and text are not read.
 """
@@ -48,10 +50,13 @@ ENDING_CLASSES = 1024
 FREQUENT_SHARE = 1 / 8192
 #: Bytes that make up an ending.
 ENDING = 3
-#: Rounds of Baum-Welch.
-ROUNDS = 3
+#: Baum-Welch ends when a round raises the logarithm of the likelihood by less than this share, or after so many rounds.
+TOLERANCE = 2e-3
+ROUNDS = 20
 #: Tokens whose forward and backward values one step inside a task holds.
 BATCH_TOKENS = 1_000_000
+#: Tokens whose forward values are held at a time; longer texts are run forward twice.
+STRETCH_TOKENS = 2_000_000
 #: Class of the end of a text.
 END_CLASS = FREQUENT_CLASSES + ENDING_CLASSES
 CLASSES = END_CLASS + 1
@@ -76,6 +81,8 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    #: rounds of Baum-Welch it took
+    rounds: int = 0
 
     @classmethod
     def begin(cls, class_counts: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
@@ -120,38 +127,67 @@ def log10_forward(batch: Batch, model: Model) -> np.ndarray:
 
 def expected_counts(batch: Batch, model: Model) -> np.ndarray:
     """Expected starts, moves and emissions of the sequences, as one matrix: states x (1 + states + classes)."""
+    return _expect(batch, model)[0]
+
+
+def _expect(batch: Batch, model: Model) -> tuple[np.ndarray, float]:
+    """The expected counts, and the natural logarithm of the sequences' probability.
+
+    Forward values are held for one stretch of steps at a time.  A first pass keeps the states
+    between stretches only; going back, each stretch is run forward again and then backward.
+    Emissions are counted once per stretch.
+    """
     states, classes = model.emit.shape
     emit = np.ascontiguousarray(model.emit.T)
-    sums = np.zeros((states, 1 + states + classes))
-    if not len(batch.running):
-        return sums
-    forward, scales = [], []
-    state = np.repeat(model.start[None, :], len(batch.order), axis=0)
-    for step, n in enumerate(batch.running.tolist()):
-        state = (state[:n] if step == 0 else state[:n] @ model.move) * emit[batch.at(step)]
-        scale = state.sum(1)
-        state = state / scale[:, None]
-        forward.append(state.astype(np.float32))
-        scales.append(scale)
-    by_class = np.zeros((classes, states))
+    sums, likelihood = np.zeros((states, 1 + states + classes)), 0.0
+    stretches = _stretches(batch.running)
+    state, begins = np.repeat(model.start[None, :], len(batch.order), axis=0), []
+    for first, last in stretches[:-1]:
+        begins.append(state)
+        for step in range(first, last):
+            n = batch.running[step]
+            state = (state[:n] if step == 0 else state[:n] @ model.move) * emit[batch.at(step)]
+            state = state / state.sum(1)[:, None]
+    begins.append(state)
     later = None
-    for step in range(len(batch.running) - 1, -1, -1):
-        n = batch.running[step]
-        back = np.ones((n, states))
-        if later is not None:
-            m = len(later)
-            back[:m] = later @ model.move.T
-            sums[:, 1:1 + states] += model.move * (forward[step][:m].T.astype(float) @ later)
-        seen = batch.at(step)
-        held = forward[step] * back
-        held /= held.sum(1, keepdims=True)
+    for (first, last), state in zip(reversed(stretches), reversed(begins)):
+        ends = np.concatenate([[0], np.cumsum(batch.running[first:last])])
+        held = np.empty((ends[-1], states), dtype=np.float32)
+        seen, scales = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1])
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            seen[a:b] = batch.at(first + i)
+            state = (state[:b - a] if first + i == 0 else state[:b - a] @ model.move) * emit[seen[a:b]]
+            scale = state.sum(1)
+            state = state / scale[:, None]
+            held[a:b], scales[a:b] = state, scale
+        likelihood += float(np.log(scales).sum())
+        for i in range(last - first - 1, -1, -1):
+            a, b = ends[i], ends[i + 1]
+            back = np.ones((b - a, states))
+            if later is not None:
+                m = len(later)
+                back[:m] = later @ model.move.T
+                sums[:, 1:1 + states] += model.move * (held[a:a + m].T.astype(float) @ later)
+            own = held[a:b] * back
+            own /= own.sum(1, keepdims=True)
+            held[a:b] = own
+            if first + i == 0:
+                sums[:, 0] = own.sum(0)
+            later = back * emit[seen[a:b]] / scales[a:b, None]
         for k in range(states):
-            by_class[:, k] += np.bincount(seen, weights=held[:, k], minlength=classes)
-        if step == 0:
-            sums[:, 0] = held.sum(0)
-        later = back * emit[seen] / scales[step][:, None]
-    sums[:, 1 + states:] = by_class.T
-    return sums
+            sums[k, 1 + states:] += np.bincount(seen, weights=held[:, k], minlength=classes)
+    return sums, likelihood
+
+
+def _stretches(running: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of steps with at most ``STRETCH_TOKENS`` tokens, or of one step."""
+    ends = np.concatenate([[0], np.cumsum(running)])
+    out, first = [], 0
+    while first < len(running):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STRETCH_TOKENS, side="right")) - 1)
+        out.append((first, last))
+        first = last
+    return out
 
 
 def improved(sums: np.ndarray) -> Model:
@@ -304,29 +340,36 @@ def _portions(classes: np.ndarray, lengths: np.ndarray, tokens: int | None = Non
         first = last
 
 
-def train(corpus: Corpus, *, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts."""
-    model = Model.begin(corpus.class_tokens, states)
-    for _ in range(rounds):
+def train(corpus: Corpus, *, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Model:
+    """Baum-Welch over all training texts, until it changes little; see ``TOLERANCE``."""
+    model, size = Model.begin(corpus.class_tokens, states), states * (1 + states + CLASSES)
+    before = -math.inf
+    for number in range(1, rounds + 1):
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((states, 1 + states + CLASSES))
+            total, likelihood = np.zeros((states, 1 + states + CLASSES)), 0.0
             for batch in batches:
                 for sequences in _training(batch):
-                    total += expected_counts(sequences, model)
-            yield _listed(total)
-
-        held = corpus.blocks.select("n_tokens", "classes", "train")
-        model = improved(_summed(held, run, states * (1 + states + CLASSES)).reshape(states, -1))
+                    sums, value = _expect(sequences, model)
+                    total += sums
+                    likelihood += value
+            yield _listed(np.append(total.ravel(), likelihood))
+
+        found = _summed(corpus.blocks.select("n_tokens", "classes", "train"), run, size + 1)
+        model, likelihood = improved(found[:size].reshape(states, -1)), float(found[size])
+        model.rounds = number
+        if likelihood - before < tolerance * abs(likelihood):
+            break
+        before = likelihood
     return model
 
 
 def score(corpus: Corpus, model: Model, id_type: T.DataType, id_col: str = "doc_id") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every text."""
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score, rounds) of every text."""
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("train", T.BooleanType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
-        T.StructField("score", T.DoubleType())])
+        T.StructField("score", T.DoubleType()), T.StructField("rounds", T.IntegerType())])
     tokens = corpus.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +381,7 @@ def score(corpus: Corpus, model: Model, id_type: T.DataType, id_col: str = "doc_
                 found = [log10_forward(b, model) for b in _portions(classes, lengths)]
                 total = (np.concatenate(found) if found else np.zeros(0)) + inside
                 yield rows(schema, [batch.column("ids")[i].values, unsqueeze(blobs[5]).astype(bool), lengths, known,
-                                    [tokens] * len(lengths), base, total])
+                                    [tokens] * len(lengths), base, total, [model.rounds] * len(lengths)])
 
     return corpus.blocks.mapInArrow(run, schema)
 
@@ -355,4 +398,5 @@ def op10_hmm(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     return score_texts(docs, ~held_out).select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "rounds")

@@ -66,6 +66,25 @@ def test_expected_counts_sum_over_all_ways():
     assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_stretches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = small_model(rng)
+    lengths = [1, 700, 33, 2, 250, 250]
+    batch = hmm.Batch(rng.integers(0, 4, sum(lengths)), np.cumsum([0] + lengths))
+    whole, likelihood = hmm._expect(batch, model)
+    monkeypatch.setattr(hmm, "STRETCH_TOKENS", 64)
+    parts, again = hmm._expect(batch, model)
+    assert np.allclose(whole, parts, rtol=1e-5) and math.isclose(likelihood, again, rel_tol=1e-9)
+    assert math.isclose(likelihood, hmm.log10_forward(batch, model).sum() * math.log(10), rel_tol=1e-9)
+
+
+def test_training_ends_by_itself(shipped):
+    docs = shipped.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus = hmm.prepare(docs, F.lit(True))
+    assert 1 < hmm.train(corpus).rounds < hmm.ROUNDS
+    assert hmm.train(corpus, tolerance=1.0).rounds == 2
+
+
 def test_a_very_long_text_does_not_underflow():
     rng = np.random.default_rng(3)
     batch = hmm.Batch(rng.integers(0, 4, 200_000), np.array([0, 200_000]))

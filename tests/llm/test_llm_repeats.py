@@ -39,7 +39,7 @@ def passages(rng, n, length):
     def words(k, letters="abcde"):
         return "".join(rng.choice(letters) for _ in range(k))
 
-    shared = [words(rng.randrange(length - 4, 3 * length)) for _ in range(6)] + ["ab" * length, "z" * 2 * length, "é" * length]
+    shared = [words(rng.randrange(max(1, length - 4), 3 * length)) for _ in range(6)] + ["ab" * length, "z" * 2 * length, "é" * length]
     out = []
     for i in range(n):
         parts = []
