@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import statistics
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -30,8 +31,9 @@ from fillgauge.operators.sampling import (kfold, sample_exact, stratified_folds,
 from fillgauge.operators.target import (bin_target, inverse_target, rmse_original_scale,
                                         smearing_factor, transform_target)
 from fillgauge.operators.joins import attach
-from fillgauge.session import replace_path, settle, together
-from fillgauge.sources.documents import params_path, read_json, write_json
+from fillgauge.session import settle, together
+from fillgauge.sources.documents import model_root, read_json, save_best_params, write_json
+from fillgauge.sources.generations import Hadoop, commit, current
 from fillgauge.sources.records import save_csv
 
 # Bounds on best_iter / maxIter outside of which the cap is remarked on.
@@ -603,7 +605,7 @@ def tune(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequen
                                 random_state=seed, rounds=max(1, params["best_iter"]),
                                 folder=folder, prefix=prefix)
     if folder:
-        write_json(df.sparkSession, params, params_path(folder, prefix))
+        save_best_params(df.sparkSession, params, folder, prefix)
     return out
 
 
@@ -612,12 +614,14 @@ def tune(df: DataFrame, target: str, features: Sequence[str], *, id_cols: Sequen
 def save_model_and_params(trained: TrainedModel, folder: str, prefix: str = "GBM") -> None:
     """Store model, encoding, parameters, metadata and importances below ``folder``/model.
 
-    The parts are written to a new folder, which then takes the place of the old one, so
-    a job that fails leaves the old model whole.  The importances are CSV.
+    The parts are written to a new folder, and one commit makes it the model and its
+    parameters those that :func:`load_best_params` gives; a job that fails leaves the old ones.
+    The importances are CSV.
     """
     spark = SparkSession.getActiveSession()
-
-    def write(path: str) -> None:
+    root, own = model_root(folder, prefix), f"model-{uuid.uuid4().hex}"
+    path = f"{root}/{own}"
+    try:
         for k, model in enumerate(trained.model.models):
             PipelineModel([model]).write().save(f"{path}/model_{k}")
         if trained.codes.table is not None:
@@ -627,14 +631,24 @@ def save_model_and_params(trained: TrainedModel, folder: str, prefix: str = "GBM
         write_json(spark, trained.params, f"{path}/params")
         write_json(spark, trained.meta, f"{path}/meta")
         save_csv(feature_importance(trained).coalesce(1), f"{path}/importance")
+    except BaseException:
+        Hadoop(spark, root).drop(own)
+        raise
+    commit(spark, root, lambda before: {"model": own, "params": f"{own}/params"})
+
 
-    replace_path(spark, f"{folder}/model/{prefix}", write)
-    write_json(spark, trained.params, params_path(folder, prefix))
+def stored_model_path(spark: SparkSession, folder: str, prefix: str = "GBM") -> str:
+    """The folder of the model committed last; ``FileNotFoundError`` if there is none."""
+    root = model_root(folder, prefix)
+    own = (current(spark, root) or {}).get("model")
+    if own is None:
+        raise FileNotFoundError(f"no model stored below {root}")
+    return f"{root}/{own}"
 
 
 def load_trained_model(spark: SparkSession, folder: str, prefix: str = "GBM") -> TrainedModel:
     """The stored model."""
-    base = f"{folder}/model/{prefix}"
+    base = stored_model_path(spark, folder, prefix)
     meta = read_json(spark, f"{base}/meta")
     params = read_json(spark, f"{base}/params")
     count = meta["classes"] if meta["classes"] > 2 else 1

@@ -90,11 +90,11 @@ def _(spark, d):
     path = _stored(spark, d, "replace")
     R.save_output_data(_edits(spark, d), path)
     # the new version 2 is computed from the very table it goes into
-    new = spark.read.parquet(path).filter("status_zapisa = 1").join(
+    new = R.read_output(spark, path).filter("status_zapisa = 1").join(
         table(spark, d, "orders").filter("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey")
     new = new.withColumns({"o_totalprice": F.col("o_totalprice") * 2, "status_zapisa": F.lit(2)})
     R.save_output_data(new, path, delete_before_insert=True)
-    return spark.read.parquet(path)
+    return R.read_output(spark, path)
 
 
 @query("csv_roundtrip", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
@@ -111,8 +111,8 @@ SELECT count(*) AS n, greatest(20, CAST(ceil(0.004::DOUBLE * count(*)) AS BIGINT
 def _(spark, d):
     n, largest = table(spark, d, "orders").agg(F.count(F.lit(1)), F.max("o_totalprice")).first()
     folder = fresh_path(spark, "params")
-    documents.write_json(spark, {
+    documents.save_best_params(spark, {
         "n": n, "rare_count": resolve_rare_threshold(n, 20, 0.004), "smallest_leaf": leaf_sizes(n)[0],
-        "largest": largest}, documents.params_path(folder, "GBM"))
+        "largest": largest}, folder)
     back = documents.load_best_params(spark, folder)
     return spark.createDataFrame([back], "n long, rare_count long, smallest_leaf long, largest double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -10,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from fillgauge.session import replace_path
+from fillgauge.sources.generations import commit, current
 
 
 def write_json(spark: SparkSession, payload: dict[str, Any], path: str) -> None:
@@ -37,5 +39,20 @@ def meta_path(folder: str, prefix: str) -> str:
     return f"{folder}/model/{prefix}_meta"
 
 
+def model_root(folder: str, prefix: str) -> str:
+    """Where the generations of a model and its parameters lie."""
+    return f"{folder}/model/{prefix}"
+
+
+def save_best_params(spark: SparkSession, payload: dict[str, Any], folder: str, prefix: str = "GBM") -> None:
+    """Parameters for later training; a stored model stays as it is, with the parameters it was trained by."""
+    root, own = model_root(folder, prefix), f"params-{uuid.uuid4().hex}"
+    write_json(spark, payload, f"{root}/{own}")
+    commit(spark, root, lambda before: {"model": (before or {}).get("model"), "params": own})
+
+
 def load_best_params(spark: SparkSession, folder: str, prefix: str = "GBM") -> dict[str, Any]:
-    return read_json(spark, params_path(folder, prefix))
+    """The parameters committed last, with a model or alone."""
+    manifest = current(spark, model_root(folder, prefix))
+    path = params_path(folder, prefix) if manifest is None else f"{model_root(folder, prefix)}/{manifest['params']}"
+    return read_json(spark, path)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillgauge.functions.values import (nulls_for_nans, padded_id, resolve_column, round_half_up)
 from fillgauge.operators.joins import attach
-from fillgauge.session import fresh_path, replace_path
+from fillgauge.session import replace_path
+from fillgauge.sources.generations import Hadoop, commit, current, vacuum
 
 #: Version number of untouched records in a base table.
 BASE_STATUS = 1
@@ -17,6 +20,9 @@ BASE_STATUS = 1
 
 #: Suffix of the table that holds the edited versions of a base table.
 EDITS_SUFFIX = "_edi"
+#: Where a table with generations keeps what was written since the first.
+_DATA = "_data"
+_GENERATION = "generation"
 
 
 def read_tables(spark: SparkSession, location: str, table: str) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +132,71 @@ def align_to_target(df: DataFrame, target: DataFrame,
                        for c in kept])
 
 
+def _version_column(columns: Sequence[str], status_col: str) -> str:
+    status = next((c for c in columns if c.lower() == status_col.lower()), None)
+    if status is None:
+        raise ValueError(f"version column {status_col} not found among {columns}")
+    return status
+
+
+def _version_folders(spark: SparkSession, *parts: str) -> list[str]:
+    return [n for n in Hadoop(spark, parts[0]).names(*parts[1:]) if "=" in n]
+
+
+def read_output(spark: SparkSession, path: str, generation: int | None = None) -> DataFrame:
+    """The table at ``path`` as it is now, or as one generation left it.
+
+    Of a table whose versions were ever replaced, all rows come from one generation, whatever
+    writers do while they are read.  Any other table is a plain Parquet folder.
+    """
+    manifest = current(spark, path, generation)
+    if manifest is None:
+        if generation is not None:
+            raise ValueError(f"{path} has no generation {generation}")
+        return spark.read.parquet(path)
+    schema = T.StructType.fromJson(manifest["schema"])
+    out = None
+    for own in (False, True):  # what was there before the first generation has no folder of its own
+        root = f"{path}/{_DATA}" if own else path
+        reader = spark.read.option("basePath", root).schema(
+            T.StructType([*schema, T.StructField(_GENERATION, T.StringType())]) if own else schema)
+        paths = [f"{root}/{_GENERATION}={p['folder']}/{v}" if own else f"{root}/{v}"
+                 for p in manifest["parts"] if (p["folder"] is not None) == own for v in p["versions"]]
+        if paths:
+            part = reader.parquet(*paths).select(*schema.names)
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _add_to_generation(out: DataFrame, path: str, status: str, replace: bool) -> int:
+    """Write ``out`` beside the table and commit it; without ``replace`` the versions it has grow."""
+    spark = out.sparkSession
+    folder = uuid.uuid4().hex
+    inside = f"{_DATA}/{_GENERATION}={folder}"
+    try:
+        out.write.partitionBy(status).parquet(f"{path}/{inside}")
+    except BaseException:
+        Hadoop(spark, path).drop(inside)
+        raise
+    written = _version_folders(spark, path, inside)
+    whole = spark.read.parquet(path).schema if current(spark, path) is None else None
+
+    def change(before: dict | None) -> dict:
+        if before is None:
+            before = {"schema": whole.jsonValue(), "parts": [{"folder": None, "versions": _version_folders(spark, path)}]}
+        gone = set(written) if replace else set()
+        parts = [{**p, "versions": [v for v in p["versions"] if v not in gone]} for p in before["parts"]]
+        parts.append({"folder": folder, "versions": written})
+        return {**before, "parts": [p for p in parts if p["versions"]]}
+
+    return commit(spark, path, change)
+
+
+def vacuum_output(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete data that none of the newest ``keep`` generations has; see :func:`generations.vacuum`."""
+    return vacuum(spark, path, lambda m: {f"{_GENERATION}={p['folder']}" for p in m["parts"]}, _DATA, keep)
+
+
 def save_output_data(df: DataFrame, path: str, *, target: DataFrame | None = None,
                      dtype: Mapping[str, str] | None = None, delete_before_insert: bool = False,
                      status_col: str = "STATUS_ZAPISA") -> DataFrame:
@@ -133,24 +204,21 @@ def save_output_data(df: DataFrame, path: str, *, target: DataFrame | None = Non
 
     ``target`` is the existing table (read from ``path`` when not given); columns
     it lacks are dropped.  With ``delete_before_insert`` the versions occurring in
-    ``df`` are replaced and all others stay; files know no transaction, so a reader may
-    meanwhile see some versions replaced and others not.  Returns the columns written.
+    ``df`` are replaced, in one commit, and all others stay; ``df`` may be computed from the table itself.
+    From the first replacement on the table has generations: appends are commits too, and
+    :func:`read_output` reads it.  A job that fails at any time leaves the generation before.
+    Returns the columns written.
     """
     spark = df.sparkSession
-    target = spark.read.parquet(path) if target is None else target
+    target = read_output(spark, path) if target is None else target
     out = align_to_target(df, target, dtype)
-    status = next((c for c in out.columns if c.lower() == status_col.lower()), None)
-    if status is None:
-        raise ValueError(f"version column {status_col} not found among {out.columns}")
-    if delete_before_insert:
-        if not out.filter(F.col(status).isNull()).isEmpty():
-            raise ValueError("rows without a version cannot replace a version")
-        # the source may read the very table that is being replaced: stage it first
-        staged = fresh_path(spark, "staged")
-        out.write.parquet(staged)
-        out = spark.read.schema(out.schema).parquet(staged)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(status).parquet(path))
+    status = _version_column(out.columns, status_col)
+    if delete_before_insert and not out.filter(F.col(status).isNull()).isEmpty():
+        raise ValueError("rows without a version cannot replace a version")
+    if delete_before_insert or current(spark, path) is not None:
+        stored = read_output(spark, path).schema
+        _add_to_generation(out.select(*[F.col(c).cast(stored[c].dataType) for c in out.columns]), path, status,
+                           delete_before_insert)
     else:
         out.write.mode("append").partitionBy(status).parquet(path)
     return out

@@ -102,7 +102,7 @@ def test_tuning(spark, df):
     late = M.tune(df, "two", ["x"], task="classification", subsample_n=300, timeout=0.0, final_fit=False, **opts)
     assert [x["skipped"] for x in late.trials] == [None, "timeout"] and late.trials[1]["score"] is None
     assert t.model.model.rounds == t.params["best_iter"]
-    gains = spark.read.csv(f"{folder}/model/GBM/importance", header=True).collect()
+    gains = spark.read.csv(f"{M.stored_model_path(spark, folder)}/importance", header=True).collect()
     assert {r["feature"] for r in gains} == {"x", "kind"}
 
 

@@ -218,7 +218,7 @@ def test_saving_versions(spark, base_and_edits):
     path = fresh_path(spark, "t")
     base.drop("stamp").write.partitionBy("STATUS_ZAPISA").parquet(path)
     R.save_output_data(edits, path)
-    read = lambda: sorted((r["STATUS_ZAPISA"], r["id"], r["x"]) for r in spark.read.parquet(path).collect())
+    read = lambda: sorted((r["STATUS_ZAPISA"], r["id"], r["x"]) for r in R.read_output(spark, path).collect())
     before = read()
     assert len(before) == 7 and spark.read.parquet(path).columns == ["id", "x", "STATUS_ZAPISA"]
     new = spark.createDataFrame([(8, 3, 8.0)], "id long, STATUS_ZAPISA int, x double")
