@@ -27,8 +27,10 @@ The stages:
    repeated, and the core is finished too.
 2. Blocks meet their answers; only runs of cores with unlike contexts stay open.  Each block
    gives one row per distinct context.
-3. The rounds, as joins and aggregates over open contexts only.  Contexts alike in a block of
-   places are repeated there, and one of them goes on to be compared with the others.
+3. The rounds, over open contexts only.  Contexts alike in a block of places are repeated there,
+   and one of them goes on to be compared with the others.  Contexts of one core go through
+   all rounds in one task if they are few; where they are many, as around a passage that a
+   large share of all texts quotes, each round is a job of joins and aggregates.
 4. Documents with open runs get the intervals found; covered bytes are joined to spans.
 
 Cores are compared by 64-bit hashes, which can only keep a run open that need not be; runs
@@ -56,6 +58,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fillgauge.llm.arrow import arrow_type, one_chunk, rows, squeeze, steps, text_bytes, texts_of, unsqueeze
+from fillgauge.operators.joins import attach
 from fillgauge.session import settle
 
 #: Bytes of a repeated string.
@@ -69,6 +72,8 @@ PIECE_BYTES = 96 * 1024
 _PLACE_BITS = 21
 #: Odd constants of the rolling hash; any would do.
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Most contexts with one core that a task takes through all rounds.
+LARGE_BUCKET = 4096
 #: What is known of a core.
 ALONE, ALIKE, OPEN = 0, 1, 2
 
@@ -347,13 +352,70 @@ def _block_rows(shard: Shard, known: np.ndarray, number: int, ids: pa.Array, sch
             several[first:first + len(part)], [k[2] for k in part]])
 
 
-def refine(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+_FOUND = T.StructType([T.StructField("class", T.LongType()), T.StructField("first", T.IntegerType()),
+                       T.StructField("last", T.IntegerType())])
+
+
+def refine(contexts: DataFrame, length: int = LENGTH, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """(class, first, last): the places of each context whose strings occur more than once.
 
     A context has the strings with ``first`` to ``last`` bytes before the anchor.  Every round takes
     blocks [u, v] of places: contexts with the same common string stay together, those that are alike in all
     the block are repeated there, and of each kind one goes on to the two halves while others differ from it.
+    Contexts with one core meet in one task and go through all rounds there, unless they are more than
+    ``large_bucket``: then every round is a job, and no task holds them all.
     """
+    core = F.substring("context", F.col("last") + 1, length - places(length) + 1)
+    keyed = contexts.withColumn("core", F.xxhash64(core))
+    large = keyed.groupBy("core").count().filter(F.col("count") > large_bucket).select("core", F.lit(True).alias("large"))
+    keyed = attach(keyed, large, ["core"])
+    small = (keyed.filter("large is null").select("core", *_CONTEXT.names).repartition("core")
+             .sortWithinPartitions("core"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("core", *_CONTEXT.names))):
+                if own != bucket:
+                    found += refined(held, length)
+                    bucket, held = own, []
+                held.append(tuple(row))
+            yield rows(_FOUND, list(zip(*found)) or [[], [], []])
+        yield rows(_FOUND, list(zip(*refined(held, length))) or [[], [], []])
+
+    return small.mapInArrow(run, _FOUND).unionByName(
+        _refine_in_rounds(settle(keyed.filter("large").select(*_CONTEXT.names)), length))
+
+
+def refined(contexts: list[tuple[int, int, int, bool, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """:func:`refine` for a few contexts (class, first, last, several, context)."""
+    out, open_ = [], [(0, places(length) - 1, contexts)]
+    while open_:
+        u, v, held = open_.pop()
+        buckets: dict[bytes, dict[tuple, list[tuple]]] = {}
+        for row in held:
+            _, first, last, _, context = row
+            low, high = max(u, first), min(v, last)
+            if low <= high:
+                looks = buckets.setdefault(context[last - u:last - v + length], {})
+                looks.setdefault((low, high, context[last - high:last - low + length]), []).append(row)
+        for looks in buckets.values():
+            further, single = [], False
+            for (low, high, _), alike in looks.items():
+                repeated = len(alike) > 1 or alike[0][3]
+                if repeated:
+                    out += [(row[0], low, high) for row in alike]
+                single |= not repeated
+                further.append((*alike[0][:3], repeated, alike[0][4]))
+            if single and len(further) > 1 and v > u:
+                middle = (u + v) // 2
+                open_ += [(u, middle, further), (middle + 1, v, further)]
+    return out
+
+
+def _refine_in_rounds(contexts: DataFrame, length: int) -> DataFrame:
+    """:func:`refine` with one job per round, for contexts whose cores many others have."""
     def bytes_from(before: Column, upto: Column) -> Column:
         return F.substring("context", F.col("last") - before + 1, upto + before)
 

@@ -109,3 +109,30 @@ def test_hot_passage(shipped, tmp_path):
     shipped.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
     docs = shipped.read.parquet(f"{tmp_path}/docs").withColumn("kept", F.lit("x"))
     assert digest(remove_repeats(docs, length=60)) == brute(rows, 60)
+
+
+def test_rounds_in_jobs_and_in_a_task_agree(shipped):
+    rng = random.Random(6)
+    length = 20
+    n = places(length)
+    contexts = []
+    for i in range(300):
+        first = rng.randrange(n)
+        last = rng.randrange(first, n)
+        left, right = ("".join(rng.choice("ab") for _ in range(last)), "".join(rng.choice("ab") for _ in range(n - 1 - first)))
+        core = rng.choice("xyz") * (length - n + 1)
+        contexts.append((i, first, last, rng.random() < 0.1, bytearray((left + core + right).encode())))
+    frame = shipped.createDataFrame(contexts, repeats._CONTEXT)
+
+    def places_of(rows):
+        return sorted({(c, p) for c, a, b in rows for p in range(a, b + 1)})
+
+    inside = places_of(map(tuple, repeats.refine(frame, length).collect()))
+    assert inside == places_of(map(tuple, repeats.refine(frame, length, large_bucket=20).collect()))
+    seen = collections.Counter()
+    strings = {}
+    for i, first, last, several, context in contexts:
+        for p in range(first, last + 1):
+            strings[i, p] = (p, bytes(context[last - p:last - p + length]))
+            seen[strings[i, p]] += 2 if several else 1
+    assert inside == sorted(k for k, s in strings.items() if seen[s] > 1)
