@@ -326,18 +326,26 @@ def _training(batch: pa.RecordBatch) -> Iterator[Batch]:
     for lengths, classes, train in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "classes", "train"))):
         lengths, classes, chosen = unsqueeze(lengths), unsqueeze(classes), unsqueeze(train).astype(bool)
         own = classes[np.repeat(chosen, lengths)]
-        yield from _portions(own, lengths[chosen])
+        for sequences, _ in _portions(own, lengths[chosen]):
+            yield sequences
 
 
-def _portions(classes: np.ndarray, lengths: np.ndarray, tokens: int | None = None) -> Iterator[Batch]:
-    """Batches of at most ``tokens`` tokens, or of one longer sequence."""
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    first = 0
-    while first < len(lengths):
-        limit = ends[first] + (tokens or BATCH_TOKENS)
-        last = max(first + 1, int(np.searchsorted(ends, limit, side="right")) - 1)
-        yield Batch(classes[ends[first]:ends[last]], ends[first:last + 1] - ends[first])
-        first = last
+def _portions(classes: np.ndarray, lengths: np.ndarray, tokens: int | None = None) -> Iterator[tuple[Batch, np.ndarray]]:
+    """Batches of at most ``tokens`` tokens, or of one longer sequence, and which sequences they hold.
+
+    Long sequences come together, so that few batches take many steps.
+    """
+    first = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(lengths[order])])
+    at = 0
+    while at < len(order):
+        limit = ends[at] + (tokens or BATCH_TOKENS)
+        last = max(at + 1, int(np.searchsorted(ends, limit, side="right")) - 1)
+        own = order[at:last]
+        cuts = ends[at:last + 1] - ends[at]
+        yield Batch(classes[np.repeat(first[own] - cuts[:-1], lengths[own]) + np.arange(cuts[-1])], cuts), own
+        at = last
 
 
 def train(corpus: Corpus, *, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Model:
@@ -378,8 +386,9 @@ def score(corpus: Corpus, model: Model, id_type: T.DataType, id_col: str = "doc_
             for i, blobs in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
                 lengths, classes, known = (unsqueeze(b) for b in blobs[:3])
                 base, inside = (np.frombuffer(b) for b in blobs[3:5])
-                found = [log10_forward(b, model) for b in _portions(classes, lengths)]
-                total = (np.concatenate(found) if found else np.zeros(0)) + inside
+                total = inside.copy()
+                for sequences, own in _portions(classes, lengths):
+                    total[own] += log10_forward(sequences, model)
                 yield rows(schema, [batch.column("ids")[i].values, unsqueeze(blobs[5]).astype(bool), lengths, known,
                                     [tokens] * len(lengths), base, total, [model.rounds] * len(lengths)])
 
