@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fillgauge.functions.values import null_if_nan, present
-from fillgauge.operators.cumulative import modes, percentiles
+from fillgauge.operators.cumulative import GroupSizes, modes, percentiles
 from fillgauge.operators.joins import attach
 
 
@@ -68,7 +68,8 @@ def aggregate_expression(operation: str, rule: str, data_type: T.DataType, *, dd
 
 def group_table(df: DataFrame, groups: Sequence[str], name: str, rule: str | None,
                 operation: str | Callable[[Column], Column], *, percentile_value: float = 0.5,
-                interpolation: str = "linear", dropna: bool = True, **options) -> DataFrame:
+                interpolation: str = "linear", dropna: bool = True, sizes: GroupSizes | None = None,
+                **options) -> DataFrame:
     """One row per group with the aggregate in column ``name``."""
     groups = list(groups)
     if rule is not None and rule not in groups:
@@ -91,7 +92,7 @@ def group_table(df: DataFrame, groups: Sequence[str], name: str, rule: str | Non
         return modes(df, groups, rule, name)
     if op in ("median", "percentile"):
         p = 0.5 if op == "median" else percentile_value
-        return percentiles(df, groups, rule, {name: p}, interpolation=interpolation)
+        return percentiles(df, groups, rule, {name: p}, interpolation=interpolation, sizes=sizes)
     expr = aggregate_expression(op, rule, df.schema[rule].dataType, **options)
     return df.groupBy(*groups).agg(expr.alias(name))
 
@@ -109,9 +110,15 @@ def aggregate_variable(df: DataFrame, new_var: str, group_by_var: str | Sequence
     source = df
     if condition is not None:
         source = df.filter(F.expr(condition) if isinstance(condition, str) else condition)
+    kept = [c for c in df.columns if c != new_var]
+    if groups and rule is not None and not callable(operation) and operation.lower() in ("median", "percentile"):
+        # the number of groups is known with their sizes, so their table need not be stored and measured
+        sizes = GroupSizes(source.filter(present(source, rule).cast("double").isNotNull()), groups)
+        table = group_table(source, groups, new_var, rule, operation, percentile_value=percentile_value, sizes=sizes,
+                            **options)
+        return attach(df.select(*kept), table, groups, settled=True, small=sizes.few()).select(*kept, new_var)
     table = group_table(source, groups, new_var, rule, operation,
                         percentile_value=percentile_value, **options)
-    kept = [c for c in df.columns if c != new_var]
     if not groups:
         kind = table.schema[new_var].dataType
         row = table.first()

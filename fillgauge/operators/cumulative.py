@@ -1,9 +1,9 @@
 """Exact grouped distributions: percentiles, running counts, modes.
 
 Percentiles of groups of a checked, bounded size come from ordering each group
-inside one task.  Larger groups are never gathered: a histogram finds the buckets
-the wanted ranks fall into, and only the values in those buckets are looked at
-again (see :mod:`fillgauge.operators.rankcuts`).
+inside one task.  Larger groups are never gathered: a quantile sketch brackets the wanted
+ranks, and only the values inside the brackets are ordered, after those below were
+counted (see :mod:`fillgauge.operators.rankcuts`).
 
 Running counts, needed where every value is part of the result, fold a group to
 one row per distinct value.  If any group has too many, the table is
@@ -14,14 +14,14 @@ task starts from the totals of the tasks before it.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import known_number, present
 from fillgauge.operators.joins import attach, few, key_bytes
-from fillgauge.operators.rankcuts import rank_cuts, value_levels
+from fillgauge.operators.rankcuts import sketched_cuts, value_levels
 from fillgauge.session import settle
 
 #: Largest number of values of one group that a single task may order.
@@ -160,14 +160,23 @@ def _small_groups(rows: DataFrame, keys: list[str], wanted: Mapping[str, float],
                                for name, p in wanted.items()])
 
 
+def ordered_cuts(rows: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """(keys, n, rank, cut) for groups that fit a task: at which value each of many ranks is reached."""
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = distribution(rows, keys, value).withColumns({"cum": F.sum("cnt").over(upto), "n": F.sum("cnt").over(whole)})
+    hits = F.filter(ranks(F.col("n")), lambda r: (r > F.col("cum") - F.col("cnt")) & (r <= F.col("cum")))
+    return run.select(*keys, "n", F.explode(F.array_distinct(hits)).alias("rank"), F.col("value").alias("cut"))
+
+
 def _large_groups(rows: DataFrame, keys: list[str], wanted: Mapping[str, float],
                   interpolation: str) -> DataFrame:
-    """The wanted ranks looked up by ever finer histograms."""
+    """The wanted ranks bracketed by sketches and counted exactly."""
     def ranks(n: Column) -> Column:
         return F.array(*[r + 1 for p in wanted.values() for r in rank_of(p, n, interpolation)[:2]])
 
     x = F.col("value")
-    cuts = rank_cuts(rows, keys, x, value_levels(x), ranks)
+    cuts = sketched_cuts(rows, keys, x, x, value_levels, ranks)
     aggs = []
     for name, p in wanted.items():
         low, high, _share = rank_of(p, F.col("n"), interpolation)

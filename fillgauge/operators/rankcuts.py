@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillgauge.functions.values import md5_key, uniform_from_md5
 from fillgauge.operators.joins import attach, few, key_bytes
@@ -20,6 +21,13 @@ from fillgauge.session import settle
 
 #: Largest number of rows of one bucket that are ordered inside one task.
 MAX_BUCKET_ROWS = 1_000_000
+#: Size of the quantile sketches; their ranks err by about a third of ``SKETCH_ERROR`` of all rows.
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 0.004
+#: Steps between the quantiles that are read from a sketch.
+SKETCH_STEPS = 500
+#: Most brackets that are kept on the driver.
+FEW_BRACKETS = 1_000
 
 
 def md5_levels(key: Column) -> list[Column]:
@@ -106,6 +114,81 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], key: Column, levels: list[Co
                        F.col("w").alias("size"))
 
 
+def sketched_cuts(df: DataFrame, strata: Sequence[str], key: Column, number: Column,
+                  levels: Callable[[Column], list[Column]], ranks: Callable[[Column], Column], *,
+                  max_bucket_rows: int | None = None) -> DataFrame:
+    """The table of :func:`rank_cuts`, in two passes over rows of any distribution.
+
+    ``number`` does not fall as ``key`` rises; rows without one are left out.  A mergeable quantile
+    sketch per stratum brackets every wanted rank; a second pass counts the rows below each
+    bracket exactly and orders those inside.  Where the count shows that a rank lies outside its
+    bracket, the rank is looked up by histograms (``levels``), so a sketch can only cost time.
+    Brackets with too many rows for one task are searched by histograms too, and so are
+    strata too many to be bracketed.
+    """
+    limit = MAX_BUCKET_ROWS if max_bucket_rows is None else max_bucket_rows
+    strata, df = list(strata), df.filter(number.isNotNull())
+    brackets = _brackets(df, strata, number, ranks)
+    held = brackets.limit(FEW_BRACKETS + 1).collect()
+    if len(held) > FEW_BRACKETS:
+        return rank_cuts(df, strata, key, levels(key), ranks, max_bucket_rows=limit)
+    rows = df.select(*strata, key.alias("__key"), number.alias("__x"))
+    below, inside = F.col("__x") < F.col("lo"), (F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))
+    by = [*strata, "n", "rank", "lo", "hi"]
+    near = _in_brackets(rows, held, brackets.schema, strata, below | inside)
+    most = max((r["n"] for r in held), default=0) * (2 * SKETCH_ERROR + 3 / SKETCH_STEPS)
+    if most <= limit:
+        keys = near.groupBy(*by, F.when(inside, F.col("__key")).alias("cut")).agg(F.count(F.lit(1)).alias("size"))
+        order = Window.partitionBy(*by).orderBy(F.col("cut").asc_nulls_first())
+        upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        cuts = keys.withColumn("before", upto - F.col("size")).filter(
+            "cut is not null and rank > before and rank <= before + size")
+        cuts = cuts.select(*strata, "n", "rank", "cut", "before", "size")
+    else:
+        counts = near.groupBy(*by).agg(F.count_if(below).alias("below"))
+        known = counts.collect()
+        inner = _in_brackets(rows, known, counts.schema, strata, inside).withColumnsRenamed({"n": "__n", "rank": "__rank"})
+        found = rank_cuts(inner, [*strata, "__n", "__rank", "below"], F.col("__key"), levels(F.col("__key")),
+                          lambda n: F.array(F.col("__rank") - F.col("below")), max_bucket_rows=limit)
+        cuts = found.select(*strata, F.col("__n").alias("n"), F.col("__rank").alias("rank"), "cut",
+                            (F.col("before") + F.col("below")).alias("before"), "size")
+    done = cuts.collect()  # one row per bracket at most
+    out = df.sparkSession.createDataFrame(done, cuts.schema)
+    reached = {(*[r[c] for c in strata], r["rank"]) for r in done}
+    missed = [r for r in held if (*[r[c] for c in strata], r["rank"]) not in reached]
+    if missed:
+        again = rank_cuts(df, strata, key, levels(key), ranks, max_bucket_rows=limit)
+        wanted = _in_brackets(again.withColumnRenamed("rank", "__r").drop("n"), missed, brackets.schema, strata,
+                              F.col("__r") == F.col("rank"))
+        out = out.unionByName(wanted.select(*out.columns))
+    return out
+
+
+def _brackets(df: DataFrame, strata: list[str], number: Column, ranks: Callable[[Column], Column]) -> DataFrame:
+    """(strata, n, rank, lo, hi): between which numbers each wanted rank should lie, by a sketch per stratum."""
+    shares = ", ".join(f"{i / SKETCH_STEPS!r}D" for i in range(SKETCH_STEPS + 1))
+    seen = df.select(*strata, number.alias("__x")).groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"kll_sketch_agg_double(__x, {SKETCH_SIZE})").alias("sketch")).filter("n > 0")
+    asked = F.filter(F.array_distinct(ranks(F.col("n")).cast("array<bigint>")), lambda r: (r >= 1) & (r <= F.col("n")))
+    seen = seen.select(*strata, "n", F.expr(f"kll_sketch_get_quantile_double(sketch, array({shares}))").alias("grid"),
+                       F.explode(asked).alias("rank"))
+    low = F.floor(((F.col("rank") - 1) / F.col("n") - SKETCH_ERROR) * SKETCH_STEPS).cast("int")
+    high = F.ceil((F.col("rank") / F.col("n") + SKETCH_ERROR) * SKETCH_STEPS).cast("int")
+    return seen.select(*strata, "n", "rank",
+                       F.when(low <= 0, F.lit(float("-inf"))).otherwise(F.get("grid", low)).alias("lo"),
+                       F.when(high >= SKETCH_STEPS, F.lit(float("inf"))).otherwise(F.get("grid", high)).alias("hi"))
+
+
+def _in_brackets(rows: DataFrame, held: list[Row], schema: T.StructType, strata: list[str], where: Column) -> DataFrame:
+    """Rows with each bracket of their stratum for which ``where`` holds; there are few brackets."""
+    names = {c: f"__s_{i}" for i, c in enumerate(strata)}
+    small = rows.sparkSession.createDataFrame(held, schema).withColumnsRenamed(names)
+    cond = where
+    for c, k in names.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(F.broadcast(small), cond).drop(*names.values())
+
+
 def _crowd(wanted: DataFrame, group: list[str]) -> tuple[int | None, bool]:
     """Most rows in one wanted bucket, and whether the wanted buckets are few and narrow."""
     crowd, places, size = wanted.agg(F.max("m"), F.count(F.lit(1)), F.sum(key_bytes(wanted, group))).first()
@@ -130,19 +213,22 @@ def as_literal(value: object) -> Column:
     return F.lit(value)
 
 
-def smallest(df: DataFrame, key: Column, levels: list[Column],
-             k: int | Callable[[Column], Column]) -> Column:
+def smallest(df: DataFrame, key: Column, levels: list[Column], k: int | Callable[[Column], Column], *,
+             number: Column | None = None) -> Column:
     """Predicate that is true for exactly the ``k`` rows with the smallest keys.
 
     ``k`` may be computed from the number of rows.  Where the last one falls among rows of
     equal key (their ids repeat), the contents of these rows decide.  Rows that are
     equal in every column cannot be told apart: if it falls among such rows, this is an
-    error.
+    error.  Weighted keys are found by a sketch of their ``number``.
     """
     if isinstance(k, int) and k <= 0:
         return F.lit(False)
     wanted = k if callable(k) else lambda n: F.lit(k)
-    cut = rank_cuts(df, [], key, levels, lambda n: F.array(wanted(n))).first()
+    if number is None:
+        cut = rank_cuts(df, [], key, levels, lambda n: F.array(wanted(n))).first()
+    else:
+        cut = sketched_cuts(df, [], key, number, weighted_levels, lambda n: F.array(wanted(n))).first()
     if cut is None:
         if callable(k):
             return F.lit(False)

@@ -28,7 +28,7 @@ def weighted_pick(df: DataFrame, id_cols: Sequence[str], weight: Column, k: int,
     weight = known_number(weight)
     positive = F.coalesce((weight > 0) & (weight < float("inf")), F.lit(False))
     key = weighted_key(id_cols, F.when(positive, weight), label, seed)
-    picked = smallest(df.filter(positive), key, weighted_levels(key), k)
+    picked = smallest(df.filter(positive), key, weighted_levels(key), k, number=key["e"])
     return positive & picked
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgauge.operators.cumulative import GroupSizes, percentiles, running_counts
+from fillgauge.operators import cumulative
+from fillgauge.operators.cumulative import GroupSizes, ordered_cuts, percentiles, running_counts
 from fillgauge.functions.values import known_number
 from fillgauge.operators.joins import attach
 from fillgauge.operators.rankcuts import rank_cuts, value_levels
@@ -176,7 +177,11 @@ def qq_table(rows: DataFrame, q_points: int = 101, **selection) -> DataFrame:
         low = F.transform(table, lambda p: F.floor((n - 1) * p) + 1)
         return F.concat(low, F.transform(table, lambda p: F.ceil((n - 1) * p) + 1))
 
-    cuts = rank_cuts(_series(rows, keys), by, x, value_levels(x), ranks)
+    tall = _series(rows, keys)
+    if GroupSizes(tall, by).biggest <= cumulative.MAX_GROUP_ROWS:
+        cuts = ordered_cuts(tall, by, "value", ranks)
+    else:
+        cuts = rank_cuts(tall, by, x, value_levels(x), ranks)
     # at most two cuts per share
     found = cuts.groupBy(*by).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "cut"))).alias("at"))
