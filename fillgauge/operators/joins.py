@@ -99,6 +99,65 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], *, how: str = "
     return left.join(right, cond, how).drop("__slice", "__table_slice", *keys)
 
 
+def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "outer") -> DataFrame:
+    """All pairs of equal keys, NULL equal to NULL, and each unmatched row of the kept sides once.
+
+    ``how`` is ``right`` or ``outer``; other columns of the two sides have different names.  Keys
+    with very many rows on a side are cut: a row of that side lies in one slice, and rows of the
+    other side are repeated in all slices, so no task has the whole key; if both sides have many,
+    slices form a grid, in which each pair still meets once.  Copies must not come out as
+    unmatched, so of these keys the unmatched rows are found apart, by the few keys
+    of the other side.
+    """
+    if how not in ("right", "outer"):
+        raise ValueError("how must be 'right' or 'outer'")
+    on = list(on)
+    types = dict(left.dtypes)
+    names = {c: f"__key_{i}" for i, c in enumerate(on)}
+    right = right.withColumns({c: F.col(c).cast(types[c]) for c in on if dict(right.dtypes)[c] != types[c]})
+    hot = [hot_key_hashes(side, on) for side in (left, right)]
+    own = F.xxhash64(*[F.col(c) for c in on])
+    many = [own.isin(h) for h in hot]
+    others = right.withColumnsRenamed(names)
+    same = _same([F.col(c) for c in on], [F.col(k) for k in names.values()], True)
+
+    def shown(df: DataFrame) -> DataFrame:
+        keys = [F.coalesce(F.col(c), F.col(k)).alias(c) for c, k in names.items()]
+        return df.select(*keys, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on])
+
+    if not hot[0] and not hot[1]:
+        return shown(left.join(others, same, how))
+    cold = left.filter(~(many[0] | many[1])).join(
+        right.filter(~(many[0] | many[1])).withColumnsRenamed(names), same, how)
+    side = math.isqrt(HOT_SLICES)
+    cut = [F.when(many[0] & many[1], side).when(many[i], HOT_SLICES).otherwise(1) for i in (0, 1)]
+    hot_rows = [df.filter(many[0] | many[1]) for df in (left, right)]
+
+    def sliced(df: DataFrame, mine: int) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), cut[mine]).cast("int")
+        every = F.explode(F.sequence(F.lit(0), cut[1 - mine].cast("int") - 1))
+        held = df.withColumns({f"__s{mine}": at})
+        return held.withColumn(f"__s{1 - mine}", every)
+
+    a = sliced(hot_rows[0], 0)
+    b = sliced(hot_rows[1], 1).withColumnsRenamed({**names, "__s0": "__t0", "__s1": "__t1"})
+    meet = (F.col("__s0") == F.col("__t0")) & (F.col("__s1") == F.col("__t1"))
+    matched = a.join(b, same & meet).drop("__s0", "__s1", "__t0", "__t1")
+    # at most as many keys as are told apart as hot
+    keys = [df.select(*on).distinct() for df in hot_rows]
+    empty_left = [F.lit(None).cast(t).alias(c) for c, t in left.dtypes]
+    alone = hot_rows[1].withColumnsRenamed(names).join(F.broadcast(keys[0]), same, "left_anti")
+    parts = [shown(cold), shown(matched), shown(alone.select(*empty_left, *alone.columns))]
+    if how == "outer":
+        rest = hot_rows[0].join(F.broadcast(keys[1].withColumnsRenamed(names)), same, "left_anti")
+        empty_right = [F.lit(None).cast(t).alias(names.get(c, c)) for c, t in right.dtypes]
+        parts.append(shown(rest.select(*rest.columns, *empty_right)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def hot_key_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
     """Hashes of the keys with ``HOT_ROWS`` rows or ``HOT_SHARE`` of all.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import present, require_columns, to_number
-from fillgauge.operators.joins import attach, is_small
+from fillgauge.operators.joins import attach, is_small, outer_join
 from fillgauge.plans.metrics import group_metrics
 from fillgauge.session import settle
 
@@ -30,22 +30,19 @@ def join_truth(imputed: DataFrame, original: DataFrame, id_col: str,
     """Add the true values (``truths``: column to new name) by id; NULL ids match each other.
 
     With a right or outer join the originals without a match are kept, once for every
-    value of the column ``per`` that occurs.  There NULL ids of both sides meet in one key,
-    so many of them on both sides make as many pairs as their product, as asked for.
+    value of the column ``per`` that occurs.  NULL ids of both sides make all pairs, as asked
+    for; they and other ids with very many rows are spread over slices.
     """
     if how in ("left", "inner"):
         truth = original.select(id_col, *[F.col(c).alias(n) for c, n in truths.items()])
         return attach(imputed, truth, [id_col], how=how, null_safe=True)
-    truth = original.select(F.col(id_col).alias("__id"),
-                            *[F.col(c).alias(n) for c, n in truths.items()])
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    truth, on = original.select(id_col, *[F.col(c).alias(n) for c, n in truths.items()]), [id_col]
     if per is not None:
         found = [r[0] for r in imputed.select(per).distinct().collect()]  # one per imputed version
-        truth = truth.withColumn("__per", F.explode(F.array(*[F.lit(x) for x in found]) if found
-                                                    else F.array().cast("array<int>")))
-        same = same & (F.col(per) == F.col("__per"))
-    out = imputed.join(truth, same, how)
-    return out.withColumn(id_col, F.coalesce(F.col(id_col), F.col("__id"))).drop("__id", "__per")
+        versions = F.array(*[F.lit(x) for x in found]) if found else F.array()
+        truth = truth.withColumn(per, F.explode(versions.cast(f"array<{dict(imputed.dtypes)[per]}>")))
+        on.append(per)
+    return outer_join(imputed, truth, on, how)
 
 
 def long_rows(methods: DataFrame, frames: Mapping[int, DataFrame], original: DataFrame, *,

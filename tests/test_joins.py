@@ -1,8 +1,10 @@
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
 from fillgauge.operators import joins
-from fillgauge.operators.joins import attach, few, hot_key_hashes, is_small
+from fillgauge.operators.joins import attach, few, hot_key_hashes, is_small, outer_join
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +66,47 @@ def test_hot_keys_with_empty_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     hot = {r[0] for r in rows.filter("k < 3").select(F.xxhash64("k")).distinct().collect()}
     assert hot <= set(found) and none == []
+
+
+def brute_outer(left, right, how):
+    keys = collections.defaultdict(lambda: ([], []))
+    for side, rows in enumerate((left, right)):
+        for key, value in rows:
+            keys[key][side].append(value)
+    out = []
+    for key, (a, b) in keys.items():
+        out += [(key, x, y) for x in (a or [None]) for y in (b or [None]) if b or how == "outer"]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("how", ["right", "outer"])
+@pytest.mark.parametrize("share", [0.005, 0.2, 2.0])
+def test_outer_join_with_hot_keys(spark, monkeypatch, how, share):
+    """Keys hot on the left, on the right, on both sides, on one side only, NULL on both sides, and cold ones."""
+    monkeypatch.setattr(joins, "HOT_SHARE", share)
+    left = [(1, i) for i in range(300)] + [(2, 1000 + i) for i in range(5)] + [(None, 2000 + i) for i in range(40)]
+    left += [(3, 3000 + i) for i in range(30)] + [(10 + i, 4000 + i) for i in range(60)] + [(4, 5000 + i) for i in range(90)]
+    right = [(1, -1), (1, -2)] + [(2, -100 - i) for i in range(200)] + [(None, -400 - i) for i in range(30)]
+    right += [(3, -500 - i) for i in range(25)] + [(40 + i, -600 - i) for i in range(60)] + [(5, -700 - i) for i in range(80)]
+    a = spark.createDataFrame(left, "k int, a int").repartition(4)
+    b = spark.createDataFrame([(b, k) for k, b in right], "b int, k long").repartition(3)
+    got = outer_join(a, b, ["k"], how)
+    assert got.columns == ["k", "a", "b"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_outer(left, right, how)
+    assert sorted(map(tuple, outer_join(a.limit(0), b, ["k"], how).collect()), key=str) == brute_outer([], right, how)
+
+
+def test_outer_join_spreads_a_hot_key(spark):
+    """One key owns half of the rows: no task has more than about twice the usual number."""
+    a = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    b = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in outer_join(a, b, ["k"]).filter("k = 7").groupBy(F.spark_partition_id()).agg(
+            F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 20_001 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
