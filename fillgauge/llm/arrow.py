@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STEP_BYTES = 2 * 1024 * 1024
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this process back to the machine; tasks of later stages share it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc() -> ctypes.CDLL | None:
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        lib.malloc_trim  # noqa: B018 - only glibc has it
+    except (OSError, AttributeError):
+        return None
+    return lib
+
+
+_LIBC = _libc()
+
+
+def trimmed(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``work`` of a task, which gives its memory back when it ends; Python workers outlive their tasks."""
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def one_chunk(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)

@@ -6,7 +6,7 @@ and their positions stay in the block of their document; each distinct word cros
 the network once per block, is encoded once in the corpus, and its ids come back to
 the positions (:mod:`fillgauge.llm.words`).
 
-NULL text counts as empty and has no ids.  Repeated rows are encoded one by one.
+A very long text makes a block of its own.  NULL text counts as empty and has no ids.  Repeated rows are encoded one by one.
 Other columns than keys and text are not read, whatever their names are.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import one_chunk, rows, with_bytes
+from fillgauge.llm.arrow import one_chunk, rows, trimmed, with_bytes
 from fillgauge.llm.words import (Block, bucket_count, build_blocks, distinct_words, exchange_words, pack_lists,
                                  per_block, unpack_lists)
 
@@ -172,7 +172,7 @@ def decode(encoded: DataFrame, ranks: Ranks, *, ids: str = "token_ids") -> DataF
         for batch in batches:
             yield rows(schema, [*[batch.column(c) for c in keep], *_decoded(batch.column(ids), table)])
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    return encoded.select(*keep).mapInArrow(trimmed(run), schema)
 
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of
+from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of, trimmed
 from fillgauge.operators.joins import attach
 from fillgauge.session import settle
 
@@ -140,7 +140,7 @@ def fold(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
             number += 1
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct("*").alias("row"))
-    return settle(narrow.mapInArrow(run, schema))
+    return settle(narrow.mapInArrow(trimmed(run), schema))
 
 
 def _buckets(records: DataFrame, limit: int) -> tuple[DataFrame, int]:
@@ -241,7 +241,7 @@ def _resolve(folded: DataFrame, text: str, schema: T.StructType, with_rows: bool
         yield from done()
 
     return (records.select(columns).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, schema))
+            .mapInArrow(trimmed(run), schema))
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",

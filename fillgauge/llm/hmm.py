@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import rows, squeeze, text_bytes, unsqueeze, with_bytes
+from fillgauge.llm.arrow import rows, squeeze, text_bytes, trimmed, unsqueeze, with_bytes
 from fillgauge.llm.words import (Block, ascii_words, bucket_count, build_blocks, distinct_words, exchange_words,
                                  per_block)
 from fillgauge.session import settle
@@ -295,7 +295,7 @@ def _unpair(blob: bytes) -> list[np.ndarray]:
 def _summed(frame: DataFrame, run: Callable, size: int) -> np.ndarray:
     """Sum of the arrays of ``size`` numbers that ``run`` yields, one per task; added up in Spark."""
     schema = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
-    spread = frame.mapInArrow(run, schema).select(F.posexplode("values").alias("at", "value"))
+    spread = frame.mapInArrow(trimmed(run), schema).select(F.posexplode("values").alias("at", "value"))
     total = np.zeros(size)
     for r in spread.groupBy("at").agg(F.sum("value").alias("value")).filter("value != 0").collect():
         total[r["at"]] = r["value"]  # a model's size, whatever the corpus
@@ -392,7 +392,7 @@ def score(corpus: Corpus, model: Model, id_type: T.DataType, id_col: str = "doc_
                 yield rows(schema, [batch.column("ids")[i].values, unsqueeze(blobs[5]).astype(bool), lengths, known,
                                     [tokens] * len(lengths), base, total, [model.rounds] * len(lengths)])
 
-    return corpus.blocks.mapInArrow(run, schema)
+    return corpus.blocks.mapInArrow(trimmed(run), schema)
 
 
 def score_texts(docs: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text: str = "text",

@@ -6,6 +6,9 @@ The profile of a text is the sum of the vectors of all its groups; the prototype
 language is the sum over its training texts.  A text has the language whose prototype
 makes the largest cosine with its profile.
 
+Repeated rows are answered one by one, and each teaches.  A very long text is read whole, in one
+step of one task; the step holds some 50 bytes per byte of it.
+
 Signs come from the code point and a seed, so every task makes the same vectors.
 Prototypes are sums of whole numbers, added up over the partitions, so they do not
 depend on how rows are spread.
@@ -13,6 +16,7 @@ depend on how rows are spread.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,16 +29,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import rows, steps, text_bytes, texts_of
+from fillgauge.llm.arrow import rows, steps, text_bytes, texts_of, trimmed
 
 #: Length of the vectors.
 DIMENSIONS = 512
 #: Bytes of text whose groups are counted at a time.
-STEP_BYTES = 2 * 1024 * 1024
+STEP_BYTES = 512 * 1024
 #: Most languages: their prototypes lie with every task.
 MAX_LANGUAGES = 10_000
-#: Score below which a text is like no language; far under that of a few words of a learned one.
-LEAST_SCORE = 0.05
+#: Share of the labelled texts that may score less than what counts as like a language.
+REJECTED_SHARE = 0.002
+#: What counts lies at least so many standard deviations above the cosine of unrelated vectors.
+NOISE_WIDTHS = 3.0
+#: Cells of scores from 0 to 1 that are counted to find that share.
+SCORE_CELLS = 10_000
 #: Answer for texts without a letter.
 UNKNOWN = "und"
 
@@ -76,9 +84,9 @@ class Groups:
         middle = np.flatnonzero((padded[1:-1] != 0)) + 1
         group = (small[middle - 1] * base + small[middle]) * base + small[middle + 1]
         self.doc = doc[middle]
-        if base ** 3 <= 1 << 22:
+        if base ** 3 <= 1 << 20:
             distinct = np.flatnonzero(np.bincount(group)) if len(group) else group
-            index = np.zeros(base ** 3, dtype=np.int64)
+            index = np.zeros(base ** 3, dtype=np.int32)
             index[distinct] = np.arange(len(distinct))
             self.group = index[group]
         else:
@@ -139,7 +147,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", seed: int =
         yield rows(schema, [list(sums), [p.tolist() for p in sums.values()]])
 
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-    summed = (labelled.mapInArrow(run, schema).select("lang", F.posexplode("profile").alias("at", "value"))
+    summed = (labelled.mapInArrow(trimmed(run), schema).select("lang", F.posexplode("profile").alias("at", "value"))
               .groupBy("lang", "at").agg(F.sum("value").alias("value"))
               .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("profile"))
               .select("lang", "profile.value").orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
@@ -176,15 +184,41 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
                 score.append(min(1.0, max(0.0, float(near[best]))))
             yield rows(schema, [*[table.column(c) for c in keep], predicted, score])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(trimmed(run), schema)
+
 
+def least_score(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: str = "lang",
+                share: float = REJECTED_SHARE) -> float:
+    """The score from which a text is like a learned language.
 
-def keep_known(docs: DataFrame, model: LanguageModel, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    ``share`` of all labelled texts that are given their own language score less; but it is never
+    within the reach of unrelated vectors, whose cosines have a deviation of 1/sqrt(dimensions).
+    Without a column ``lang`` that is all that is known.
+    """
+    noise = NOISE_WIDTHS / math.sqrt(model.prototypes.shape[1])
+    if lang not in docs.columns:
+        return noise
+    labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("own")).dropna()
+    cell = F.floor(F.col("score") * SCORE_CELLS).cast("int").alias("cell")
+    counts = dict(identify(labelled, model).filter("lang_pred = own").groupBy(cell).count().collect())  # SCORE_CELLS at most
+    low, seen, total = 0, 0, sum(counts.values())
+    for c in sorted(counts):
+        seen += counts[c]
+        low = c
+        if seen > share * total:
+            break
+    return max(noise, low / SCORE_CELLS)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: str = "lang",
+               least: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known with ``least`` score or more, columns as they were.
 
-    Rejected are texts without a letter, NULL ones among them, and texts like no language
-    that was learned.  If none was learned nothing is known, and every row goes.
+    ``least`` is :func:`least_score` unless given.  Rejected are texts without a letter, NULL ones among them,
+    and texts like no language that was learned, as those in other scripts or of random
+    letters.  Equal texts share their fate.  If nothing was learned nothing is known, and every row goes.
     """
+    least = least_score(docs, model, text=text, lang=lang) if least is None else least
     held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     return identify(held, model).filter(known).select("row.*")

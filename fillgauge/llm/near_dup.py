@@ -26,7 +26,9 @@ order, agree in at least 0.8 of all: matched / (both - matched).
 
 Texts shorter than five words have one shingle.  NULL and empty texts have none, and are
 classes of their own, each row apart.  A repeated row is a copy.  Ids may be NULL or
-repeated: rows are told apart by their place.
+repeated: rows are told apart by their place.  A very long text is one row of a task: its shingles
+lie there as 8 bytes each, and the bits that align two texts are as long as the longer one, so
+two texts of n shingles cost n * n / 64 steps of a word whatever the band.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of, with_bytes
+from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of, trimmed, with_bytes
 from fillgauge.llm.words import ascii_words
 from fillgauge.operators.joins import attach
 from fillgauge.session import settle
@@ -216,7 +218,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 np.diff(shingle_ends), lists, bodies])
 
     return settle(docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"),
-                              F.col(text).alias("text")).mapInArrow(run, schema))
+                              F.col(text).alias("text")).mapInArrow(trimmed(run), schema))
 
 
 def _aligned(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             found = pa.array([similar(x, y) for x, y in sequences], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(found) for c in ("a", "b")], names=["a", "b"])
 
-    return settle(_aligned(pairs, bodies).mapInArrow(run, "a long, b long"))
+    return settle(_aligned(pairs, bodies).mapInArrow(trimmed(run), "a long, b long"))
 
 
 def _middles(members: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -272,7 +274,7 @@ def _middles(members: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), share], names=["a", "b", "share"])
 
     pairs = tied.select(F.col("probe").alias("a"), F.col("place").alias("b")).distinct()
-    shares = (_aligned(pairs, bodies).mapInArrow(run, "a long, b long, share double")
+    shares = (_aligned(pairs, bodies).mapInArrow(trimmed(run), "a long, b long, share double")
               .groupBy(F.col("b").alias("place")).agg(F.round(F.sum("share"), 9).alias("share")))
     return settle(tied.select("label", "place", "n", "company").distinct().join(shares, "place").groupBy("label")
                   .agg(F.max(F.struct("share", -F.col("place"), "company", "place", "n")).alias("m"))
@@ -373,7 +375,7 @@ def _tokens(members: DataFrame, bodies: DataFrame) -> DataFrame:
                 tokens = _labelled(hashes, np.zeros(len(hashes), dtype=np.int64)).astype(np.int64)
                 yield rows(schema, [tokens, np.full(n, place), np.full(n, n, dtype=np.int32), np.full(n, label)])
 
-    return settle(bodies.join(members, "place").select("place", "n", "label", "body").mapInArrow(run, schema))
+    return settle(bodies.join(members, "place").select("place", "n", "label", "body").mapInArrow(trimmed(run), schema))
 
 
 def _rare_pairs(members: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -469,7 +471,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "te
 
 
 def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with its class of near duplicates, named by its smallest doc_id."""
+    """Every document with the number of its class of near duplicates, its size and the smallest doc_id in it."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    return near_classes(docs).select(
-        F.col("id").alias("doc_id"), F.coalesce("class_id", F.lit(-1)).alias("class_id"), "class_size")
+    return near_classes(docs).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "class_size",
+                                     F.col("class_id").alias("least_doc_id"))

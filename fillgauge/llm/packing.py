@@ -6,7 +6,8 @@ made from at most ``capacity`` counts, and every row then looks its place up.  T
 plan is the one that placing piece by piece would give: the longest first, each into
 the open window with the least room that still holds it, found in a segment tree
 indexed by remaining capacity.  Windows with equal room are kept as runs, so neither
-the time nor the size of the plan grows with the number of pieces.
+the time nor the size of the plan grows with the number of pieces.  A very long text is encoded whole, in
+one task, and cut into full windows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import rows
+from fillgauge.llm.arrow import rows, trimmed
 from fillgauge.llm.bpe import token_runs
 from fillgauge.llm.words import (Block, ascii_words, bucket_count, build_blocks, distinct_words, exchange_words,
                                  pack_lists, per_block)
@@ -155,7 +156,7 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 4096,
             yield rows(schema, [*[batch.column(c) for c in names],
                                 pa.array(sequence, mask=none), pa.array(offset, mask=none)])
 
-    return ranked.select(*names, "__size", "__rank").mapInArrow(place, schema)
+    return ranked.select(*names, "__size", "__rank").mapInArrow(trimmed(place), schema)
 
 
 @lru_cache(maxsize=1)

@@ -5,7 +5,8 @@ rule is right is not known; expectation-maximisation estimates it, for good and
 documents apart, from how the rules agree with one another over all documents.  A
 document is then judged by its posterior probability of being good, so one wrong rule
 does not throw it away.  The corpus enters the estimation as counts of vote patterns,
-of which there are at most 3 ** rules, whatever its size.
+of which there are at most 3 ** rules, whatever its size.  A very long text is measured whole, in one
+step of one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of
+from fillgauge.llm.arrow import one_chunk, rows, steps, text_bytes, texts_of, trimmed
 from fillgauge.llm.words import ascii_words
 
 #: Characters that count as symbols.
@@ -111,7 +112,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         for table in steps(batches, text):
             yield rows(schema, [*[table.column(c) for c in keep], *measure(texts_of(table, text))])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(trimmed(run), schema)
 
 
 def _share(part: str, whole: str = "n_words") -> Column:

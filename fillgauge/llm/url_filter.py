@@ -14,7 +14,8 @@ opened to that depth.  Each task starts from the depth and the stack the tasks b
 it leave behind.  Among the suffixes the longest rule wins.
 
 Everything is expressed in DataFrame functions.  Urls are made distinct by host and
-path before the sweep.
+path before the sweep.  A very long url is one row like any other; its host is probed no deeper than
+the deepest rule.
 """
 
 from __future__ import annotations

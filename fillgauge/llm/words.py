@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import (arrow_type, one_chunk, rows, squeeze, squeeze_ascending, squeeze_codes,
-                                 squeeze_words, steps, texts_of, unsqueeze, unsqueeze_ascending,
+from fillgauge.llm.arrow import (arrow_type, give_back, one_chunk, rows, squeeze, squeeze_ascending, squeeze_codes,
+                                 squeeze_words, steps, texts_of, trimmed, unsqueeze, unsqueeze_ascending,
                                  unsqueeze_codes, unsqueeze_words)
 from fillgauge.session import settle
 
@@ -53,18 +53,18 @@ class Blocks:
 
     def __init__(self, source: DataFrame, build: Callable, schema: T.StructType, stored: bool):
         self._source, self._build, self._schema = source, build, schema
-        self.table = settle(source.mapInArrow(build, schema)) if stored else None
+        self.table = settle(source.mapInArrow(trimmed(build), schema)) if stored else None
 
     def select(self, *columns: str) -> DataFrame:
-        held = self._source.mapInArrow(self._build, self._schema) if self.table is None else self.table
+        held = self._source.mapInArrow(trimmed(self._build), self._schema) if self.table is None else self.table
         return held.select(*columns)
 
     def map(self, columns: Sequence[str], work: Callable, schema: T.StructType) -> DataFrame:
         """``work`` over batches that have these columns; one Python process per task, stored or not."""
         if self.table is not None:
-            return self.table.select(*columns).mapInArrow(work, schema)
+            return self.table.select(*columns).mapInArrow(trimmed(work), schema)
         build = self._build
-        return self._source.mapInArrow(lambda batches: work(build(batches)), schema)
+        return self._source.mapInArrow(trimmed(lambda batches: work(build(batches))), schema)
 
 
 def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split, *, marked: str | None = None,
@@ -113,7 +113,7 @@ def build_blocks(docs: DataFrame, keys: Sequence[str], text: str, split: Split,
             if size + STEP_BYTES > block_bytes:
                 yield block_row(number, parts)
                 number, parts, size = number + 1, [], 0
-                pa.default_memory_pool().release_unused()
+                give_back()
         if parts:
             yield block_row(number, parts)
 

@@ -118,6 +118,23 @@ def test_language_edge_cases(shipped, edge, empty):
     assert language.keep_known(edge, model).schema == edge.schema
 
 
+def test_texts_of_no_learned_language_are_rejected(shipped):
+    """Unlearned scripts and random letters go; the learned languages' texts stay."""
+    docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    least = language.least_score(docs, model)
+    assert least >= 3 / model.prototypes.shape[1] ** 0.5
+    rng = np.random.default_rng(4)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "".join(map(chr, range(0x430, 0x450))),
+               "georgian": "".join(map(chr, range(0x10D0, 0x10F0)))}
+    rows = [(kind, " ".join("".join(rng.choice(list(x), rng.integers(2, 9))) for _ in range(150)))
+            for kind, x in letters.items() for _ in range(100)]
+    strange = language.keep_known(shipped.createDataFrame(rows, "kind string, text string"), model, least=least)
+    assert all(r["count"] <= 5 for r in strange.groupBy("kind").count().collect())
+    kept = language.keep_known(docs, model)
+    assert kept.count() >= 0.98 * docs.filter("text rlike '[a-zA-Z]'").count()
+
+
 def test_language_does_not_depend_on_partitions(shipped):
     docs = shipped.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, many = language.fit(docs.coalesce(1)), language.fit(docs.repartition(7))
