@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.operators.joins import attach, is_small
+from fillgauge.operators.joins import attach, few
 from fillgauge.session import settle
 
 # The marks put in place of replaced categories.
@@ -17,6 +17,10 @@ RARE = "__RARE__"
 UNSEEN = "__UNSEEN__"
 OTHER = "Other"
 
+#: A column with at most so many categories, and bytes in them, is looked up in sets instead of a join.
+SET_ROWS = 5_000
+SET_BYTES = 256 * 1024
+
 
 def categorical_columns(df: DataFrame, features: Sequence[str],
                         force: Sequence[str] = ()) -> list[str]:
@@ -49,15 +53,37 @@ def fit_rare_map(train: DataFrame, columns: Sequence[str], threshold: int) -> Da
 
 
 def _marks(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], settled: bool) -> DataFrame:
-    """Add ``__mark_<column>``: true rare, false kept, NULL never seen."""
+    """Add ``__mark_<column>``: true rare, false kept, NULL never seen.
+
+    Columns with few categories are looked up in sets that travel with the plan: no join at all,
+    however many such columns there are.  Only a column with more is joined.
+    """
+    if not columns:
+        return df
     rare_map = rare_map if settled else settle(rare_map)
-    small = is_small(rare_map)
+    sizes = {r["column"]: r for r in rare_map.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes")).collect()}
+    sets = [c for c in columns if c not in sizes or (sizes[c]["n"] <= SET_ROWS and sizes[c]["bytes"] <= SET_BYTES)]
+    known: dict[str, list] = {c: [] for c in sets}
+    for r in rare_map.filter(F.col("column").isin(sets)).select("column", "value", "is_rare").collect() if sets else []:
+        known[r["column"]].append((r["value"], r["is_rare"]))
+    marks = {}
+    for c in sets:
+        text, mark = F.col(c).cast("string"), F.lit(None).cast("boolean")
+        for is_rare in (True, False):
+            values = [v for v, rare in known[c] if rare == is_rare]
+            hit = F.coalesce(text.isin([v for v in values if v is not None]), F.lit(False))
+            hit = hit | text.isNull() if None in values else hit
+            mark = F.when(hit, F.lit(is_rare)).otherwise(mark)
+        marks[f"__mark_{c}"] = mark
+    df = df.withColumns(marks) if marks else df
     for c in columns:
+        if f"__mark_{c}" in marks:
+            continue
         table = rare_map.filter(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("is_rare").alias(f"__mark_{c}"))
-        df = df.withColumn("__value", F.col(c).cast("string"))
-        df = attach(df, table, ["__value"], null_safe=True, settled=True,
-                    small=small).drop("__value")
+        df = attach(df.withColumn("__value", F.col(c).cast("string")), table, ["__value"], null_safe=True, settled=True,
+                    small=few(sizes[c]["n"], sizes[c]["bytes"])).drop("__value")
     return df
 
 

@@ -104,20 +104,51 @@ def transform_var(df: DataFrame, var_types: Mapping[str, tuple] | None = None
     return df, types
 
 
+def _hashes(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """Two independent hashes of a value; equal values, also 0.0 and -0.0, have equal ones."""
+    value = F.col(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        value = F.when(value == 0, F.lit(0.0)).otherwise(value)
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
+def distinct_counts(df: DataFrame) -> list[int]:
+    """Exact number of distinct values of every column, NULL not counted, with one shuffle for all.
+
+    Each row gives one small cell (column, hash, second hash) per column; a task folds equal cells, so
+    what is shuffled are the distinct values of each task, 28 bytes each, however wide they are.  Where
+    values with different second hashes meet in one first hash, the values themselves are counted.
+    """
+    hashes = [_hashes(df, c) for c in df.columns]
+    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), h.alias("h"), g.alias("g")))
+                      for i, (c, (h, g)) in enumerate(zip(df.columns, hashes))])
+    folded = (df.select(F.explode(cells).alias("cell")).filter("cell is not null").groupBy("cell.c", "cell.h")
+              .agg(F.min("cell.g").alias("lo"), F.max("cell.g").alias("hi")))
+    meet = F.col("lo") != F.col("hi")
+    found = {r["c"]: r for r in folded.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(meet).alias("meet")).collect()}
+    out = [found[i]["n"] if i in found else 0 for i in range(len(df.columns))]
+    for i, r in found.items():
+        if r["meet"]:
+            shared = folded.filter(meet & (F.col("c") == i)).select(F.col("h").alias("__h"))
+            values = df.select(F.col(df.columns[i]).alias("v"), hashes[i][0].alias("__h")).filter("v is not null")
+            out[i] += attach(values, shared, ["__h"], how="inner").select("v").distinct().count() - r["meet"]
+    return out
+
+
 def profile_columns(df: DataFrame, low_cardinality: float = 0.5, exact: bool = True) -> DataFrame:
     """(variable, type, n, n_distinct, ratio, is_low_cardinality) for every column.
 
     A text column with few distinct values per row counts as a category.
     """
-    count = F.count_distinct if exact else F.approx_count_distinct
-    one = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[count(F.col(f.name)).alias(f"d_{i}") for i, f in enumerate(df.schema)])
-    rows = F.array(*[F.struct(
-        F.lit(f.name).alias("variable"), F.lit(f.dataType.simpleString()).alias("type"),
-        F.col("n"), F.col(f"d_{i}").alias("n_distinct"),
-        F.try_divide(F.col(f"d_{i}"), F.col("n")).alias("ratio"),
-        F.lit(isinstance(f.dataType, T.StringType)).alias("text"))
-        for i, f in enumerate(df.schema)])
-    out = one.select(F.explode(rows).alias("r")).select("r.*")
-    low = F.col("text") & F.coalesce(F.col("ratio") < low_cardinality, F.lit(False))
-    return out.withColumn("is_low_cardinality", low).drop("text")
+    if exact:
+        n, counts = df.count(), distinct_counts(df)
+    else:
+        n, *counts = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.col(c)) for c in df.columns]).first()
+    rows = []
+    for f, d in zip(df.schema, counts):
+        ratio = d / n if n else None
+        low = isinstance(f.dataType, T.StringType) and ratio is not None and ratio < low_cardinality
+        rows.append((f.name, f.dataType.simpleString(), n, d, ratio, low))
+    return df.sparkSession.createDataFrame(
+        rows, "variable string, type string, n long, n_distinct long, ratio double, is_low_cardinality boolean")

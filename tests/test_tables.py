@@ -12,7 +12,7 @@ from fillgauge.operators import target as T
 from fillgauge.operators.aggregate import aggregate_variable, value_counts
 from fillgauge.plans import distributions as X
 from fillgauge.plans import reports as P
-from fillgauge.session import fresh_path
+from fillgauge.session import fresh_path, settle
 from fillgauge.sources import documents, records as R
 
 
@@ -68,6 +68,18 @@ def test_profile(small):
     assert D.profile_columns(small, exact=False).count() == 3
 
 
+def test_distinct_counts_in_one_shuffle(spark, monkeypatch):
+    rows = [(i % 7, None if i % 3 else f"t{i % 50}", [0.0, -0.0, float("nan"), 1.5, None][i % 5], i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d long").repartition(4)
+    want = list(df.agg(*[F.count_distinct(c) for c in df.columns]).first())
+    assert D.distinct_counts(df) == want == [7, 50, 3, 500]
+    assert D.distinct_counts(df.limit(0)) == [0, 0, 0, 0]
+    # hashes that meet: the values decide
+    whole = D._hashes
+    monkeypatch.setattr(D, "_hashes", lambda df, name: (F.pmod(whole(df, name)[0], F.lit(3)), whole(df, name)[1]))
+    assert D.distinct_counts(df) == want
+
+
 # ---------------------------------------------------------------- aggregate
 
 @pytest.mark.parametrize("op,want", [
@@ -126,6 +138,20 @@ def test_rare_threshold():
         C.resolve_rare_threshold(1000, 0.5)
 
 
+def test_many_columns_need_no_join(spark, monkeypatch):
+    rows = [tuple(None if (i * k) % 11 == 3 else f"v{(i * k) % (5 + k)}" for k in range(1, 31)) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} string" for k in range(30))).repartition(3)
+    rare = settle(C.fit_rare_map(df.limit(200), df.columns, 9))
+    valid = C.apply_rare_map_valid(df, rare, df.columns, settled=True)
+    above_input = valid._jdf.queryExecution().executedPlan().toString().split("RoundRobinPartitioning")[0]
+    assert "Join" not in above_input and above_input.count("Exchange") <= 1
+    sets = sorted(map(tuple, valid.collect()), key=str), sorted(map(tuple, C.collapse_rare(df, df.columns, 9).collect()), key=str)
+    monkeypatch.setattr(C, "SET_ROWS", 0)
+    joined = C.apply_rare_map_valid(df.select("c0", "c4"), rare, ["c0", "c4"], settled=True)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted([(r[0], r[4]) for r in sets[0]], key=str)
+
+
 def test_rare_maps(spark):
     train = spark.createDataFrame([(v,) for v in "a" * 5 + "b" * 2 + "c"] + [(None,)], "v string")
     rare = C.fit_rare_map(train, ["v"], 3)
