@@ -176,7 +176,9 @@ def _large_groups(rows: DataFrame, keys: list[str], wanted: Mapping[str, float],
         return F.array(*[r + 1 for p in wanted.values() for r in rank_of(p, n, interpolation)[:2]])
 
     x = F.col("value")
-    cuts = sketched_cuts(rows, keys, x, x, value_levels, ranks)
+    strata = [] if keys == ["__all"] else keys  # a constant is no key to join by
+    cuts = sketched_cuts(rows, strata, x, x, value_levels, ranks)
+    cuts = cuts if strata else cuts.withColumn("__all", F.lit(0))
     aggs = []
     for name, p in wanted.items():
         low, high, _share = rank_of(p, F.col("n"), interpolation)

@@ -181,6 +181,11 @@ def _brackets(df: DataFrame, strata: list[str], number: Column, ranks: Callable[
 
 def _in_brackets(rows: DataFrame, held: list[Row], schema: T.StructType, strata: list[str], where: Column) -> DataFrame:
     """Rows with each bracket of their stratum for which ``where`` holds; there are few brackets."""
+    if not strata:  # no key to join by: the brackets travel with the plan
+        kinds = {f.name: f.dataType for f in schema}
+        cells = [F.struct(*[F.lit(r[c]).cast(k).alias(c) for c, k in kinds.items()]) for r in held]
+        cells = F.array(*cells) if cells else F.array().cast(T.ArrayType(schema))
+        return rows.withColumn("__at", F.explode(cells)).select("*", "__at.*").drop("__at").filter(where)
     names = {c: f"__s_{i}" for i, c in enumerate(strata)}
     small = rows.sparkSession.createDataFrame(held, schema).withColumnsRenamed(names)
     cond = where

@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillgauge.functions.values import null_if_nan, nulls_for_nans, require_columns
@@ -30,7 +30,7 @@ from fillgauge.operators.sampling import (kfold, sample_exact, stratified_folds,
                                           subsample_stratified)
 from fillgauge.operators.target import (bin_target, inverse_target, rmse_original_scale,
                                         smearing_factor, transform_target)
-from fillgauge.operators.joins import attach
+from fillgauge.operators.joins import attach, is_small
 from fillgauge.session import settle, together
 from fillgauge.sources.documents import model_root, read_json, save_best_params, write_json
 from fillgauge.sources.generations import Hadoop, commit, current
@@ -43,6 +43,10 @@ CAP_HIGH, CAP_LOW = 0.9, 0.2
 DEFAULTS: dict[str, Any] = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64}
 #: Rounds without a smaller validation error after which later rounds are not looked at.
 PATIENCE = 10
+#: Rounds a fold is boosted for at first.
+FIRST_ROUNDS = 16
+#: Slices of the training rows whose targets do not meet in their own encoding.
+ENCODING_SLICES = 5
 #: Rows of average target that each category's mean is pulled towards, so rare ones do not stand out.
 SMOOTHING = 20.0
 
@@ -72,9 +76,9 @@ class FeatureSpec:
     def encoded(self, c: str, outputs: int) -> list[str]:
         return [f"__enc{j}_{c}" for j in range(outputs)]
 
-    def assembled(self, df: DataFrame, codes: Encoding) -> DataFrame:
-        """``df`` with the vector of features."""
-        rows = codes.apply(self.prepared(df), self)
+    def assembled(self, df: DataFrame, codes: Encoding, taught: Column | None = None) -> DataFrame:
+        """``df`` with the vector of features; ``taught`` marks rows that the encoding was fitted on."""
+        rows = codes.apply(self.prepared(df), self, taught)
         inputs = [f"__num_{c}" for c in self.numeric] + [f"__gap_{c}" for c in self.numeric]
         for c in self.categorical:
             inputs += self.encoded(c, len(codes.means))
@@ -89,9 +93,15 @@ class Encoding:
     per category and is joined, so neither the driver nor a tree holds a list of
     categories, however many there are.  With more than two classes there is one share
     per class.  A category that was not seen has the overall mean.
+
+    A row that taught the encoding gets its category's mean over the other slices of the training rows, so
+    its own target does not tell on it; without that a rare category would be its own answer in training
+    and nothing at all in validation.
     """
     table: DataFrame | None
     means: list[float]
+    #: means without each slice, for training only
+    apart: DataFrame | None = None
 
     @classmethod
     def fit(cls, train: DataFrame, spec: FeatureSpec, classes: int) -> Encoding:
@@ -102,22 +112,50 @@ class Encoding:
         means = [float(m or 0.0) for m in train.agg(*[F.avg(t) for t in targets]).first()]
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__txt_{c}").alias("value"))
                                     for c in spec.categorical])).alias("cell")
-        sums = (spec.prepared(train).select(cells, *[t.alias(f"t{j}") for j, t in enumerate(targets)])
-                .groupBy("cell.column", "cell.value").agg(
-                    F.count(F.lit(1)).alias("n"), *[F.sum(f"t{j}").alias(f"t{j}") for j in range(len(targets))]))
-        table = sums.select("column", "value", *[
-            ((F.col(f"t{j}") + F.lit(SMOOTHING * m)) / (F.col("n") + F.lit(SMOOTHING))).alias(f"e{j}")
+        outputs = range(len(targets))
+        sums = settle(
+            spec.prepared(train).select(_slice(spec).alias("slice"), cells, *[t.alias(f"t{j}") for j, t in enumerate(targets)])
+            .groupBy("cell.column", "cell.value", "slice").agg(
+                F.count(F.lit(1)).alias("n"), *[F.sum(f"t{j}").alias(f"t{j}") for j in outputs]))
+        whole = Window.partitionBy("column", "value")  # at most one row per slice
+        apart = sums.select("column", "value", "slice", *[
+            ((F.sum(f"t{j}").over(whole) - F.col(f"t{j}") + F.lit(SMOOTHING * m))
+             / (F.sum("n").over(whole) - F.col("n") + F.lit(SMOOTHING))).alias(f"e{j}") for j, m in enumerate(means)])
+        table = sums.groupBy("column", "value").agg(*[
+            ((F.sum(f"t{j}") + F.lit(SMOOTHING * m)) / (F.sum("n") + F.lit(SMOOTHING))).alias(f"e{j}")
             for j, m in enumerate(means)])
-        return cls(settle(table), means)
+        return cls(settle(table), means, settle(apart))
 
-    def apply(self, rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+    def apply(self, rows: DataFrame, spec: FeatureSpec, taught: Column | None = None) -> DataFrame:
+        if not spec.categorical:
+            return rows
+        small = is_small(self.table)
+        if taught is not None:
+            rows = rows.withColumn("__slice_of", F.when(taught, _slice(spec)))
+            small_apart = is_small(self.apart)
         for c in spec.categorical:
-            names = spec.encoded(c, len(self.means))
-            part = self.table.filter(F.col("column") == c).select(
-                F.col("value").alias(f"__txt_{c}"), *[F.col(f"e{j}").alias(n) for j, n in enumerate(names)])
-            rows = attach(rows, part, [f"__txt_{c}"], null_safe=True, settled=True)
-            rows = rows.withColumns({n: F.coalesce(n, F.lit(m)) for n, m in zip(names, self.means)})
-        return rows
+            names, text = spec.encoded(c, len(self.means)), f"__txt_{c}"
+
+            def part(table: DataFrame, mark: str, *more: Column, c: str = c) -> DataFrame:
+                return table.filter(F.col("column") == c).select(
+                    F.col("value").alias(f"__txt_{c}"), *more,
+                    *[F.col(f"e{j}").alias(f"{mark}{n}") for j, n in enumerate(spec.encoded(c, len(self.means)))])
+
+            rows = attach(rows, part(self.table, ""), [text], null_safe=True, settled=True, small=small)
+            best = {n: [F.col(n)] for n in names}
+            if taught is not None:
+                rows = attach(rows, part(self.apart, "__apart", F.col("slice").alias("__slice_of")), [text, "__slice_of"],
+                              null_safe=True, settled=True, small=small_apart)
+                best = {n: [F.col(f"__apart{n}"), F.col(n)] for n in names}
+            rows = rows.withColumns({n: F.coalesce(*best[n], F.lit(m)) for n, m in zip(names, self.means)})
+            rows = rows.drop(*[f"__apart{n}" for n in names])
+        return rows.drop("__slice_of")
+
+
+def _slice(spec: FeatureSpec) -> Column:
+    """Slice of a training row, by all its values: rows alike in everything lie in one."""
+    return F.pmod(F.xxhash64("__label", *[f"__num_{c}" for c in spec.numeric], *[f"__txt_{c}" for c in spec.categorical]),
+                  F.lit(ENCODING_SLICES)).cast("int")
 
 
 # ---------------------------------------------------------------- boosting
@@ -322,18 +360,30 @@ def _fold_frames(df: DataFrame, spec: FeatureSpec, classes: int, k: int, rare_th
                 apply_rare_map_valid(valid, rare, spec.categorical, settled=True))
             part = train.unionByName(valid)
         codes = Encoding.fit(train, spec, classes)
-        out.append(settle(spec.assembled(part, codes).select("__features", "__label", "__valid")))
+        ready = spec.assembled(part, codes, ~F.col("__valid"))
+        out.append(settle(ready.select("__features", "__label", "__valid")))
     return out
 
 
 def _cross_validate(folds: Sequence[DataFrame], classes: int, params: Mapping[str, Any],
                     info: Mapping[str, Any], seed: int, patience: int | None) -> tuple[list[float], list[int]]:
-    """Per fold the validation error after the best number of rounds, and that number."""
+    """Per fold the validation error after the best number of rounds, and that number.
+
+    A fold is boosted for a few rounds, and for twice as many as long as the best round lies within
+    ``patience`` of the end: the result of boosting up to the cap, for about twice the rounds it needs.
+    """
+    cap = int(params.get("maxIter", DEFAULTS["maxIter"]))
+
     def run(ready: DataFrame) -> tuple[float, int]:
-        whole = Boosted.fit(ready.filter("not __valid"), classes, params, seed)
-        valid = ready.filter("__valid")
-        rounds = best_round(whole.errors(valid), patience)
-        return _score(whole.first(rounds).transform(valid), classes, info), rounds
+        train, valid = ready.filter("not __valid"), ready.filter("__valid")
+        tried = cap if patience is None else min(cap, FIRST_ROUNDS)
+        while True:
+            whole = Boosted.fit(train, classes, {**params, "maxIter": tried}, seed)
+            rounds = best_round(whole.errors(valid), patience)
+            # the same seed grows the same first trees, so more rounds cannot change what was decided
+            if tried >= cap or rounds + patience <= tried:
+                return _score(whole.first(rounds).transform(valid), classes, info), rounds
+            tried = min(cap, 2 * tried)
 
     done = together(folds[0].sparkSession, [partial(run, fold) for fold in folds])
     return [score for score, _ in done], [rounds for _, rounds in done]
@@ -438,7 +488,7 @@ def train_final(df: DataFrame, target: str, features: Sequence[str], *, id_cols:
         rare_map = settle(fit_rare_map(rows, spec.categorical, limit))
         ready = apply_rare_map_train(rows, rare_map, spec.categorical, settled=True)
     codes = Encoding.fit(ready, spec, classes)
-    ready = settle(spec.assembled(ready, codes).select(*rows.columns, "__features"))
+    ready = settle(spec.assembled(ready, codes, F.lit(True)).select(*rows.columns, "__features"))
     final_params = {**params, "maxIter": max(1, best_iter)}
     model = Boosted.fit(ready, classes, final_params, random_state)
 

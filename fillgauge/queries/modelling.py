@@ -201,3 +201,56 @@ def _(spark, d):
     rows = [(t["parameter"], str(t["value"]), 1 <= t["best_iter"] <= 8, found.params["maxBins"] == best["value"])
             for t in found.sweep]
     return spark.createDataFrame(rows, "parameter string, value string, in_rounds boolean, smallest_is_kept boolean")
+
+
+# ---------------------------------------------------------------- one tree that SQL can grow too
+
+_COUNTS = ["n_lines", "n_flags"]
+_ROWS_SQL = ("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS y, count(*) AS n_lines, "
+             "count(DISTINCT l_returnflag) AS n_flags FROM lineitem GROUP BY l_orderkey")
+
+
+def _split_sql(rows: str) -> str:
+    """The best split of every ``node`` of ``rows``, by prefix sums over each feature's values."""
+    return f"""SELECT node, arg_max(f, drop) AS f, arg_max(cut, drop) AS cut, max(drop) AS drop FROM (
+  SELECT node, f, (x + lead(x) OVER w) / 2 AS cut, (tq - ts * ts / tn) - (sum(q) OVER w - pow(sum(s) OVER w, 2) / sum(n) OVER w)
+    - (tq - sum(q) OVER w - pow(ts - sum(s) OVER w, 2) / nullif(tn - sum(n) OVER w, 0)) AS drop
+  FROM (SELECT *, sum(n) OVER p AS tn, sum(s) OVER p AS ts, sum(q) OVER p AS tq FROM (
+    SELECT node, f, x, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM (
+      SELECT node, y, unnest(['n_lines', 'n_flags']) AS f, unnest([n_lines, n_flags]) AS x FROM {rows}) GROUP BY node, f, x)
+    WINDOW p AS (PARTITION BY node, f))
+  WINDOW w AS (PARTITION BY node, f ORDER BY x)) WHERE cut IS NOT NULL GROUP BY node"""
+
+
+_TREE_SQL = f"""WITH r0 AS (SELECT *, 0 AS node FROM ({_ROWS_SQL})), s0 AS ({_split_sql('r0')}),
+r1 AS (SELECT l_orderkey, y, n_lines, n_flags,
+  1 + CAST(CASE f WHEN 'n_lines' THEN n_lines ELSE n_flags END > cut AS INTEGER) AS node FROM r0 JOIN s0 USING (node)),
+s1 AS ({_split_sql('r1')}),
+r2 AS (SELECT l_orderkey, y, 3 + 2 * r1.node + CAST(CASE f WHEN 'n_lines' THEN n_lines ELSE n_flags END > cut AS INTEGER) AS leaf
+  FROM r1 LEFT JOIN s1 USING (node))"""
+
+
+def _one_tree(df):
+    """One round of depth 2; every distinct value may be split at."""
+    return M.train_final(df, "total", _COUNTS, id_cols=ID, rounds=1,
+                         params={"maxIter": 1, "maxDepth": 2, "maxBins": 32, "minInstancesPerNode": 1, "subsamplingRate": 1.0})
+
+
+def _counts(spark, d):
+    return settle(table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count(F.lit(1)).alias("n_lines"),
+        F.count_distinct("l_returnflag").alias("n_flags")))
+
+
+@query("predict_one_tree", f"""{_TREE_SQL}
+SELECT l_orderkey, round(avg(y) OVER (PARTITION BY leaf), 3) AS predicted FROM r2""")
+def _(spark, d):
+    df = _counts(spark, d)
+    return rounded(_one_tree(df).predict(df, "predicted").select("l_orderkey", "predicted"), predicted=3)
+
+
+@query("gains_one_tree", f"""{_TREE_SQL}, g AS (SELECT f, drop FROM s0 UNION ALL SELECT f, drop FROM s1)
+SELECT feature, round(coalesce(sum(drop), 0) / (SELECT sum(drop) FROM g), 7) AS gain
+FROM (SELECT unnest(['n_lines', 'n_flags']) AS feature) LEFT JOIN g ON f = feature GROUP BY feature""")
+def _(spark, d):
+    return rounded(M.feature_importance(_one_tree(_counts(spark, d))).select("feature", "gain"), gain=7)

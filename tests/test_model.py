@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,33 @@ def test_classification_scores(spark):
     none = spark.createDataFrame([(0, 0), (0, 0)], "l int, p int")
     r = M.classification_metrics(none, "l", "p").first()
     assert (r["accuracy"], r["precision"], r["recall"], r["f1"]) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_boosting_stops_where_the_full_cap_would(df):
+    """The same rounds and errors as with the cap in one go, and the same first trees."""
+    rows, info = M.transform_target(df.filter("y is not null"), "y", None, name="__label")
+    rows = M.settle(M.with_folds(rows, "__label", ID, 2, 3, None))
+    folds = M._fold_frames(rows, M.FeatureSpec.of(rows, ["x", "kind"]), 0, 2, None, None)
+    params = {"maxIter": 24, "maxDepth": 2, "stepSize": 0.9, "minInstancesPerNode": 5}
+    long = M.Boosted.fit(folds[0].filter("not __valid"), 0, params, 3).errors(folds[0])
+    short = M.Boosted.fit(folds[0].filter("not __valid"), 0, {**params, "maxIter": 4}, 3).errors(folds[0])
+    assert short == pytest.approx(long[:4])
+    first, M.FIRST_ROUNDS = M.FIRST_ROUNDS, 2
+    try:
+        doubled = M._cross_validate(folds, 0, params, info, 3, 3)
+        M.FIRST_ROUNDS = 1000
+        whole = M._cross_validate(folds, 0, params, info, 3, 3)
+    finally:
+        M.FIRST_ROUNDS = first
+    assert doubled[1] == whole[1] and doubled[0] == pytest.approx(whole[0])
+
+
+def test_a_feature_of_unique_labels_tells_nothing(spark):
+    """A category that occurs once is not its own answer."""
+    rng = random.Random(2)
+    rows = [(i, f"only {i}", rng.choice("ab"), rng.gauss(0, 1)) for i in range(400)]
+    rows = [(i, u, k, y + 3 * (k == "a")) for i, u, k, y in rows]
+    df = spark.createDataFrame(rows, "id long, u string, kind string, y double")
+    gains = {r["feature"]: r["gain"] for r in M.feature_importance(M.train_final(
+        df, "y", ["u", "kind"], id_cols=["id"], rounds=1, params={"maxDepth": 3, "minInstancesPerNode": 1})).collect()}
+    assert gains["kind"] > 0.95 and gains["u"] < 0.05
