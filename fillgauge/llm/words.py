@@ -12,8 +12,8 @@ block keeps the words' positions as codes, and only its distinct words travel.
    sends one value per (block, word) back.
 3. :func:`per_block` brings each block together with the values of its words.
 
-Hot words cost one entry per block.  The number of buckets follows the number of
-distinct words, so no task grows with the corpus.
+Hot words cost one entry per block, all in one bucket, and a bucket is one Python process's: the
+largest task grows with the number of blocks.  The number of buckets follows the bytes of text.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -135,6 +136,41 @@ def test_texts_of_no_learned_language_are_rejected(shipped):
     assert kept.count() >= 0.98 * docs.filter("text rlike '[a-zA-Z]'").count()
 
 
+def plain_profile(text, seed, dimensions):
+    """The sum of the bound vectors of all letter groups, one by one."""
+    points = [0]
+    for ch in (text or "").lower():
+        point = ord(ch) if unicodedata.category(ch)[0] == "L" else 0
+        if point or points[-1]:
+            points.append(point)
+    points += [0] if points[-1] else []
+    total = np.zeros(dimensions, dtype=np.int64)
+    for a, b, c in zip(points, points[1:], points[2:]):
+        if b:
+            first, second, third = (language._signs(x, seed, dimensions).astype(np.int64) for x in (a, b, c))
+            total += np.roll(first, 2) * np.roll(second, 1) * third
+    return total
+
+
+def test_language_against_plain_profiles(shipped):
+    docs = shipped.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = docs.collect()
+    model = language.fit(docs)
+    prototypes = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            prototypes[r["lang"]] = prototypes.get(r["lang"], 0) + plain_profile(r["text"], model.seed, language.DIMENSIONS)
+    assert model.languages == sorted(prototypes)
+    assert np.array_equal(model.prototypes, np.array([prototypes[x] for x in model.languages]))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    for r in rows:
+        profile = plain_profile(r["text"], model.seed, language.DIMENSIONS)
+        if profile.any():
+            near = {x: p @ profile / np.linalg.norm(p) / np.linalg.norm(profile) for x, p in prototypes.items()}
+            best = max(sorted(near), key=near.get)
+            assert got[r["doc_id"]][0] == best and abs(got[r["doc_id"]][1] - max(0.0, near[best])) < 1e-5
+
+
 def test_language_does_not_depend_on_partitions(shipped):
     docs = shipped.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, many = language.fit(docs.coalesce(1)), language.fit(docs.repartition(7))
