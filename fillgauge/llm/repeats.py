@@ -57,7 +57,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillgauge.llm.arrow import arrow_type, one_chunk, rows, squeeze, steps, text_bytes, texts_of, unsqueeze
+from fillgauge.llm.arrow import (arrow_type, give_back, one_chunk, rows, squeeze, steps, text_bytes, texts_of, trimmed,
+                                 unsqueeze, with_bytes)
 from fillgauge.operators.joins import attach
 from fillgauge.session import settle
 
@@ -68,6 +69,12 @@ BLOCK_BYTES = 16 * 1024 * 1024
 BUCKET_BYTES = 64 * 1024 * 1024
 #: Bytes of text whose anchors are looked for at a time.
 PIECE_BYTES = 96 * 1024
+#: Bytes of text, and documents, in a row that carries a part of a block: a block in one row
+#: would need several contiguous buffers of its size in the JVM.
+PART_BYTES = 256 * 1024
+PART_DOCS = 16 * 1024
+#: Bytes of a row group of stored texts; a task holds one while it writes, and while it reads.
+GROUP_BYTES = 16 * 1024 * 1024
 #: Bits of an anchor's key that tell its place in a piece.
 _PLACE_BITS = 21
 #: Odd constants of the rolling hash; any would do.
@@ -144,9 +151,11 @@ class Shard:
         self.anchor, self.start, self.stop = runs_of(raw, offsets, length)
         core = length - places(length) + 1
         view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-        cores = np.array([digest(view[a:a + core]) for a in self.anchor.tolist()], dtype=np.uint64)
-        looks = np.array([digest(view[p:q + length], a - p + 1) for a, p, q in
-                          zip(self.anchor.tolist(), self.start.tolist(), self.stop.tolist())], dtype=np.uint64)
+        cores, looks = (np.empty(len(self.anchor), dtype=np.uint64) for _ in range(2))
+        for at in range(0, len(cores), 16384):  # a list of all places would take more than the text
+            own = [x[at:at + 16384].tolist() for x in (self.anchor, self.start, self.stop)]
+            cores[at:at + 16384] = [digest(view[a:a + core]) for a in own[0]]
+            looks[at:at + 16384] = [digest(view[p:q + length], a - p + 1) for a, p, q in zip(*own)]
         #: distinct cores, and which one each run has
         self.cores, self.core_of, count = np.unique(cores, return_inverse=True, return_counts=True)
         self.several = count > 1
@@ -213,18 +222,18 @@ def _blocks(docs: DataFrame, id_col: str, text: str, block_bytes: int):
         def block() -> tuple:
             ids = pa.concat_arrays([one_chunk(t.column("id")) for t in held])
             offsets, raw = text_bytes(pa.concat_arrays([texts_of(t, "__text") for t in held]))
+            held.clear()
             return number, ids, offsets.astype(np.int64), raw
 
         for table in steps(batches, "__text", block_bytes // 4):
             grown = table.column("__text").nbytes
             if held and size + grown > block_bytes:
                 yield block()
-                number, held, size = number + 1, [], 0
+                number, size = number + 1, 0
             held.append(table)
             size += grown
         if held:
             yield block()
-        pa.default_memory_pool().release_unused()
 
     return source, build
 
@@ -237,16 +246,23 @@ def covered(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
     another place of this or another text; spans neither meet nor overlap.  The input is read twice
     and must give the same rows in the same tasks, as stored tables do; if it does not, this is found out.
     """
+    return _covered(docs, length, id_col, text, block_bytes, bucket_bytes, kept=False)
+
+
+def _covered(docs: DataFrame, length: int, id_col: str, text: str, block_bytes: int, bucket_bytes: int,
+             kept: bool) -> DataFrame:
     if length < 1:
         raise ValueError("length must be 1 or more")
     source, build = _blocks(docs, id_col, text, block_bytes)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, math.ceil(size / bucket_bytes))
     answers = settle(_exchange_cores(source, build, buckets, length))
-    found = settle(_apply_answers(source, build, answers, docs.schema[id_col].dataType, length))
+    found = settle(_apply_answers(source, build, answers, docs.schema[id_col].dataType, length),
+                   **{"parquet.block.size": GROUP_BYTES})
     contexts = found.filter("class is not null").select(*_CONTEXT.names)
     repeated = refine(contexts, length)
-    return _with_open(found.filter("class is null").drop(*_CONTEXT.names), repeated, length).withColumnRenamed("id", id_col)
+    texts = found.filter("class is null").drop(*_CONTEXT.names)
+    return _with_open(texts, repeated, length, kept).withColumnRenamed("id", id_col)
 
 
 def _exchange_cores(source: DataFrame, build, buckets: int, length: int) -> DataFrame:
@@ -265,18 +281,52 @@ def _exchange_cores(source: DataFrame, build, buckets: int, length: int) -> Data
                     used[at:at + 256].astype(np.int32), [number] * len(part), [shard.check] * len(part), [squeeze(p) for p in part],
                     [shard.cores[p].tobytes() for p in part], [shard.look[p].tobytes() for p in part],
                     [flags[p].astype(np.uint8).tobytes() for p in part]])
+            del raw, shard, home, order, picks, flags  # not kept while the next block is built
 
     def receive(table: pa.Table) -> pa.Table:
         cores, looks = ([np.frombuffer(b, dtype=np.uint64) for b in table.column(c).to_pylist()] for c in ("cores", "looks"))
         flags = [np.frombuffer(b, dtype=np.uint8) for b in table.column("flags").to_pylist()]
-        known = judge_cores(cores, looks, flags)
+        known = [squeeze(k) for k in judge_cores(cores, looks, flags)]
+        give_back()
         return pa.Table.from_batches([rows(_ANSWER, [
-            table.column("block"), table.column("check"), table.column("places"), [squeeze(k) for k in known]])])
+            table.column("block"), table.column("check"), table.column("places"), known])])
 
-    return (source.mapInArrow(send, _SENT).repartition(buckets, "bucket").groupBy("bucket")
+    return (source.mapInArrow(trimmed(send), _SENT).repartition(buckets, "bucket").groupBy("bucket")
             .applyInArrow(receive, _ANSWER))
 
 
+def _parts(source: DataFrame, build, id_type: T.DataType) -> DataFrame:
+    """The blocks, each in rows of bounded size: what :func:`_whole` puts together again."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("check", T.LongType()),
+                           T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
+                           T.StructField("lengths", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("raw", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for number, ids, offsets, raw in build(batches):
+            check, lengths, view = zlib.crc32(raw), np.diff(offsets), memoryview(raw)
+            for part in range(max(math.ceil(len(raw) / PART_BYTES), math.ceil(len(ids) / PART_DOCS))):
+                own = ids.slice(part * PART_DOCS, PART_DOCS)
+                piece = view[part * PART_BYTES:(part + 1) * PART_BYTES]
+                yield rows(schema, [
+                    [number], [check], [part], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                    [lengths[part * PART_DOCS:(part + 1) * PART_DOCS].tobytes()], [len(piece)],
+                    [codec.compress(piece, asbytes=True)]])
+            del raw, view, piece  # not kept while the next block is built
+
+    return source.mapInArrow(trimmed(cut), schema)
+
+
+def _whole(parts: pa.Table) -> tuple[int, pa.Array, np.ndarray, bytes]:
+    """Number, ids, offsets and bytes of the block whose parts these are, in whatever order they came."""
+    parts = parts.sort_by("part")
+    lengths = np.frombuffer(b"".join(parts.column("lengths").to_pylist()), dtype=np.int64)
+    raw = b"".join(pa.decompress(piece, n, codec="zstd", asbytes=True) if n else b"" for piece, n in
+                   zip(parts.column("raw").to_pylist(), parts.column("n_bytes").to_pylist()))
+    return parts.column("block")[0].as_py(), one_chunk(parts.column("ids")).flatten(), np.cumsum(np.append(0, lengths)), raw
+
+
 def _apply_answers(source: DataFrame, build, answers: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
     """Rows of two kinds: documents with what is known of them, and the contexts of open runs."""
     doc = T.StructType([T.StructField("id", id_type), T.StructField("place", T.LongType()),
@@ -285,31 +335,24 @@ def _apply_answers(source: DataFrame, build, answers: DataFrame, id_type: T.Data
                         T.StructField("open", T.ArrayType(T.StructType([
                             T.StructField("class", T.LongType()), T.StructField("anchor", T.LongType())])))])
     schema = T.StructType([*doc, *_CONTEXT])
-    block = T.StructType([T.StructField("block", T.LongType()), T.StructField("check", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
-                          T.StructField("offsets", T.BinaryType()), T.StructField("raw", T.BinaryType())])
     listed = arrow_type(schema["open"].dataType)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, offsets, raw in build(batches):
-            packed = pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-            yield rows(block, [[number], [zlib.crc32(raw)], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                               [offsets.tobytes()], [packed]])
-
     def apply(blocks: pa.Table, parts: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             raise RuntimeError("the input changed while it was read; store it first")
-        number, offsets = blocks.column("block")[0].as_py(), np.frombuffer(blocks.column("offsets")[0].as_py(), dtype=np.int64)
-        raw = pa.decompress(blocks.column("raw")[0].as_py(), int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b""
+        number, ids, offsets, raw = _whole(blocks)
         shard = Shard(raw, offsets, length)
         known = np.full(len(shard.cores), -1)
         for at, what in zip(parts.column("places").to_pylist(), parts.column("known").to_pylist()):
             known[unsqueeze(at)] = unsqueeze(what)
         if (known < 0).any():
             raise RuntimeError("the input changed while it was read; store it first")
-        return pa.Table.from_batches(list(_block_rows(shard, known, number, one_chunk(blocks.column("ids")).flatten(),
-                                                      schema, listed)))
+        out = list(_block_rows(shard, known, number, ids, schema, listed))
+        del raw, shard
+        give_back()
+        return pa.Table.from_batches(out)
 
-    return source.mapInArrow(cut, block).groupBy("block", "check").cogroup(
+    return _parts(source, build, id_type).groupBy("block", "check").cogroup(
         answers.groupBy("block", "check")).applyInArrow(apply, schema)
 
 
@@ -341,7 +384,8 @@ def _block_rows(shard: Shard, known: np.ndarray, number: int, ids: pa.Array, sch
                          zip(of[mine].tolist(), (shard.anchor[still[mine]] - offsets[d]).tolist())])
         yield rows(schema, [
             ids.slice(first, len(starts)), [(number << 23) + d for d in docs],
-            [shard.raw[offsets[d]:offsets[d + 1]] for d in docs], starts, ends, pa.array(held, listed),
+            with_bytes(offsets[first:first + len(starts) + 1] - offsets[first],
+                       shard.raw[offsets[first]:offsets[first + len(starts)]], pa.binary()), starts, ends, pa.array(held, listed),
             *[pa.nulls(len(starts), arrow_type(f.dataType)) for f in _CONTEXT]])
     keys = list(classes)
     for first in range(0, m, 5000):
@@ -384,7 +428,7 @@ def refine(contexts: DataFrame, length: int = LENGTH, large_bucket: int = LARGE_
             yield rows(_FOUND, list(zip(*found)) or [[], [], []])
         yield rows(_FOUND, list(zip(*refined(held, length))) or [[], [], []])
 
-    return small.mapInArrow(run, _FOUND).unionByName(
+    return small.mapInArrow(trimmed(run), _FOUND).unionByName(
         _refine_in_rounds(settle(keyed.filter("large").select(*_CONTEXT.names)), length))
 
 
@@ -447,43 +491,42 @@ def _refine_in_rounds(contexts: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def _with_open(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """Documents with the spans of their open runs added."""
+def _with_open(docs: DataFrame, repeated: DataFrame, length: int, kept: bool) -> DataFrame:
+    """Documents with the spans of their open runs added, and what is ``kept`` if that is asked for.
+
+    One pass of Python does both, so a task has one worker and a text goes there and back once.
+    """
     done = docs.filter(F.size("open") == 0).select("id", "text", "starts", "ends")
     opened = docs.filter(F.size("open") > 0)
     of = repeated.groupBy("class").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))  # at most 2 per place
     asked = opened.select("place", F.explode("open").alias("run")).select("place", "run.class", "run.anchor")
     more = asked.join(of, "class").groupBy("place").agg(F.flatten(F.collect_list(F.transform("blocks", lambda b: F.struct(
         (F.col("anchor") - b["last"]).alias("start"), (F.col("anchor") - b["first"] + length).alias("end"))))).alias("more"))
-    schema = docs.select("id", "text", "starts", "ends").schema
+    schema = T.StructType([*done.schema, *[T.StructField("kept", T.BinaryType())] * kept])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends = [], []
-            for s, e, extra in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "more"))):
-                extra = extra or []
-                s, e = _joined(np.array(s + [x["start"] for x in extra], dtype=np.int64),
-                               np.array(e + [x["end"] for x in extra], dtype=np.int64))
+        for table in steps(batches, "text"):
+            starts, ends, left = [], [], []
+            for raw, s, e, extra in zip(*(table.column(c).to_pylist() for c in ("text", "starts", "ends", "more"))):
+                s, e = np.array(s, dtype=np.int64), np.array(e, dtype=np.int64)
+                if extra:
+                    s, e = _joined(np.append(s, [x["start"] for x in extra]), np.append(e, [x["end"] for x in extra]))
                 starts.append(s)
                 ends.append(e)
-            yield rows(schema, [batch.column("id"), batch.column("text"), starts, ends])
+                if kept:
+                    left.append(_kept(raw, s, e))
+            yield rows(schema, [table.column("id"), table.column("text"), starts, ends, *[left] * kept])
 
     both = opened.join(more, "place", "left").select("id", "text", "starts", "ends", "more")
-    return done.unionByName(both.mapInArrow(join, schema))
+    if kept:
+        return both.unionByName(done, allowMissingColumns=True).mapInArrow(trimmed(join), schema)
+    return done.unionByName(both.mapInArrow(trimmed(join), schema))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text: str = "text",
+                   block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``covered`` with ``kept``, the bytes outside of all spans; they need not be whole UTF-8 characters."""
-    spans = covered(docs, length=length, id_col=id_col, text=text)
-    schema = T.StructType([*spans.schema, T.StructField("kept", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [_kept(raw, np.array(s, dtype=np.int64), np.array(e, dtype=np.int64)) for raw, s, e in
-                    zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")))]
-            yield rows(schema, [*batch.columns, kept])
-
-    return spans.mapInArrow(run, schema)
+    return _covered(docs, length, id_col, text, block_bytes, bucket_bytes, kept=True)
 
 
 def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,8 +5,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillgauge.llm import repeats
 from fillgauge.llm.repeats import LENGTH, covered, op12_repeats, places, remove_repeats, runs_of
@@ -136,3 +139,41 @@ def test_rounds_in_jobs_and_in_a_task_agree(shipped):
             strings[i, p] = (p, bytes(context[last - p:last - p + length]))
             seen[strings[i, p]] += 2 if several else 1
     assert inside == sorted(k for k, s in strings.items() if seen[s] > 1)
+
+
+def test_blocks_travel_in_small_rows(shipped, tmp_path, monkeypatch):
+    """No row holds a whole block, and the parts of a block give it back whatever their order."""
+    monkeypatch.setattr(repeats, "PART_DOCS", 40)
+    rng = random.Random(9)
+    texts = [(i, None if i % 50 == 7 else rng.randbytes(rng.choice([0, 3, 9000])).hex()) for i in range(300)]
+    shipped.createDataFrame(texts, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    source, build = repeats._blocks(shipped.read.parquet(f"{tmp_path}/docs"), "doc_id", "text", 1 << 19)
+    parts = repeats._parts(source, build, T.LongType()).toArrow()
+    assert max(map(len, parts.column("raw").to_pylist())) <= repeats.PART_BYTES * 1.01
+    assert max(map(len, parts.column("ids").to_pylist())) <= 40
+    blocks = parts.column("block").unique().to_pylist()
+    assert 2 < len(blocks) < len(parts) / 2
+    back = []
+    for block in blocks:
+        own = parts.filter(pa.compute.equal(parts.column("block"), block))
+        number, ids, offsets, raw = repeats._whole(own.take(rng.sample(range(len(own)), len(own))))
+        assert number == block and offsets[-1] == len(raw)
+        back += [(i, raw[a:b].decode()) for i, a, b in zip(ids.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())]
+    assert sorted(back) == [(i, t or "") for i, t in texts]
+
+
+def test_spans_and_kept_in_one_pass_of_python(shipped, tmp_path):
+    """No Python node feeds another in the same task: each would have a worker with memory of its own."""
+    rows = passages(random.Random(4), 40, 30)
+    shipped.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    plan = remove_repeats(shipped.read.parquet(f"{tmp_path}/docs"), length=30)._jdf.queryExecution().executedPlan().toString()
+    depth, seen = [], 0
+    for line in plan.splitlines():
+        at, name = len(line) - len(line.lstrip(" +-:*()0123456789")), line.lstrip(" +-:*()0123456789").split(" ")[0]
+        depth = [d for d in depth if d[0] < at] + [(at, name)]
+        if name == "MapInArrow":
+            seen += 1
+            above = [n for _, n in depth[:-1]]
+            since = above[max((i for i, n in enumerate(above) if "Exchange" in n), default=-1) + 1:]
+            assert "MapInArrow" not in since
+    assert seen
