@@ -246,11 +246,11 @@ def covered(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
     another place of this or another text; spans neither meet nor overlap.  The input is read twice
     and must give the same rows in the same tasks, as stored tables do; if it does not, this is found out.
     """
-    return _covered(docs, length, id_col, text, block_bytes, bucket_bytes, kept=False)
+    return _covered(docs, length, id_col, text, block_bytes, bucket_bytes, ["text", "starts", "ends"])
 
 
 def _covered(docs: DataFrame, length: int, id_col: str, text: str, block_bytes: int, bucket_bytes: int,
-             kept: bool) -> DataFrame:
+             columns: list[str]) -> DataFrame:
     if length < 1:
         raise ValueError("length must be 1 or more")
     source, build = _blocks(docs, id_col, text, block_bytes)
@@ -262,7 +262,7 @@ def _covered(docs: DataFrame, length: int, id_col: str, text: str, block_bytes:
     contexts = found.filter("class is not null").select(*_CONTEXT.names)
     repeated = refine(contexts, length)
     texts = found.filter("class is null").drop(*_CONTEXT.names)
-    return _with_open(texts, repeated, length, kept).withColumnRenamed("id", id_col)
+    return _with_open(texts, repeated, length, columns).withColumnRenamed("id", id_col)
 
 
 def _exchange_cores(source: DataFrame, build, buckets: int, length: int) -> DataFrame:
@@ -371,8 +371,8 @@ def _block_rows(shard: Shard, known: np.ndarray, number: int, ids: pa.Array, sch
     n, m = len(offsets) - 1, len(classes)
     sure = np.flatnonzero(state == ALIKE)
     sure_cut, open_cut = (np.searchsorted(doc[x], np.arange(n + 1)) for x in (sure, still))
-    for first in range(0, n, 2000):
-        docs = range(first, min(n, first + 2000))
+    for first in range(0, n, 500):
+        docs = range(first, min(n, first + 500))
         starts, ends, held = [], [], []
         for d in docs:
             mine = sure[sure_cut[d]:sure_cut[d + 1]]
@@ -388,8 +388,8 @@ def _block_rows(shard: Shard, known: np.ndarray, number: int, ids: pa.Array, sch
                        shard.raw[offsets[first]:offsets[first + len(starts)]], pa.binary()), starts, ends, pa.array(held, listed),
             *[pa.nulls(len(starts), arrow_type(f.dataType)) for f in _CONTEXT]])
     keys = list(classes)
-    for first in range(0, m, 5000):
-        part = keys[first:first + 5000]
+    for first in range(0, m, 2000):
+        part = keys[first:first + 2000]
         yield rows(schema, [
             *[pa.nulls(len(part), arrow_type(f.dataType)) for f in schema.fields[:len(schema) - len(_CONTEXT)]],
             [(number << 23) + first + i for i in range(len(part))], [max(0, k[0]) for k in part], [k[1] for k in part],
@@ -491,10 +491,10 @@ def _refine_in_rounds(contexts: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def _with_open(docs: DataFrame, repeated: DataFrame, length: int, kept: bool) -> DataFrame:
-    """Documents with the spans of their open runs added, and what is ``kept`` if that is asked for.
+def _with_open(docs: DataFrame, repeated: DataFrame, length: int, columns: list[str]) -> DataFrame:
+    """Id and ``columns`` of documents with the spans of their open runs added; ``kept`` if that is asked for.
 
-    One pass of Python does both, so a task has one worker and a text goes there and back once.
+    One pass of Python does both, so a task has one worker, and a text goes there once and back if it is asked for.
     """
     done = docs.filter(F.size("open") == 0).select("id", "text", "starts", "ends")
     opened = docs.filter(F.size("open") > 0)
@@ -502,7 +502,8 @@ def _with_open(docs: DataFrame, repeated: DataFrame, length: int, kept: bool) ->
     asked = opened.select("place", F.explode("open").alias("run")).select("place", "run.class", "run.anchor")
     more = asked.join(of, "class").groupBy("place").agg(F.flatten(F.collect_list(F.transform("blocks", lambda b: F.struct(
         (F.col("anchor") - b["last"]).alias("start"), (F.col("anchor") - b["first"] + length).alias("end"))))).alias("more"))
-    schema = T.StructType([*done.schema, *[T.StructField("kept", T.BinaryType())] * kept])
+    known = T.StructType([*done.schema, T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([known[c] for c in ("id", *columns)])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches, "text"):
@@ -513,26 +514,30 @@ def _with_open(docs: DataFrame, repeated: DataFrame, length: int, kept: bool) ->
                     s, e = _joined(np.append(s, [x["start"] for x in extra]), np.append(e, [x["end"] for x in extra]))
                 starts.append(s)
                 ends.append(e)
-                if kept:
+                if "kept" in columns:
                     left.append(_kept(raw, s, e))
-            yield rows(schema, [table.column("id"), table.column("text"), starts, ends, *[left] * kept])
+            made = {"id": table.column("id"), "text": table.column("text"), "starts": starts, "ends": ends, "kept": left}
+            yield rows(schema, [made[c] for c in schema.names])
 
     both = opened.join(more, "place", "left").select("id", "text", "starts", "ends", "more")
-    if kept:
+    if "kept" in columns:
         return both.unionByName(done, allowMissingColumns=True).mapInArrow(trimmed(join), schema)
     return done.unionByName(both.mapInArrow(trimmed(join), schema))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text: str = "text",
-                   block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``covered`` with ``kept``, the bytes outside of all spans; they need not be whole UTF-8 characters."""
-    return _covered(docs, length, id_col, text, block_bytes, bucket_bytes, kept=True)
+                   with_text: bool = True) -> DataFrame:
+    """``covered`` with ``kept``, the bytes outside of all spans; they need not be whole UTF-8 characters.
+
+    Who does not need the text beside what is kept of it saves its way back without it.
+    """
+    return _covered(docs, length, id_col, text, BLOCK_BYTES, BUCKET_BYTES, ["text"] * with_text + ["starts", "ends", "kept"])
 
 
 def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the strings of 200 bytes that occur elsewhere too."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
-    return remove_repeats(docs).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"),
+    return remove_repeats(docs, with_text=False).select(
+        "doc_id", (removed + F.octet_length("kept")).alias("n_bytes"), removed.alias("n_removed"),
         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,5 +1,7 @@
 import os
 
+import pyarrow.parquet as pq
+
 from fillgauge.session import clear_work, fresh_path, settle, together, work_folder
 
 
@@ -8,11 +10,18 @@ def test_work_folder_is_the_one_the_session_names(spark):
     assert work_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
 
 
+def groups(file):
+    meta = pq.read_metadata(file.removeprefix("file://"))
+    return [meta.row_group(i) for i in range(meta.num_row_groups)]
+
+
 def test_settle(spark):
     df = spark.range(10).selectExpr("id", "id / 3 AS x")
     out = settle(df)
     assert out.dtypes == df.dtypes and out.exceptAll(df).isEmpty() and out.count() == 10
     assert settle(df.filter("id < 0")).count() == 0
+    cut = settle(spark.range(0, 30000, 1, 1).selectExpr("id", "repeat(uuid(), 9) AS x"), **{"parquet.block.size": 1 << 20})
+    assert max(g.total_byte_size for f in cut.inputFiles() for g in groups(f)) < 4 << 20
     assert "Range" not in out._jdf.queryExecution().executedPlan().toString()
 
 
