@@ -43,6 +43,25 @@ def test_trees_are_those_of_mllib(known, more):
         assert grid.counts["n"].sum() == fold.filter("not __valid").count() and grid.counts["valid"].sum() == valid.count()
 
 
+def test_tuning_counts_the_rows_once_for_all_settings(df, monkeypatch):
+    """No setting of numbers boosts row by row, and settings that differ in their trees alone read nothing again."""
+    def never(*args):
+        raise AssertionError("boosted row by row")
+
+    passes = []
+    monkeypatch.setattr(M.Boosted, "fit", never)
+    monkeypatch.setattr(C, "_binned", lambda *args, f=C._binned: passes.append(1) or f(*args), raising=False)
+    space = {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.3], "maxIter": [4], "minInstancesPerNode": [5, 20],
+             "subsamplingRate": [0.8], "maxBins": [32]}
+    found = M.tune(df, "y", ["x", "w", "kind"], id_cols=ID, n_trials=6, space=space, cv_nfold=2, target_transform=LOG,
+                   sweep={"maxBins": [16, 32]}, final_fit=False, parallelism=2)
+    assert all(t["skipped"] is None and t["score"] > 0 for t in found.trials) and len(found.sweep) == 2
+    assert len({t["score"] for t in found.trials}) > 1
+    kept = next(t for t in found.sweep if t["value"] == 32)
+    assert kept["score"] == pytest.approx(min(t["score"] for t in found.trials))
+    assert len(passes) == 2 * 2 * 2  # folds, numbers of bins, and once for the cells and once for the draws
+
+
 def test_every_round_draws_anew(known):
     folds, info = known
     cells = C.Cells(folds[0], info, 5)
